@@ -34,11 +34,13 @@ def tied_hazard(deaths: Column, at_risk: Column) -> Column:
             F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + 1 / (top - i))
         )
 
-    # Above the loop, stop the expansion at 32 survivors and add the rest singly.
-    low = F.greatest(left, F.lit(32.0))
+    # The expansion needs 32 or more: it stops above that, the rest is added singly.
+    single = F.ceil(F.greatest(32 - left, F.lit(0.0)))
+    low = left + single
     expanded = F.log(n) - F.log(low) + _harmonic_tail(n) - _harmonic_tail(low)
-    rest = added(F.least(low, n) - left, low)
-    return F.when(d <= _LOOP, added(F.least(d, F.lit(float(_LOOP))), n)).otherwise(expanded + rest)
+    return F.when(d <= _LOOP, added(F.least(d, F.lit(float(_LOOP))), n)).otherwise(
+        expanded + added(single, low)
+    )
 
 
 def life_table(
