@@ -214,7 +214,7 @@ def breslow_baseline(
     later = running_sums(
         times, [time], {"_later": F.col("_risk")}, keys=keys, cuts=cuts, descending=True
     )
-    steps = later.withColumn("_dh", F.col("deaths") / (F.col("_later") + F.col("_risk")))
+    steps = keep(later.withColumn("_dh", F.col("deaths") / (F.col("_later") + F.col("_risk"))))
     summed = running_sums(steps, [time], {"_before": F.col("_dh")}, keys=keys, cuts=cuts)
     return summed.select(
         *keys, time, "deaths", (F.col("_before") + F.col("_dh")).alias("hazard")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from survloom.operators.prefix import carry_last, key_column, key_fields, quantile_cuts, running_sums
-from survloom.settings import bucket_count
+from survloom.settings import bucket_count, keep
 
 _LOOP = 64
 
@@ -85,11 +85,14 @@ def survival_curve(
     # ln 0 is null in Spark: the time at which everybody dies is a flag instead.
     factor = F.when(d < n, F.log1p(-d / n)).otherwise(0.0)
     hazard = tied_hazard(d, n) if tied_deaths else d / n
-    terms = table.select(
-        "*",
-        factor.alias("_ln"),
-        F.when(d == n, 1).otherwise(0).alias("_end"),
-        hazard.alias("_h"),
+    # Kept: the second running sum reads it twice, and it is one row per time.
+    terms = keep(
+        table.select(
+            "*",
+            factor.alias("_ln"),
+            F.when(d == n, 1).otherwise(0).alias("_end"),
+            hazard.alias("_h"),
+        )
     )
     summed = running_sums(
         terms,
@@ -137,7 +140,8 @@ def at_or_before(
     ``default`` replaces the null of rows before the first step.
     """
     asked = df.filter(F.col(time).isNotNull()).select(*keys, time)
-    found = carry_last(curve.select(*keys, time, *values), asked, time, values, keys=keys)
+    steps = keep(curve.select(*keys, time, *values))
+    found = carry_last(steps, asked, time, values, keys=keys)
     out = at_own_time(df, found, time, values, keys=keys)
     return out.fillna(default, subset=list(values)) if default is not None else out
 

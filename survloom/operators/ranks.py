@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from survloom.operators.prefix import key_column, key_fields, quantile_cuts, running_sums
-from survloom.settings import bucket_count
+from survloom.settings import bucket_count, keep
 
 
 def value_ranks(df: DataFrame, value: str, *, keys: Sequence[str] = ()) -> DataFrame:
@@ -28,7 +28,7 @@ def normalized_rank(df: DataFrame, value: str, out: str, *, keys: Sequence[str]
     The top value's own rank is ``n - (ties - 1) / 2``: ties at the top make the
     denominator smaller, and they map to 1.
     """
-    ranks = value_ranks(df, value, keys=keys)
+    ranks = keep(value_ranks(df, value, keys=keys))
     top = ranks.groupBy(key_column(keys).alias("_k")).agg(F.max("avg_rank").alias("_top"))
     scaled = (
         ranks.withColumn("_k", key_column(keys))

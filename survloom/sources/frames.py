@@ -23,14 +23,13 @@ def first_after(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     days = lineitem.select(
         F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("_day")
     ).distinct()
+    # The aggregation finds its rows already partitioned by o_orderkey.
     later = F.min(F.when(F.col("_day") > F.to_date("o_orderdate"), F.col("_day")))
-    # Both sides are hash-partitioned by o_orderkey, which the aggregation reuses.
-    shipped = (
-        days.join(orders.select("o_orderkey", "o_orderdate"), "o_orderkey")
-        .groupBy("o_orderkey")
+    return (
+        orders.join(days, "o_orderkey", "left")
+        .groupBy(*orders.columns)
         .agg(later.alias("first_ship"))
     )
-    return orders.join(shipped, "o_orderkey", "left")
 
 
 def survival_frame(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +38,9 @@ def survival_frame(spark: SparkSession, folder: str) -> DataFrame:
     ``efs`` 1 = shipped, 0 = censored; ``stratum`` is the market segment and
     ``pred`` a risk score with ties.
     """
-    orders = first_after(table(spark, folder, "orders"), table(spark, folder, "lineitem"))
+    orders = first_after(
+        table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    )
     customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "left")
     end = F.coalesce("first_ship", F.lit(HORIZON).cast("date"))
@@ -48,6 +49,7 @@ def survival_frame(spark: SparkSession, folder: str) -> DataFrame:
         F.col("first_ship").isNotNull().cast("int").alias("efs"),
         F.datediff(end, F.to_date("o_orderdate")).cast("double").alias("efs_time"),
         F.col("c_mktsegment").alias("stratum"),
+        F.col("o_custkey").alias("customer"),
         F.col("o_orderpriority").alias("priority"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_totalprice").alias("price"),
