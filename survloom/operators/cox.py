@@ -35,54 +35,51 @@ def newton_terms(
     driver.
     """
     p = len(beta)
-    xs = [F.col(f"_x{i}") for i in range(p)]
     upper = [(i, j) for i in range(p) for j in range(i, p)]
-    eta = sum((F.lit(float(b)) * x for b, x in zip(beta, xs)), F.lit(0.0))
-    weighted = patterns.withColumn("_eta", eta).withColumn("_w", F.exp("_eta"))
-
-    moments = {"0": F.lit(1.0)}
-    moments |= {f"1_{i}": xs[i] for i in range(p)}
-    moments |= {f"2_{i}_{j}": xs[i] * xs[j] for i, j in upper}
-    by_time = weighted.groupBy("_t").agg(
-        F.sum("_d").alias("_d"),
-        F.sum(F.col("_d") * F.col("_eta")).alias("_deta"),
-        *[F.sum(F.col("_d") * xs[i]).alias(f"_dx{i}") for i in range(p)],
-        *[F.sum(F.col("_n") * F.col("_w") * m).alias(f"_s{k}") for k, m in moments.items()],
-        *[F.sum(F.col("_d") * F.col("_w") * m).alias(f"_e{k}") for k, m in moments.items()],
+    eta = " + ".join(f"{float(b)!r}D * _x{i}" for i, b in enumerate(beta))
+
+    # Moments of the covariates, as SQL texts: there are (p + 1)(p + 2) / 2 of them.
+    moments = {"0": "1D"}
+    moments |= {f"1_{i}": f"_x{i}" for i in range(p)}
+    moments |= {f"2_{i}_{j}": f"_x{i} * _x{j}" for i, j in upper}
+    sums = [
+        "sum(_d) AS _deaths",
+        "sum(_d * _eta) AS _deta",
+        *[f"sum(_d * _x{i}) AS _dx{i}" for i in range(p)],
+        *[f"sum(_n * _w * {m}) AS _s{k}" for k, m in moments.items()],
+        *[f"sum(_d * _w * {m}) AS _e{k}" for k, m in moments.items()],
+    ]
+    by_time = (
+        patterns.selectExpr("*", f"{eta} AS _eta")
+        .selectExpr("*", "exp(_eta) AS _w")
+        .groupBy("_t")
+        .agg(*map(F.expr, sums))
     )
-    later = running_sums(
+    at_risk = running_sums(
         by_time,
         ["_t"],
         {f"_later{k}": F.col(f"_s{k}") for k in moments},
         cuts=cuts,
         descending=True,
-    ).filter(F.col("_d") > 0)
-    at_risk = later.select(
-        "*", *[(F.col(f"_later{k}") + F.col(f"_s{k}")).alias(f"_r{k}") for k in moments]
-    )
-    last = F.col("_d") - 1
+    ).filter("_deaths > 0")
     if most_deaths > _CHUNK:
         # A time with very many deaths: its steps are dealt out to other tasks.
-        starts = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(_CHUNK).cast("long")))
-        at_risk = at_risk.withColumn("_from", starts).repartition("_t", "_from")
-        first, last = F.col("_from"), F.least(F.col("_from") + _CHUNK - 1, last)
+        starts = f"explode(sequence(0L, _deaths - 1, {_CHUNK}L)) AS _from"
+        at_risk = at_risk.selectExpr("*", starts).repartition("_t", "_from")
+        steps = at_risk.selectExpr(
+            "*", f"explode(sequence(_from, least(_from + {_CHUNK} - 1, _deaths - 1))) AS _q"
+        )
     else:
-        first = F.lit(0).cast("long")
-    steps = at_risk.withColumn("_q", F.explode(F.sequence(first, last)))
-    share = F.col("_q") / F.col("_d")
-    phi = steps.select(
-        "*", *[(F.col(f"_r{k}") - share * F.col(f"_e{k}")).alias(f"_f{k}") for k in moments]
+        steps = at_risk.selectExpr("*", "explode(sequence(0L, _deaths - 1)) AS _q")
+    phi = steps.selectExpr(
+        *["_q", "_deta", *[f"_dx{i}" for i in range(p)]],
+        *[f"_later{k} + _s{k} - _q / _deaths * _e{k} AS _f{k}" for k in moments],
     )
-    once = F.col("_q") == 0
-    mean = [F.col(f"_f1_{i}") / F.col("_f0") for i in range(p)]
     row = phi.agg(
-        F.sum(F.when(once, F.col("_deta")).otherwise(0.0) - F.log("_f0")).alias("ll"),
-        *[
-            F.sum(F.when(once, F.col(f"_dx{i}")).otherwise(0.0) - mean[i]).alias(f"u{i}")
-            for i in range(p)
-        ],
+        F.expr("sum(if(_q = 0, _deta, 0D) - ln(_f0)) AS ll"),
+        *[F.expr(f"sum(if(_q = 0, _dx{i}, 0D) - _f1_{i} / _f0) AS u{i}") for i in range(p)],
         *[
-            F.sum(F.col(f"_f2_{i}_{j}") / F.col("_f0") - mean[i] * mean[j]).alias(f"i{i}_{j}")
+            F.expr(f"sum(_f2_{i}_{j} / _f0 - _f1_{i} / _f0 * _f1_{j} / _f0) AS i{i}_{j}")
             for i, j in upper
         ],
     ).first()

@@ -86,33 +86,31 @@ def running_sums(
         rows = with_range(rows, order[0], cuts)
     rows = rows.withColumn("_k", key_column(keys))
 
-    along = F.desc if descending else F.asc
-    by_range = Window.partitionBy("_k").orderBy(along("_b"))
-    earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_k")
+    way = "DESC" if descending else "ASC"
+    # One SQL text per column: these selects can be wide (see operators.cox).
+    earlier = f"OVER (PARTITION BY _k ORDER BY _b {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     heads = (
         rows.groupBy("_k", "_b")
-        .agg(*[F.sum(f"_m_{n}").alias(f"_m_{n}") for n in names])
-        .select(
+        .agg(*[F.expr(f"sum(`_m_{n}`) AS `_m_{n}`") for n in names])
+        .selectExpr(
             "_k",
             "_b",
-            F.lit(0).alias("_row"),
-            *[F.coalesce(F.sum(f"_m_{n}").over(earlier), F.lit(0)).alias(f"_m_{n}") for n in names],
-            *[F.sum(f"_m_{n}").over(whole).alias(f"{n}_total") for n in names if totals],
+            "0 AS _row",
+            *[f"coalesce(sum(`_m_{n}`) {earlier}, 0) AS `_m_{n}`" for n in names],
+            *[f"sum(`_m_{n}`) OVER (PARTITION BY _k) AS `{n}_total`" for n in names if totals],
         )
     )
     joined = rows.withColumn("_row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
-    in_range = Window.partitionBy("_k", "_b")
-    before = in_range.orderBy(F.asc("_row"), *[along(c) for c in order]).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    out = joined.select(
-        *df.columns,
+    inside = "PARTITION BY _k, _b"
+    steps = ", ".join(["_row", *[f"`{c}` {way}" for c in order]])
+    before = f"OVER ({inside} ORDER BY {steps} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    out = joined.selectExpr(
+        *[f"`{c}`" for c in df.columns],
         "_row",
-        *[F.sum(f"_m_{n}").over(before).alias(n) for n in names],
-        *[F.max(f"{n}_total").over(in_range).alias(f"{n}_total") for n in names if totals],
+        *[f"sum(`_m_{n}`) {before} AS `{n}`" for n in names],
+        *[f"max(`{n}_total`) OVER ({inside}) AS `{n}_total`" for n in names if totals],
     )
-    return out.filter(F.col("_row") == 1).drop("_row")
+    return out.filter("_row = 1").drop("_row")
 
 
 def carry_last(

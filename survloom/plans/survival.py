@@ -277,7 +277,7 @@ def cox_survival_target(spark: SparkSession, folder: str) -> DataFrame:
         .filter(training_rows())
         .select("ID", "efs", "efs_time", "stratum")
     )
-    coded = OneHotEncoder("stratum", "ID").fit(train).transform(train)
+    coded = keep(OneHotEncoder("stratum", "ID").fit(train).transform(train))
     features = [c for c in coded.columns if c.startswith("stratum_")]
     model = CoxRegression(features).fit(coded)
     return model.survival_at_own_time(coded, "t_cox_pred").select("ID", "t_cox_pred")
