@@ -160,8 +160,10 @@ def _running_product(cells: DataFrame, keys: Sequence[str], along: str) -> DataF
 
 def _count(rows: DataFrame, keys: Sequence[str], group_rows: int) -> DataFrame:
     """Parts that add up, per keys, to the pair counts of ``rows``."""
-    n = rows.count()
-    if n <= group_rows:
+    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    size = per_key.agg(F.sum("_rows").alias("n"), F.max("_rows").alias("largest")).first()
+    n = size["n"] or 0
+    if (size["largest"] or 0) <= group_rows:
         return _count_groups(rows.withColumn("_a", F.lit(0)), keys, "_a", "_t", "_late")
 
     # Few enough ranges that the cells are at most a quarter of the rows.

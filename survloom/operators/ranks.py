@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from survloom.operators.prefix import key_column, key_fields, quantile_cuts, running_sums
+from survloom.operators.prefix import (
+    key_column,
+    key_fields,
+    quantile_cuts,
+    running_sums,
+    with_range,
+)
 from survloom.settings import bucket_count, keep
 
 
@@ -82,7 +88,14 @@ def quantiles(
         return p * (F.col("below_total") - 1)
 
     # A distinct value covers positions first..last; it answers the probabilities
-    # whose lower or upper neighbouring position falls inside.
+    # whose lower or upper neighbouring position falls inside. Few values answer
+    # any: the others are dropped by comparing how many probabilities lie below
+    # the two ends, taken a little too wide.
+    spread = F.greatest(F.col("below_total") - 1, F.lit(1))
+    ranked = ranked.withColumns({"_from": (first - 1.5) / spread, "_to": (last + 1.5) / spread})
+    cuts = sorted({float(p) for p in probs})
+    ranked = with_range(with_range(ranked, "_from", cuts, "_below"), "_to", cuts, "_upto")
+    ranked = ranked.filter(F.col("_below") < F.col("_upto"))
     answered = F.filter(
         F.array(*[F.lit(float(p)) for p in probs]),
         lambda p: F.floor(position(p)).between(first, last)

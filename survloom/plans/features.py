@@ -15,17 +15,18 @@ from survloom.sources.frames import survival_frame, training_rows
 _HOLES = """
 holes AS (SELECT * REPLACE (nullif(priority, '3-MEDIUM') AS priority,
                             CASE WHEN dataset = 'TEST' AND status = 'P' THEN NULL ELSE status END AS status,
-                            CASE WHEN ID % 9 = 4 THEN NULL ELSE balance END AS balance)
+                            CASE WHEN status = 'O' AND stratum = 'FURNITURE' THEN NULL ELSE balance END AS balance)
           FROM frame)"""
 
 
 def _holes(spark: SparkSession, folder: str) -> DataFrame:
     test_p = (F.col("dataset") == "TEST") & (F.col("status") == "P")
+    unknown_balance = (F.col("status") == "O") & (F.col("stratum") == "FURNITURE")
     return keep(survival_frame(spark, folder)).withColumns(
         {
             "priority": F.nullif("priority", F.lit("3-MEDIUM")),
             "status": F.when(~test_p, F.col("status")),
-            "balance": F.when(F.col("ID") % 9 != 4, F.col("balance")),
+            "balance": F.when(~unknown_balance, F.col("balance")),
         }
     )
 

@@ -134,14 +134,15 @@ def attach_targets(spark: SparkSession, folder: str) -> DataFrame:
     "seed_average",
     f"""SELECT ID, {sql_rounded('avg(pred)')} AS pred FROM (
           SELECT ID, seed, price / 1000 + seed * balance / 7 AS pred
-          FROM frame, (VALUES (1), (2), (3)) s(seed) WHERE ID % 5 <> seed) GROUP BY ID""",
+          FROM frame, (VALUES (1), (2), (3)) s(seed)
+          WHERE status <> 'P' OR seed <> 2) GROUP BY ID""",
 )
 def seed_average(spark: SparkSession, folder: str) -> DataFrame:
     seeds = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
     long = (
         survival_frame(spark, folder)
-        .select("ID", "price", "balance", seeds.alias("seed"))
-        .filter(F.col("ID") % 5 != F.col("seed"))
+        .select("ID", "price", "balance", "status", seeds.alias("seed"))
+        .filter((F.col("status") != "P") | (F.col("seed") != 2))
         .select("ID", (F.col("price") / 1000 + F.col("seed") * F.col("balance") / 7).alias("pred"))
     )
     return average_by_id(long, "ID").select("ID", rounded("pred").alias("pred"))
@@ -214,16 +215,16 @@ def _source_tables(frame: DataFrame) -> dict[str, dict[str, DataFrame]]:
         }
 
     return {
-        "a": parts(frame.filter(F.col("ID") % 11 != 0)),
-        "b": parts(frame.withColumn("pred", F.col("balance")).filter(F.col("ID") % 3 != 0)),
+        "a": parts(frame.filter(F.col("status") != "P")),
+        "b": parts(frame.withColumn("pred", F.col("balance")).filter(F.col("balance") > 0)),
         "c": parts(frame.withColumn("pred", -F.col("efs_time"))),
     }
 
 
 _STACK_CTE = f"""
 src AS (
-  SELECT ID, 'a' AS source, dataset, pred FROM frame WHERE ID % 11 <> 0 UNION ALL
-  SELECT ID, 'b', dataset, balance FROM frame WHERE ID % 3 <> 0 UNION ALL
+  SELECT ID, 'a' AS source, dataset, pred FROM frame WHERE status <> 'P' UNION ALL
+  SELECT ID, 'b', dataset, balance FROM frame WHERE balance > 0 UNION ALL
   SELECT ID, 'c', dataset, -efs_time FROM frame),
 ranked AS (
   SELECT ID, source, pred, {sql_rounded('(a - 1) / (max(a) OVER (PARTITION BY source, dataset) - 1)')} AS r
@@ -236,7 +237,7 @@ stacked AS (
   LEFT JOIN (SELECT * FROM ranked WHERE source = 'c') c ON c.ID = a.ID)"""
 
 
-_STACKED = ["ID", "dataset", "pred", "balance", "efs_time"]
+_STACKED = ["ID", "dataset", "status", "pred", "balance", "efs_time"]
 
 
 def _stacked(frame: DataFrame) -> DataFrame:
@@ -327,11 +328,11 @@ def holdout(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- weights and targets -----------------------------------------------------
 
-_EVENT_N = "CASE WHEN status <> 'P' OR ID % 2 = 0 THEN efs END"
+_EVENT_N = "CASE WHEN status <> 'P' OR stratum = 'BUILDING' THEN efs END"
 
 
 def _with_null_events(df: DataFrame) -> DataFrame:
-    known = (F.col("status") != "P") | (F.col("ID") % 2 == 0)
+    known = (F.col("status") != "P") | (F.col("stratum") == "BUILDING")
     return df.withColumn("efs", F.when(known, F.col("efs")))
 
 

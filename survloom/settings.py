@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that one task may hold in memory as one group (see operators.concordance).
-GROUP_ROWS = 1 << 18
+GROUP_ROWS = 1 << 20
 
 _kept: list[DataFrame] = []
 
