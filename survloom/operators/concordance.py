@@ -10,8 +10,7 @@ exactly one of three places:
 * same time range: counted inside that range;
 * other time range, same risk range: counted inside the risk range;
 * both ranges differ: decided by the ranges alone, so it is counted on the
-  table of (time range, risk range) cells, which is the same problem again on
-  far fewer rows.
+  table of (time range, risk range) cells, level by level with wider ranges.
 
 Every row is shuffled twice, whatever the size. A value heavier than a range
 gets a range of its own (an event time is split from the censorings at that
@@ -41,6 +40,10 @@ from survloom.settings import GROUP_ROWS, keep
 
 _COUNT = "decimal(38,0)"
 _COUNTS = ("pairs", "concordant", "tied")
+#: Most cuts asked of one approximate quantile sketch.
+_MOST_RANGES = 1 << 20
+#: Neighbouring ranges joined per level of cells: 2 bits, so four of them.
+_JOINED_BITS = 2
 
 # The functions below run in Python workers: ship them with the task, so that the
 # executors need no copy of this package.
@@ -158,16 +161,46 @@ def _running_product(cells: DataFrame, keys: Sequence[str], along: str) -> DataF
     )
 
 
-def _count(rows: DataFrame, keys: Sequence[str], group_rows: int) -> DataFrame:
-    """Parts that add up, per keys, to the pair counts of ``rows``."""
+def _sizes(rows: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows in all, and rows of the largest key."""
     per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     size = per_key.agg(F.sum("_rows").alias("n"), F.max("_rows").alias("largest")).first()
-    n = size["n"] or 0
-    if (size["largest"] or 0) <= group_rows:
+    return size["n"] or 0, size["largest"] or 0
+
+
+def _count_cells(cells: DataFrame, keys: Sequence[str], group_rows: int) -> list[DataFrame]:
+    """Parts that sum to the concordant pairs of cells that differ in both ranges.
+
+    Four neighbouring ranges are joined per level: what falls in one joined range
+    is counted there, the rest on the joined cells. Each level has a sixteenth
+    of the possible cells, and one cell is left in the end.
+    """
+    rows = cells.withColumn("_r", F.col("_b").cast("double"))
+    if _sizes(cells, keys)[1] <= group_rows:
+        return [_count_groups(rows.withColumn("_all", F.lit(0)), keys, "_all", "_a", "_a")]
+    joined = rows.withColumns(
+        {"_a4": F.shiftright("_a", _JOINED_BITS), "_b4": F.shiftright("_b", _JOINED_BITS)}
+    )
+    parts = [
+        _count_groups(joined, keys, "_a4", "_a", "_a"),
+        _count_groups(joined, keys, "_b4", "_a4", "_a4"),
+    ]
+    coarse = keep(
+        joined.groupBy(*keys, F.col("_a4").alias("_a"), F.col("_b4").alias("_b")).agg(
+            F.sum("_ev").alias("_ev"), F.sum("_n").alias("_n")
+        )
+    )
+    return parts + _count_cells(coarse, keys, group_rows)
+
+
+def _count(rows: DataFrame, keys: Sequence[str], group_rows: int) -> DataFrame:
+    """Parts that add up, per keys, to the pair counts of ``rows``."""
+    n, largest = _sizes(rows, keys)
+    if largest <= group_rows:
         return _count_groups(rows.withColumn("_a", F.lit(0)), keys, "_a", "_t", "_late")
 
-    # Few enough ranges that the cells are at most a quarter of the rows.
-    ranges = max(2, min(math.ceil(2 * n / group_rows), int(math.sqrt(n / 8))))
+    # Cuts over all keys together: a range holds at most so many rows of any key.
+    ranges = max(2, min(math.ceil(2 * n / group_rows), _MOST_RANGES))
     t_cuts, t_heavy = _cuts(rows, "_t", ranges)
     r_cuts, r_heavy = _cuts(rows, "_r", ranges)
     ranged = with_range(with_range(rows, "_t", t_cuts, "_a"), "_r", r_cuts, "_rr")
@@ -201,19 +234,10 @@ def _count(rows: DataFrame, keys: Sequence[str], group_rows: int) -> DataFrame:
                 *keys, zero.alias("pairs"), zero.alias("concordant"), F.col("_sum").alias("tied")
             )
         )
-    coarse = cells.select(
-        *keys,
-        F.col("_a").cast("double").alias("_t"),
-        F.lit(0).alias("_late"),
-        F.col("_b").cast("double").alias("_r"),
-        "_ev",
-        "_n",
-    )
-    parts.append(
-        _count(coarse, keys, group_rows).select(
-            *keys, zero.alias("pairs"), "concordant", zero.alias("tied")
-        )
-    )
+    parts += [
+        part.select(*keys, zero.alias("pairs"), "concordant", zero.alias("tied"))
+        for part in _count_cells(cells, keys, group_rows)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
