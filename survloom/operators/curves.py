@@ -37,7 +37,7 @@ def tied_hazard(deaths: Column, at_risk: Column) -> Column:
     # The expansion needs 32 or more: it stops above that, the rest is added singly.
     single = F.ceil(F.greatest(32 - left, F.lit(0.0)))
     low = left + single
-    expanded = F.log(n) - F.log(low) + _harmonic_tail(n) - _harmonic_tail(low)
+    expanded = _harmonic_tail(n) - _harmonic_tail(low) - F.log1p(-(n - low) / n)
     return F.when(d <= _LOOP, added(F.least(d, F.lit(float(_LOOP))), n)).otherwise(
         expanded + added(single, low)
     )
