@@ -77,6 +77,8 @@ class Experiment:
     seeds: tuple[int, ...] = (1, 2, 3, 4, 5)
     n_splits: int = 7
     prob_clip: tuple[float, float] | None = None
+    #: A stack that also sees the encoded input columns.
+    input_features: bool = False
 
 
 def _matrix() -> dict[str, Experiment]:
@@ -112,7 +114,9 @@ def _matrix() -> dict[str, Experiment]:
         Experiment("rmse_km_half", "km_scaled", "rmse", "half"),
         Experiment("stack_tweedie_graded", "km_scaled", "tweedie", "stack_tweedie", n_splits=10),
         Experiment("stack_rmse_graded", "km_scaled", "rmse", "stack_rmse", n_splits=10),
-        Experiment("stack_rmse_ranked", "km_scaled", "rmse", "stack_tweedie", n_splits=10),
+        Experiment(
+            "stack_rmse_inputs", "km_scaled", "rmse", "stack_tweedie", n_splits=10, input_features=True
+        ),
     ]
     return {c.name: c for c in cells}
 
@@ -138,6 +142,8 @@ def build_features(rows: DataFrame, columns: Columns) -> DataFrame:
     """
     train = rows.filter(columns.is_train)
     filled = MeanImputer(columns.numeric, prefix="f_n_").fit(train).transform(rows)
+    if not columns.categorical:
+        return filled
     coded = OrdinalEncoder(columns.categorical, columns.id, "f_c_").fit(train).transform(filled)
     return clamp_codes(coded, [f"f_c_{c}" for c in columns.categorical])
 
@@ -327,7 +333,6 @@ def run_stack(
     results: Mapping[str, Result],
     columns: Columns,
     *,
-    extra_features: bool = False,
     seeds: Sequence[int] | None = None,
     n_splits: int | None = None,
     store: FoldStore | None = None,
@@ -335,12 +340,12 @@ def run_stack(
 ) -> Result:
     """An experiment whose features are the predictions and ranks of earlier ones.
 
-    ``extra_features`` adds the encoded input columns. Ids missing from a later
-    source get the mean of that source.
+    ``input_features`` of the experiment adds the encoded input columns. Ids
+    missing from a later source get the mean of that source.
     """
     sources = {name: {"oof": r.oof, "test": r.test} for name, r in results.items()}
     wide = stack_sources(long_predictions(sources, columns.id), list(results), columns.id)
-    base = build_features(rows, columns) if extra_features else rows
+    base = build_features(rows, columns) if spec.input_features else rows
     joined = staged(base.join(wide, columns.id, "left"), "stacked")
     names = columns_with_prefix(wide, "f_")
     train_rows = joined.filter(columns.is_train)

@@ -322,7 +322,7 @@ def _bins_sql() -> str:
         )
         index = f"len(list_filter(e_{c}[2:len(e_{c}) - 1], lambda e: e <= {c}))"
         known = f"CASE WHEN {c} IS NOT NULL THEN {index} END"
-        shown.append(f"CAST({known} AS INTEGER) AS {c}_bin")
+        shown.append(f"CAST({known} AS DOUBLE) AS {c}_bin")
         low, high = f"e_{c}[{known} + 1]", f"e_{c}[{known} + 2]"
         shown.append(f"{sql_rounded(f'({c} - {low}) / ({high} - {low})')} AS {c}_frac")
     return _with_holes(
@@ -338,8 +338,8 @@ def quantile_bins(spark: SparkSession, folder: str) -> DataFrame:
     ).transform(rows)
     return binned.select(
         "ID",
-        "price_bin",
+        F.col("price_bin").cast("double").alias("price_bin"),
         rounded("price_frac").alias("price_frac"),
-        "balance_bin",
+        F.col("balance_bin").cast("double").alias("balance_bin"),
         rounded("balance_frac").alias("balance_frac"),
     )

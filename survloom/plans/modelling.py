@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from survloom.operators import crossfit as cf
 from survloom.operators.blend import average_by_id, fit_blend_weights
-from survloom.operators.cox import CoxRegression
 from survloom.operators.encoders import OneHotEncoder
 from survloom.operators.folds import assign_folds
 from survloom.operators.models import GroupMeanRegressor, mark_nominal, predict, regressor
@@ -19,6 +17,7 @@ from survloom.plans.experiments import (
     run_stack,
     target_stage,
 )
+from survloom.plans.experiments import hazard_stage as cox_stage
 from survloom.plans.registry import query, rounded, sql_folds, sql_rounded
 from survloom.settings import fresh_path, keep, staged
 from survloom.sources.frames import survival_frame, training_rows
@@ -255,16 +254,10 @@ def blend_weights(spark: SparkSession, folder: str) -> DataFrame:
 @query("hazard_stage")
 def hazard_stage(spark: SparkSession, folder: str) -> DataFrame:
     """Cox regression as a cross-fitted model, averaged over seeds."""
-    train = _rows(spark, folder).filter(training_rows()).select("ID", "efs", "efs_time", *_FEATURES)
-    folded = staged(cf.with_seed_folds(train, "ID", 2, [1]), "train")
-    run = cf.cross_fit_seeds(
-        lambda i, seed: CoxRegression(_FEATURES, tol=1e-4),
-        folded,
-        name="cox",
-        seeds=[1],
-        meta=["ID"],
-    )
-    return average_by_id(run.predictions, "ID").withColumnRenamed("pred", "t_hazard_pred")
+    rows = _experiment_rows(spark, folder)
+    numeric = Columns(numeric=("price", "balance"))
+    ids = rows.filter(training_rows()).select("ID")
+    return cox_stage(rows, ids, numeric, seeds=(1,), n_splits=2)
 
 
 # --- whole jobs ----------------------------------------------------------------

@@ -135,7 +135,7 @@ _FOLD_SCORES = f"""SELECT * FROM (WITH folded AS ({sql_folds("(SELECT * FROM fra
   named AS (SELECT stratum, efs_time AS t, efs AS e, pred AS p, 'price' AS name, fold FROM folded
             UNION ALL SELECT stratum, efs_time, efs, balance, 'balance', fold FROM folded),
   {_sql_pairs("SELECT * FROM named UNION ALL SELECT * REPLACE (NULL AS fold) FROM named", "name, fold, stratum")}
-  SELECT name, fold, {sql_rounded('avg(c) - stddev_pop(c)')} AS score
+  SELECT name, CAST(fold AS DOUBLE) AS fold, {sql_rounded('avg(c) - stddev_pop(c)')} AS score
   FROM (SELECT *, (concordant + tied / 2) / pairs AS c FROM counts) GROUP BY name, fold)"""
 
 
@@ -151,7 +151,9 @@ def _fold_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
     whole = named.withColumn("fold", F.lit(None).cast("int"))
     scores = concordance_metric()(named.unionByName(whole), ["name", "fold"])
-    return scores.select("name", "fold", rounded("score").alias("score"))
+    return scores.select(
+        "name", F.col("fold").cast("double").alias("fold"), rounded("score").alias("score")
+    )
 
 
 @query("fold_scores", _FOLD_SCORES)

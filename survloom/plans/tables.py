@@ -63,7 +63,7 @@ def submission_file(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _UNION_SQL = """
-SELECT ID, dataset, efs, efs_time, stratum, fold, amount FROM (
+SELECT ID, dataset, CAST(efs AS DOUBLE) AS efs, efs_time, stratum, CAST(fold AS DOUBLE) AS fold, amount FROM (
   SELECT ID, 'TRAIN' AS dataset, efs, efs_time, stratum, -1 AS fold,
          CAST(customer AS DOUBLE) AS amount FROM frame WHERE dataset = 'TRAIN'
   UNION ALL
@@ -73,7 +73,12 @@ SELECT ID, dataset, efs, efs_time, stratum, fold, amount FROM (
 def _train_and_test(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     frame = survival_frame(spark, folder)
     train = frame.filter(training_rows()).select(
-        "ID", "efs", "efs_time", "stratum", F.lit(-1).alias("fold"), F.col("customer").alias("amount")
+        "ID",
+        F.col("efs").cast("double").alias("efs"),
+        "efs_time",
+        "stratum",
+        F.lit(-1.0).alias("fold"),
+        F.col("customer").alias("amount"),
     )
     test = frame.filter(F.col("dataset") == "TEST").select(
         "ID", "stratum", F.col("price").alias("amount")
