@@ -253,16 +253,18 @@ def concordance_counts(
     """Per keys: comparable, concordant and tied pairs, and the C-index.
 
     Columns ``pairs``, ``concordant``, ``tied`` (decimal: they grow with the
-    square of the rows), ``incomplete`` (rows with a null time, event or risk,
-    which belong to no pair) and ``c_index``, null when no pair is comparable.
+    square of the rows), ``incomplete`` (rows with a null or NaN time, event or
+    risk, which belong to no pair) and ``c_index``, null when no pair is comparable.
     """
-    complete = F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(risk).isNotNull()
+    t, r = F.col(time).cast("double"), F.col(risk).cast("double")
+    unknown = t.isNull() | F.isnan(t) | F.col(event).isNull() | r.isNull() | F.isnan(r)
+    complete = ~unknown
     base = keep(
         df.select(
             *keys,
-            F.col(time).cast("double").alias("_t"),
+            t.alias("_t"),
             (F.col(event) != 1).cast("int").alias("_late"),
-            F.col(risk).cast("double").alias("_r"),
+            r.alias("_r"),
             (F.col(event) == 1).cast("long").alias("_ev"),
             F.lit(1).cast("long").alias("_n"),
             complete.alias("_ok"),

@@ -44,7 +44,7 @@ def quantile_cuts(df: DataFrame, columns: Sequence[str], ranges: int) -> dict[st
             for c in columns
         ]
     ).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
+    return {c: sorted({v for v in row[c] or [] if v == v}) for c in columns}
 
 
 def with_range(df: DataFrame, column: str, cuts: Sequence[float], out: str = "_b") -> DataFrame:

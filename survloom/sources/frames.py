@@ -23,12 +23,15 @@ def first_after(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     days = lineitem.select(
         F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("_day")
     ).distinct()
-    # The aggregation finds its rows already partitioned by o_orderkey.
+    # Both sides grow with the data, so neither is to be broadcast. The aggregation
+    # finds its rows already partitioned and sorted by o_orderkey. The order's
+    # own columns are aggregates, not keys, so that unused ones are never read.
     later = F.min(F.when(F.col("_day") > F.to_date("o_orderdate"), F.col("_day")))
+    own = [F.first(c).alias(c) for c in orders.columns if c != "o_orderkey"]
     return (
-        orders.join(days, "o_orderkey", "left")
-        .groupBy(*orders.columns)
-        .agg(later.alias("first_ship"))
+        orders.join(days.hint("merge"), "o_orderkey", "left")
+        .groupBy("o_orderkey")
+        .agg(*own, later.alias("first_ship"))
     )
 
 

@@ -80,9 +80,10 @@ def test_score_of_one_stratum_is_its_c_index(micro):
 
 
 def test_incomplete_rows_make_the_score_null(spark, micro):
-    more = micro.unionByName(spark.createDataFrame([(7, 1.5, 1, None)], micro.schema))
+    unknown = [(7, 1.5, 1, None), (8, 1.5, 1, float("nan")), (9, None, 1, 0.1), (10, 1.5, None, 0.1)]
+    more = micro.unionByName(spark.createDataFrame(unknown, micro.schema))
     row = concordance_counts(more, "time", "event", "pred").first()
-    assert int(row.pairs) == 11 and row.incomplete == 1
+    assert int(row.pairs) == 11 and row.incomplete == 4
     scored = stratified_score(more.withColumn("g", F.lit("a")), "time", "event", "pred", "g")
     assert scored.first().score is None
 
