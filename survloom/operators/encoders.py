@@ -28,12 +28,18 @@ MISSING = -2
 class RowEncoder(Transformer):
     """An encoder that needs no fitting: a list of new columns, added in one select."""
 
-    def __init__(self, build: Callable[[DataFrame], Sequence[Column]]):
+    def __init__(
+        self,
+        build: Callable[[DataFrame], Sequence[Column]],
+        drop: Callable[[DataFrame], Sequence[str]] | None = None,
+    ):
         super().__init__()
-        self._build = build
+        self._build, self._drop = build, drop
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.select("*", *self._build(dataset))
+        dropped = set(self._drop(dataset)) if self._drop else set()
+        kept = [F.col(f"`{c}`") for c in dataset.columns if c not in dropped]
+        return dataset.select(*kept, *self._build(dataset))
 
 
 # --- without a dictionary ----------------------------------------------------
@@ -64,51 +70,66 @@ def _combined(
 
 
 def arithmetic_combinations(
-    columns: Sequence[str],
+    columns: Sequence[str] = (),
     *,
     operator: str = "+",
     include: Sequence[str] = (),
+    exclude: Sequence[str] = (),
     r: int = 2,
     prefix: str = "",
     suffix: str = "_combi",
+    drop_origin: bool = False,
 ) -> RowEncoder:
     """Sums (null as 0) or products (null poisons) of every combination of ``r`` columns.
 
-    ``include`` columns take part in all of them.
+    ``include`` columns take part in all of them. No columns named means all but
+    the ``exclude`` ones; ``drop_origin`` drops the combined columns.
     """
     how = {"+": sum_of, "*": product_of}
     if operator not in how:
         raise ValueError(f"operator {operator!r} is not one of + and *")
 
+    def chosen(df: DataFrame) -> list[str]:
+        return list(columns) or [c for c in df.columns if c not in {*exclude, *include}]
+
     def build(df: DataFrame) -> list[Column]:
         new = {}
-        for together, free in _combined(columns, include, r):
+        for together, free in _combined(chosen(df), include, r):
             name = prefix + operator.join([*include, *sorted(free)]) + suffix
             new.setdefault(name, how[operator](together).alias(name))
         return list(new.values())
 
-    return RowEncoder(build)
+    return RowEncoder(build, (lambda df: [*include, *chosen(df)]) if drop_origin else None)
 
 
 def string_combinations(
-    columns: Sequence[str],
+    columns: Sequence[str] = (),
     *,
     separator: str = " ",
     include: Sequence[str] = (),
+    exclude: Sequence[str] = (),
     r: int = 2,
     prefix: str = "",
     suffix: str = "_concat",
+    drop_origin: bool = False,
 ) -> RowEncoder:
-    """Joined text of every combination of ``r`` columns; one null makes it null."""
+    """Joined text of every combination of ``r`` columns; one null makes it null.
+
+    No columns named means all text columns but the ``exclude`` ones.
+    """
+
+    def chosen(df: DataFrame) -> list[str]:
+        texts = [c for c, kind in df.dtypes if kind == "string" and c not in {*exclude, *include}]
+        return list(columns) or texts
 
     def build(df: DataFrame) -> list[Column]:
         new = {}
-        for together, _ in _combined(columns, include, r):
+        for together, _ in _combined(chosen(df), include, r):
             name = prefix + separator.join(together) + suffix
             new.setdefault(name, joined_text(together, separator).alias(name))
         return list(new.values())
 
-    return RowEncoder(build)
+    return RowEncoder(build, (lambda df: [*include, *chosen(df)]) if drop_origin else None)
 
 
 def category_crosses(columns: Sequence[str], r: int = 2) -> RowEncoder:

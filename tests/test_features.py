@@ -75,6 +75,16 @@ def test_arithmetic_nulls(spark):
     assert values(product, "a*b_combi") == [None, 12.0]
 
 
+def test_combinations_of_all_columns(spark, pets):
+    df = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "id long, a double, b double, c double")
+    out = enc.arithmetic_combinations(exclude=["id"], drop_origin=True).transform(df)
+    assert out.columns == ["id", "a+b_combi", "a+c_combi", "b+c_combi"]
+    fixed = enc.arithmetic_combinations(["a", "b"], include=["c"], r=3).transform(df)
+    assert fixed.columns[-1] == "c+a+b_combi" and fixed.first()["c+a+b_combi"] == 9.0
+    texts = enc.string_combinations(drop_origin=True, separator="_").transform(pets)
+    assert texts.columns == ["id", "pet_tag_concat"]
+
+
 def test_group_of_one_and_null_key(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "b", 5.0), (4, None, 7.0)], "id long, g string, v double")
     encoder = enc.GroupStatisticsEncoder(
