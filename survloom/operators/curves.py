@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from survloom.operators.prefix import carry_last, key_column, key_fields, quantile_cuts, running_sums
+from survloom.operators.prefix import carry_last, key_column, quantile_cuts, running_sums
 from survloom.settings import bucket_count, keep
 
 _LOOP = 64
