@@ -49,15 +49,15 @@ def _tokenised(rows: DataFrame, tokenizer: str, pattern: str, closing: int, wind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens.load(tokenizer)
-        encoder = tokens.CachedEncoder(tokens.rank_encoder(model, pattern), tokens.packed)
+        encoder = tokens.rank_encoder(model, pattern)
         frequency = np.zeros(model.get_vocab_size(with_added_tokens=True), np.int64)
         # Ids of such vocabularies are in the order of merging, from frequent to rare.
         rarity = np.log(2.0 + np.arange(len(frequency)))
         end = tokens.packed([closing])
         for batch, texts in sliced(batches, "text"):
             out = []
-            for doc_id, kept in zip(batch.column("doc_id").to_pylist(), encoder(texts), strict=True):
-                data = b"".join(kept) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(texts), strict=True):
+                data = ids + end
                 total = len(data) // 4
                 whole = total - total % window
                 for start in range(0, whole, window):
