@@ -34,7 +34,7 @@ from survloom.settings import staged
 #: Words of a unit, and of a removed run of units, at least.
 LEAST_PART, LEAST_WORDS = 4, 8
 
-_BREAK = re.compile(r"(?:(?<=[.!?…])\s+|(?<=[^\W\d_])[,;:]? +(?=[^\W\d_a-zß-öø-ÿ]))(?=\S)")
+_BREAK = re.compile(r"(?:(?<=[.!?…])\s+|(?:(?<=[a-zß-öø-ÿ])|(?<=[a-zß-öø-ÿ][,;:])) +(?=[A-ZÀ-ÖØ-Þ]))(?=\S)")
 _WORD = re.compile(r"\S+")
 
 

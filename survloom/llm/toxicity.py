@@ -2,8 +2,8 @@
 
 A logistic model over the presence of words and word beginnings. Each training
 document that mentions an identity term is paired with a copy whose sentences name
-another term of the same kind; the squared change of the logit between the two is
-part of the loss. A group mention then cannot raise a score by itself, which removes
+another term of the same kind, and with one that names none; the squared changes of the logit
+are part of the loss. A group mention then cannot raise a score by itself, which removes
 false positives on neutral mentions.
 
 The model is fitted on a sample of labelled documents of at most ``PER_CLASS`` rows a
@@ -111,24 +111,28 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     return docs.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").dropDuplicates(["doc_id"])
 
 
+_VIEWS = ("own", "swapped", "unnamed")
+
+
 def _listed(sample: DataFrame, other: dict[str, str]) -> DataFrame:
-    """Features of each sample document, and those of its counterfactual copy."""
+    """Features of each sample document, and those of its counterfactual copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in sliced(batches, "text"):
             own = [features_of(words_of(t)) for t in texts]
             copies = [features_of(words_of(counterfactual(t, other))) if other.keys() & o else None for t, o in zip(texts, own, strict=True)]
-            arrays = [pa.array([None if x is None else sorted(x) for x in xs], pa.list_(pa.string())) for xs in (own, copies)]
-            yield pa.RecordBatch.from_arrays([rows.column("toxic").cast(pa.int32()), *arrays], ["toxic", "own", "copy"])
+            unnamed = [features_of(words_of(t) - other.keys()) if c is not None else None for t, c in zip(texts, copies, strict=True)]
+            lists = [[None if x is None else sorted(x) for x in xs] for xs in (own, copies, unnamed)]
+            arrays = [pa.array(xs, pa.list_(pa.string())) for xs in lists]
+            yield pa.RecordBatch.from_arrays([rows.column("toxic").cast(pa.int32()), *arrays], ["toxic", *_VIEWS])
 
-    return sample.select("toxic", "text").mapInArrow(run, "toxic int, own array<string>, copy array<string>")
+    return sample.select("toxic", "text").mapInArrow(run, "toxic int" + "".join(f", {v} array<string>" for v in _VIEWS))
 
 
-def _minimise(own: np.ndarray, copy: np.ndarray, label: np.ndarray, penalty: float) -> np.ndarray:
+def _minimise(own: np.ndarray, copies: list[np.ndarray], label: np.ndarray, penalty: float) -> np.ndarray:
     """Coefficients (the last is the constant) of the regularised logistic loss, by Adam."""
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())).astype(np.float32)
-    changed = np.flatnonzero((own != copy).any(axis=1))
-    gap = own[changed] - copy[changed]
+    gap = np.concatenate([(own - copy)[(own != copy).any(axis=1)] for copy in copies])
     beta = np.zeros(own.shape[1] + 1)
     beta[-1] = -1.0
     first, second = np.zeros_like(beta), np.zeros_like(beta)
@@ -166,18 +170,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, penalty:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            out = [[[place[f] for f in x if f in place] if x is not None else None for x in rows.column(c).to_pylist()] for c in ("own", "copy")]
-            yield pa.RecordBatch.from_arrays([rows.column("toxic"), *(pa.array(x, pa.list_(pa.int32())) for x in out)], ["toxic", "own", "copy"])
+            out = [[[place[f] for f in x if f in place] if x is not None else None for x in rows.column(c).to_pylist()] for c in _VIEWS]
+            yield pa.RecordBatch.from_arrays([rows.column("toxic"), *(pa.array(x, pa.list_(pa.int32())) for x in out)], ["toxic", *_VIEWS])
 
     # At most 2 * per_class rows of at most MAX_FEATURES small numbers.
-    rows = listed.mapInArrow(run, "toxic int, own array<int>, copy array<int>").toPandas()
+    rows = listed.mapInArrow(run, "toxic int" + "".join(f", {v} array<int>" for v in _VIEWS)).toPandas()
     rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows.toxic.iloc[i], list(rows.own.iloc[i])))]
-    own = np.zeros((len(rows), len(features)), np.float32)
-    copy = np.zeros_like(own)
-    for i, (mine, swapped) in enumerate(zip(rows.own, rows["copy"], strict=True)):
+    own, *copies = (np.zeros((len(rows), len(features)), np.float32) for _ in _VIEWS)
+    for i, mine in enumerate(rows["own"]):
         own[i, np.asarray(mine, int)] = 1
-        copy[i, np.asarray(mine if swapped is None else swapped, int)] = 1
-    beta = _minimise(own, copy, rows.toxic.to_numpy(np.float32), penalty)
+        for copy, view in zip(copies, _VIEWS[1:], strict=True):
+            known = rows[view].iloc[i]
+            copy[i, np.asarray(mine if known is None else known, int)] = 1
+    beta = _minimise(own, copies, rows.toxic.to_numpy(np.float32), penalty)
     return Model(float(beta[-1]), {f: float(b) for f, b in zip(features, beta[:-1], strict=True) if abs(b) > 1e-6})
 
 
