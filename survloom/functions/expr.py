@@ -36,11 +36,6 @@ def columns_with_prefix(df: DataFrame, prefix: str) -> list[str]:
     return sorted(c for c in df.columns if c.startswith(prefix))
 
 
-def add_prefix(df: DataFrame, prefix: str, *, exclude: Sequence[str] = ()) -> DataFrame:
-    """Prefix every column name but the excluded ones."""
-    return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in set(exclude)})
-
-
 def sum_of(columns: Sequence[str]) -> Column:
     """Row sum in which null counts as 0."""
     return reduce(add, [F.coalesce(F.col(c), F.lit(0)) for c in columns])

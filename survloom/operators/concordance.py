@@ -12,7 +12,8 @@ exactly one of three places:
 * both ranges differ: decided by the ranges alone, so it is counted on the
   table of (time range, risk range) cells, level by level with wider ranges.
 
-Every row is shuffled twice, whatever the size. A value heavier than a range
+Equal rows are merged first; every distinct row is then shuffled twice, whatever
+the size, and there is no other path for small tables. A value heavier than a range
 gets a range of its own (an event time is split from the censorings at that
 time), where no counting is needed, so no group outgrows ``group_rows`` by more
 than the error of the approximate cuts.
@@ -40,8 +41,6 @@ from survloom.settings import GROUP_ROWS, keep
 
 _COUNT = "decimal(38,0)"
 _COUNTS = ("pairs", "concordant", "tied")
-#: Most cuts asked of one approximate quantile sketch.
-_MOST_RANGES = 1 << 20
 #: Neighbouring ranges joined per level of cells: 2 bits, so four of them.
 _JOINED_BITS = 2
 
@@ -143,7 +142,7 @@ def _count_groups(
 def _cuts(rows: DataFrame, column: str, ranges: int) -> tuple[list[float], list[int]]:
     """Equi-depth cuts, and the indexes of ranges that hold a single heavy value."""
     probs = [i / ranges for i in range(1, ranges)]
-    found = rows.agg(F.percentile_approx(column, probs, max(10_000, 10 * ranges))).first()[0]
+    found = rows.agg(F.percentile_approx(column, probs, max(10_000, 10 * ranges))).first()[0] or []
     heavy = [v for v, again in zip(found, found[1:]) if v == again]
     cuts = sorted({*found, *[math.nextafter(v, math.inf) for v in heavy]})
     return cuts, sorted({bisect_right(cuts, v) for v in heavy})
@@ -195,12 +194,9 @@ def _count_cells(cells: DataFrame, keys: Sequence[str], group_rows: int) -> list
 
 def _count(rows: DataFrame, keys: Sequence[str], group_rows: int) -> DataFrame:
     """Parts that add up, per keys, to the pair counts of ``rows``."""
-    n, largest = _sizes(rows, keys)
-    if largest <= group_rows:
-        return _count_groups(rows.withColumn("_a", F.lit(0)), keys, "_a", "_t", "_late")
-
+    n, _ = _sizes(rows, keys)
     # Cuts over all keys together: a range holds at most so many rows of any key.
-    ranges = max(2, min(math.ceil(2 * n / group_rows), _MOST_RANGES))
+    ranges = max(2, math.ceil(2 * n / group_rows))
     t_cuts, t_heavy = _cuts(rows, "_t", ranges)
     r_cuts, r_heavy = _cuts(rows, "_r", ranges)
     ranged = with_range(with_range(rows, "_t", t_cuts, "_a"), "_r", r_cuts, "_rr")
@@ -269,12 +265,14 @@ def concordance_counts(
             F.lit(1).cast("long").alias("_n"),
             complete.alias("_ok"),
         )
+        .groupBy(*keys, "_t", "_late", "_r", "_ok")
+        .agg(F.sum("_ev").alias("_ev"), F.sum("_n").alias("_n"))
     )
     counted = _count(base.filter("_ok").drop("_ok"), keys, group_rows)
     skipped = (
         base.filter(~F.col("_ok"))
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("incomplete"))
+        .agg(F.sum("_n").alias("incomplete"))
     )
     both = counted.unionByName(skipped, allowMissingColumns=True)
     total = [F.coalesce(F.sum(c), F.lit(0)).cast(_COUNT).alias(c) for c in _COUNTS]

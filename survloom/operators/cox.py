@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from survloom.operators.curves import at_or_before
 from survloom.operators.persistence import TableModel
 from survloom.operators.prefix import quantile_cuts, running_sums
-from survloom.settings import bucket_count, keep
+from survloom.settings import bucket_count, keep, staged
 
 _CHUNK = 100_000
 
@@ -192,7 +192,7 @@ class CoxRegression(Estimator):
             "predictionCol": self.prediction_col,
         }
         scored = dataset.withColumn("_lp", linear_predictor(coefficients, centers))
-        baseline = keep(breslow_baseline(scored, self.time, self.event, "_lp"))
+        baseline = staged(breslow_baseline(scored, self.time, self.event, "_lp"))
         return CoxModel(options, baseline.select(self.time, "hazard"))
 
 

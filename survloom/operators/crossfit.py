@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from survloom.functions.expr import mean_of
 from survloom.operators.concordance import stratified_score
 from survloom.operators.folds import fold_table
 from survloom.operators.models import feature_importances, predict
+from survloom.operators.ranks import mean_squared_error, roc_auc
 
 Metric = Callable[[DataFrame, Sequence[str]], DataFrame]
 
@@ -89,10 +90,11 @@ def cross_fit(
     features: Sequence[str] = (),
     store: FoldStore | None = None,
     overwrite: bool = False,
+    usable: Column | None = None,
 ) -> CrossFit:
     """Per fold: fit on the other folds, predict the fold's own rows.
 
-    ``df`` is read twice per fold: pass a staged or persisted frame. With a
+    Rows that are not ``usable`` are left out of fitting only. ``df`` is read twice per fold: pass a staged or persisted frame. With a
     ``store``, a finished fold's model is loaded instead of fitted, unless
     ``overwrite``.
     """
@@ -100,11 +102,12 @@ def cross_fit(
         folds = sorted(r[0] for r in df.select(fold_col).dropna().distinct().collect())
     models: dict[tuple[str, int], Model] = {}
     parts = []
+    fitting = df if usable is None else df.filter(usable)
     for fold in folds:
         if store and store.has_model(name, fold) and not overwrite:
             model = store.load_model(name, fold)
         else:
-            model = estimator.fit(df.filter(F.col(fold_col) != fold))
+            model = estimator.fit(fitting.filter(F.col(fold_col) != fold))
             if store:
                 saved = model if isinstance(model, PipelineModel) else PipelineModel([model])
                 store.save_model(name, fold, saved)
@@ -124,7 +127,13 @@ def cross_fit(
 def with_seed_folds(
     df: DataFrame, id_col: str, n_splits: int, seeds: Sequence[int]
 ) -> DataFrame:
-    """Add ``fold_{seed}`` for every seed: one pass over the ids, one join."""
+    """Add ``fold_{seed}`` for every seed: one pass over the ids, one join.
+
+    A null or repeated id is an error: its rows could not be told apart.
+    """
+    bad = df.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1))
+    if not bad.isEmpty():
+        raise ValueError(f"{id_col} must be unique and not null")
     folds = fold_table(df, id_col, n_splits, seeds)
     wide = folds.groupBy(id_col).pivot("seed", list(seeds)).agg(F.first("fold"))
     return df.join(wide.withColumnsRenamed({str(s): f"fold_{s}" for s in seeds}), id_col)
@@ -138,12 +147,15 @@ def cross_fit_seeds(
     seeds: Sequence[int],
     meta: Sequence[str],
     features: Sequence[str] = (),
+    folds: Sequence[int] | None = None,
     store: FoldStore | None = None,
     overwrite: bool = False,
+    usable: Column | None = None,
 ) -> CrossFit:
     """Cross-fit ``make(index, seed)`` on the folds ``fold_{seed}`` of each seed.
 
-    Hyperparameters may depend on the index. Names are ``{name}_{seed}``.
+    Hyperparameters may depend on the index. Names are ``{name}_{seed}``. Only
+    ``folds`` are fitted and predicted, by default all.
     """
     runs = [
         cross_fit(
@@ -152,9 +164,11 @@ def cross_fit_seeds(
             name=f"{name}_{seed}",
             meta=meta,
             fold_col=f"fold_{seed}",
+            folds=folds,
             features=features,
             store=store,
             overwrite=overwrite,
+            usable=usable,
         )
         for i, seed in enumerate(seeds)
     ]
@@ -180,6 +194,21 @@ def concordance_metric(
     return lambda df, keys: stratified_score(df, time, event, pred, stratum, keys=keys)
 
 
+def auc_metric(event: str = "efs", pred: str = "pred") -> Metric:
+    """The area under the ROC curve as a metric of a frame and key columns."""
+
+    def score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        found = roc_auc(df, event, pred, keys=keys)
+        return found.withColumnRenamed(next(c for c in found.columns if c not in keys), "score")
+
+    return score
+
+
+def mse_metric(target: str, pred: str = "pred") -> Metric:
+    """The mean squared error as a metric of a frame and key columns."""
+    return lambda df, keys: mean_squared_error(df, target, pred, keys=keys).withColumnRenamed("mse", "score")
+
+
 def best_by_metric(
     candidates: Mapping[str, Estimator],
     df: DataFrame,

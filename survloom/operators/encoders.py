@@ -19,7 +19,7 @@ from survloom.operators.folds import assign_folds
 from survloom.operators.persistence import TableModel
 from survloom.operators.prefix import quantile_cuts, running_sums, with_range
 from survloom.operators.ranks import quantiles
-from survloom.settings import bucket_count, keep
+from survloom.settings import bucket_count, staged
 
 UNKNOWN = -1
 MISSING = -2
@@ -198,7 +198,7 @@ class OrdinalEncoder(Estimator):
         self.columns, self.id_col, self.prefix = list(columns), id_col, prefix
 
     def _fit(self, dataset: DataFrame) -> OrdinalModel:
-        table = keep(first_appearance(dataset, self.columns, self.id_col))
+        table = staged(first_appearance(dataset, self.columns, self.id_col))
         return OrdinalModel({"columns": self.columns, "prefix": self.prefix}, table)
 
 
@@ -229,7 +229,7 @@ class OneHotEncoder(Estimator):
         self.drop_last, self.max_columns = drop_last, max_columns
 
     def _fit(self, dataset: DataFrame) -> OneHotModel:
-        table = keep(first_appearance(dataset, [self.column], self.id_col))
+        table = staged(first_appearance(dataset, [self.column], self.id_col))
         n = table.count()
         if n > self.max_columns:
             raise ValueError(f"{n} categories in {self.column}, at most {self.max_columns}")
@@ -326,7 +326,7 @@ class TargetMeanEncoder(Estimator):
             "_fold",
             *[F.col(c).cast("string").alias(c) for c in self.columns],
         ).unpivot(["_y", "_fold"], self.columns, "col", "val")
-        table = keep(
+        table = staged(
             long.filter(F.col("val").isNotNull() & F.col("_y").isNotNull())
             .groupBy("col", "val", "_fold")
             .agg(F.sum("_y").alias("_sum"), F.count(F.lit(1)).alias("_n"))
@@ -427,7 +427,7 @@ class GroupStatisticsEncoder(Estimator):
                 *self.keys, F.col("quantile").alias(alias)
             )
             table = table.join(found, self.keys, "left")
-        table = keep(table.drop("_n"))
+        table = staged(table.drop("_n"))
         options = {
             "keys": self.keys,
             "group_name": "_x_".join(self.keys),
@@ -489,7 +489,7 @@ class ScalingEncoder(Estimator):
             }[self.method]
             table = long.groupBy("col").agg(center.alias("center"), spread.alias("scale"))
         scale = F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale"))
-        table = keep(table.withColumn("scale", scale))
+        table = staged(table.withColumn("scale", scale))
         return ShiftScaleModel({"columns": self.columns, "prefix": self.prefix}, table)
 
 
@@ -512,7 +512,7 @@ class MeanImputer(Estimator):
         self.columns, self.prefix = list(columns), prefix
 
     def _fit(self, dataset: DataFrame) -> MeanImputerModel:
-        table = keep(dataset.agg(*[F.avg(c).alias(c) for c in self.columns]))
+        table = staged(dataset.agg(*[F.avg(c).alias(c) for c in self.columns]))
         return MeanImputerModel({"columns": self.columns, "prefix": self.prefix}, table)
 
 
@@ -551,5 +551,5 @@ class QuantileBinsEncoder(Estimator):
             [], self.columns, "col", "x"
         )
         probs = [i / self.n_bins for i in range(self.n_bins + 1)]
-        table = keep(quantiles(long, "x", probs, keys=["col"]))
+        table = staged(quantiles(long, "x", probs, keys=["col"]))
         return QuantileBinsModel({"columns": self.columns}, table)

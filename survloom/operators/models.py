@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from survloom.operators.persistence import TableModel
-from survloom.settings import keep
+from survloom.settings import staged
 
 
 def mark_nominal(df: DataFrame, cardinalities: Mapping[str, int]) -> DataFrame:
@@ -60,7 +60,7 @@ class GroupMeanRegressor(Estimator):
     def _fit(self, dataset: DataFrame) -> GroupMeanModel:
         w = F.col(self.weight) if self.weight else F.lit(1.0)
         w = F.when(F.col(self.label).isNotNull(), w)
-        table = keep(
+        table = staged(
             dataset.groupBy(*self.keys)
             .agg(F.sum(F.col(self.label) * w).alias("_wy"), F.sum(w).alias("_w"))
             .withColumn("_mean", F.try_divide("_wy", "_w"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -275,8 +276,18 @@ def _cross_fit_goal(
             tuned["seed"] = seed
         return regressor(spec.objective, names, "goal", weight=weight, **tuned)
 
+    # An undefined goal or weight (no known event, probability 0) cannot be learned from.
+    known = [] if spec.objective == "cox" else ["goal", *([weight] if weight else [])]
+    usable = reduce(lambda seen, c: seen & F.col(c).isNotNull() & ~F.isnan(c), known, F.lit(True))
     run = cross_fit_seeds(
-        make, folded, name=spec.name, seeds=seeds, meta=columns.meta, features=names, store=store
+        make,
+        folded,
+        name=spec.name,
+        seeds=seeds,
+        meta=columns.meta,
+        features=names,
+        store=store,
+        usable=usable,
     )
     run.predictions = staged(run.predictions, "predictions")
     metric = concordance_metric(columns.time, columns.event, columns.stratum)

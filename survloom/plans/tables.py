@@ -34,18 +34,21 @@ from survloom.sources.frames import survival_frame, training_rows
 @query(
     "csv_round_trip",
     """SELECT ID, nullif(priority, '3-MEDIUM') AS priority,
-              CASE WHEN efs = 1 THEN efs_time END AS shipped_after, price FROM frame""",
+              CASE WHEN efs = 1 THEN efs_time END AS shipped_after, price,
+              'say "' || status || '", then' || chr(10) || priority AS note FROM frame""",
 )
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Nulls, and a text with quotes, commas and a line break."""
     df = survival_frame(spark, folder).select(
         "ID",
         F.nullif("priority", F.lit("3-MEDIUM")).alias("priority"),
         F.when(F.col("efs") == 1, F.col("efs_time")).alias("shipped_after"),
         "price",
+        F.concat(F.lit('say "'), "status", F.lit('", then\n'), "priority").alias("note"),
     )
     path = fresh_path(spark, "csv")
     write_csv(df, path)
-    return read_csv(spark, path, df.schema)
+    return read_csv(spark, path, df.schema, multi_line=True)
 
 
 @query("source_projection", "SELECT ID, pred FROM frame")

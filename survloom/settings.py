@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that one task may hold in memory as one group (see operators.concordance).
-GROUP_ROWS = 1 << 20
+GROUP_ROWS = 1 << 16
 
 _kept: list[DataFrame] = []
 
@@ -66,4 +66,4 @@ def release() -> None:
 
 def bucket_count(spark: SparkSession) -> int:
     """Ranges for ordered work: two per shuffle partition, so AQE can pack them."""
-    return max(2, min(20_000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))

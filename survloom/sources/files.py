@@ -11,16 +11,27 @@ from pyspark.sql import types as T
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] = ()
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    columns: Sequence[str] = (),
+    *,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header; an empty field is null. Only named columns are parsed."""
-    df = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
+    """CSV with a header, quotes doubled; an empty field is null. Only named columns are parsed.
+
+    With ``multi_line`` quoted values may hold line breaks; a file is then one
+    task's work, since it cannot be split at a line.
+    """
+    df = spark.read.csv(
+        path, header=True, schema=schema, mode="FAILFAST", quote='"', escape='"', multiLine=multi_line
+    )
     return df.select(*columns) if columns else df
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, null as an empty field, and an empty text as a quoted one."""
-    df.write.csv(path, header=True, emptyValue='""', nullValue="")
+    df.write.csv(path, header=True, emptyValue='""', nullValue="", quote='"', escape='"')
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -45,9 +56,17 @@ def _common_type(types: Sequence[T.DataType]) -> T.DataType:
     found = set(types)
     if len(found) == 1:
         return types[0]
-    if all(isinstance(t, _NUMERIC) for t in found):
-        floating = any(isinstance(t, (T.FloatType, T.DoubleType)) for t in found)
-        return T.DoubleType() if floating else T.LongType()
+    if all(isinstance(t, (*_NUMERIC, T.DecimalType, T.BooleanType)) for t in found):
+        if any(isinstance(t, (T.FloatType, T.DoubleType)) for t in found):
+            return T.DoubleType()
+        decimals = [t for t in found if isinstance(t, T.DecimalType)]
+        if not decimals:
+            return T.LongType()
+        scale = max(t.scale for t in decimals)
+        whole = max(19, *(t.precision - t.scale for t in decimals))
+        return T.DecimalType(min(38, whole + scale), scale)
+    if all(isinstance(t, (T.DateType, T.TimestampType)) for t in found):
+        return T.TimestampType()
     return T.StringType()
 
 
