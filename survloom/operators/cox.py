@@ -14,7 +14,35 @@ from survloom.operators.persistence import TableModel
 from survloom.operators.prefix import quantile_cuts, running_sums
 from survloom.settings import bucket_count, keep, staged
 
-_CHUNK = 100_000
+#: Last steps of a time's tied deaths that are added one by one; see _TIES.
+_ONE_BY_ONE = 64
+
+# Efron's sums over the steps q = 0 .. d - 1 of one time, of ln y, 1 / y and 1 / y^2 with
+# y = 1 - r q / d, in constant work and memory for any d: the last (smallest) y are added
+# one by one, all before them by the Euler-Maclaurin formula, whose error is there below
+# the rounding of the sums.
+_TIES = [
+    f"""aggregate(sequence(greatest(0L, _deaths - {_ONE_BY_ONE}), _deaths - 1),
+        named_struct('l', 0D, 'g', 0D, 'h', 0D),
+        (seen, q) -> named_struct(
+            'l', seen.l + ln(1 - _r * q / _deaths),
+            'g', seen.g + 1 / (1 - _r * q / _deaths),
+            'h', seen.h + 1 / pow(1 - _r * q / _deaths, 2))) AS _last""",
+    f"greatest(0L, _deaths - {_ONE_BY_ONE}) AS _many",
+    "greatest(_r / _deaths, 1e-300D) AS _step",
+    f"1 - greatest(_r / _deaths, 1e-300D) * greatest(0L, _deaths - {_ONE_BY_ONE} - 1) AS _y",
+]
+_TIE_SUMS = [
+    """_last.l + if(_many = 0, 0D,
+        -(_y * ln(_y) + _step * (_many - 1)) / _step + ln(_y) / 2
+        - _step * (1 / _y - 1) / 12 + pow(_step, 3) * (pow(_y, -3) - 1) / 360) AS _l""",
+    """_last.g + if(_many = 0, 0D,
+        -log1p(-_step * (_many - 1)) / _step + (1 / _y + 1) / 2
+        + _step * (pow(_y, -2) - 1) / 12 - pow(_step, 3) * (pow(_y, -4) - 1) / 120) AS _g""",
+    """_last.h + if(_many = 0, 0D,
+        (_many - 1) / _y + (pow(_y, -2) + 1) / 2
+        + _step * (pow(_y, -3) - 1) / 6 - pow(_step, 3) * (pow(_y, -5) - 1) / 30) AS _h""",
+]
 
 
 def linear_predictor(coefficients: dict[str, float], centers: dict[str, float]) -> Column:
@@ -26,13 +54,13 @@ def linear_predictor(coefficients: dict[str, float], centers: dict[str, float])
 
 
 def newton_terms(
-    patterns: DataFrame, beta: Sequence[float], cuts: Sequence[float], most_deaths: int
+    patterns: DataFrame, beta: Sequence[float], cuts: Sequence[float]
 ) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood, score and information of the partial likelihood, ties by Efron.
 
-    ``patterns`` has ``_t``, standardised ``_x0.._xp``, and the number of rows
-    ``_n`` and deaths ``_d`` of each pattern. Only 1 + p + p*p numbers reach the
-    driver.
+    ``patterns`` has ``_t``, standardised ``_x0.._xp``, and per pattern the weight of its
+    rows ``_n``, the number of its deaths ``_d`` and their weight ``_dw``. There is one
+    row per time, however many die at it. Only 1 + p + p*p numbers reach the driver.
     """
     p = len(beta)
     upper = [(i, j) for i in range(p) for j in range(i, p)]
@@ -44,10 +72,11 @@ def newton_terms(
     moments |= {f"2_{i}_{j}": f"_x{i} * _x{j}" for i, j in upper}
     sums = [
         "sum(_d) AS _deaths",
-        "sum(_d * _eta) AS _deta",
-        *[f"sum(_d * _x{i}) AS _dx{i}" for i in range(p)],
+        "sum(_dw) AS _dead",
+        "sum(_dw * _eta) AS _deta",
+        *[f"sum(_dw * _x{i}) AS _dx{i}" for i in range(p)],
         *[f"sum(_n * _w * {m}) AS _s{k}" for k, m in moments.items()],
-        *[f"sum(_d * _w * {m}) AS _e{k}" for k, m in moments.items()],
+        *[f"sum(_dw * _w * {m}) AS _e{k}" for k, m in moments.items()],
     ]
     by_time = (
         patterns.selectExpr("*", f"{eta} AS _eta")
@@ -62,24 +91,26 @@ def newton_terms(
         cuts=cuts,
         descending=True,
     ).filter("_deaths > 0")
-    if most_deaths > _CHUNK:
-        # A time with very many deaths: its steps are dealt out to other tasks.
-        starts = f"explode(sequence(0L, _deaths - 1, {_CHUNK}L)) AS _from"
-        at_risk = at_risk.selectExpr("*", starts).repartition("_t", "_from")
-        steps = at_risk.selectExpr(
-            "*", f"explode(sequence(_from, least(_from + {_CHUNK} - 1, _deaths - 1))) AS _q"
-        )
-    else:
-        steps = at_risk.selectExpr("*", "explode(sequence(0L, _deaths - 1)) AS _q")
-    phi = steps.selectExpr(
-        *["_q", "_deta", *[f"_dx{i}" for i in range(p)]],
-        *[f"_later{k} + _s{k} - _q / _deaths * _e{k} AS _f{k}" for k in moments],
-    )
-    row = phi.agg(
-        F.expr("sum(if(_q = 0, _deta, 0D) - ln(_f0)) AS ll"),
-        *[F.expr(f"sum(if(_q = 0, _dx{i}, 0D) - _f1_{i} / _f0) AS u{i}") for i in range(p)],
+
+    # Means at risk (_a) and of the deaths (_b), and the deaths' share _r of the risk.
+    means = at_risk.selectExpr(
+        "_deaths", "_dead", "_deta", *[f"_dx{i}" for i in range(p)],
+        "_later0 + _s0 AS _a0",
+        "least(1D, _e0 / (_later0 + _s0)) AS _r",
+        *[f"(_later{k} + _s{k}) / (_later0 + _s0) AS _a{k}" for k in moments if k != "0"],
+        *[f"coalesce(try_divide(_e{k}, _e0), 0D) AS _b{k}" for k in moments if k != "0"],
+    )
+    steps = means.selectExpr("*", *_TIES).selectExpr("*", *_TIE_SUMS)
+    per_step = "_dead / _deaths"
+    row = steps.agg(
+        F.expr(f"sum(_deta - {per_step} * (_deaths * ln(_a0) + _l)) AS ll"),
+        *[F.expr(f"sum(_dx{i} - {per_step} * (_a1_{i} * _g - _b1_{i} * (_g - _deaths))) AS u{i}") for i in range(p)],
         *[
-            F.expr(f"sum(_f2_{i}_{j} / _f0 - _f1_{i} / _f0 * _f1_{j} / _f0) AS i{i}_{j}")
+            F.expr(
+                f"sum({per_step} * (_a2_{i}_{j} * _g - _b2_{i}_{j} * (_g - _deaths) - _a1_{i} * _a1_{j} * _h"
+                f" + (_a1_{i} * _b1_{j} + _b1_{i} * _a1_{j}) * (_h - _g)"
+                f" - _b1_{i} * _b1_{j} * (_h - 2 * _g + _deaths))) AS i{i}_{j}"
+            )
             for i, j in upper
         ],
     ).first()
@@ -119,7 +150,8 @@ class CoxModel(TableModel):
 class CoxRegression(Estimator):
     """Proportional hazards on numeric columns; ``transform`` adds the log risk.
 
-    Ties by Efron, baseline by Breslow, covariates centred on their means.
+    Ties by Efron, baseline by Breslow, covariates centred on their means. ``weightCol``
+    holds case weights; rows whose weight is null or not above 0 take no part.
     """
 
     def __init__(
@@ -131,13 +163,18 @@ class CoxRegression(Estimator):
         max_iter: int = 30,
         tol: float = 1e-8,
         predictionCol: str = "prediction",
+        weightCol: str | None = None,
     ):
         super().__init__()
+        self.weight = weightCol
         self.features, self.time, self.event = list(features), time, event
         self.max_iter, self.tol, self.prediction_col = max_iter, tol, predictionCol
 
     def _fit(self, dataset: DataFrame) -> CoxModel:
+        weight = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+        dataset = dataset.filter(weight > 0)
         known = dataset.select(
+            weight.alias("_cw"),
             F.col(self.time).cast("double").alias("_t"),
             (F.col(self.event) == 1).cast("long").alias("_d"),
             *[F.col(c).cast("double").alias(c) for c in self.features],
@@ -157,22 +194,24 @@ class CoxRegression(Estimator):
                     ((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"])).alias(f"_x{i}")
                     for i, c in enumerate(self.features)
                 ],
-            ).agg(F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_d"))
+            ).agg(
+                F.sum("_cw").alias("_n"),
+                F.sum("_d").alias("_d"),
+                F.sum(F.col("_cw") * F.col("_d")).alias("_dw"),
+            )
         )
         cuts = quantile_cuts(patterns, ["_t"], bucket_count(dataset.sparkSession))["_t"]
-        deaths = patterns.groupBy("_t").agg(F.sum("_d").alias("_d"))
-        most = deaths.agg(F.max("_d")).first()[0] or 0
-        if most == 0:
+        if not patterns.agg(F.sum("_d")).first()[0]:
             raise ValueError("no event to fit on")
 
         beta = np.zeros(len(self.features))
-        ll, score, information = newton_terms(patterns, beta, cuts, most)
+        ll, score, information = newton_terms(patterns, beta, cuts)
         for _ in range(self.max_iter):
             step = np.linalg.solve(information, score)
             if abs(float(score @ step)) / 2 < self.tol:
                 break
             for _ in range(20):
-                trial = newton_terms(patterns, beta + step, cuts, most)
+                trial = newton_terms(patterns, beta + step, cuts)
                 if trial[0] >= ll - 1e-9 * abs(ll):
                     break
                 step = step / 2
@@ -192,21 +231,25 @@ class CoxRegression(Estimator):
             "predictionCol": self.prediction_col,
         }
         scored = dataset.withColumn("_lp", linear_predictor(coefficients, centers))
-        baseline = staged(breslow_baseline(scored, self.time, self.event, "_lp"))
+        baseline = staged(breslow_baseline(scored, self.time, self.event, "_lp", weight=self.weight))
         return CoxModel(options, baseline.select(self.time, "hazard"))
 
 
 def breslow_baseline(
-    df: DataFrame, time: str, event: str, log_risk: str, *, keys: Sequence[str] = ()
+    df: DataFrame, time: str, event: str, log_risk: str, *, keys: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
-    """Cumulative baseline ``hazard`` per distinct time: sum of deaths / risk at risk."""
+    """Cumulative baseline ``hazard`` per distinct time: sum of deaths / risk at risk.
+
+    Deaths and risks count by ``weight``, if that is given.
+    """
+    w = F.col(weight) if weight else F.lit(1)
     known = df.filter(
         F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(log_risk).isNotNull()
     )
     cuts = quantile_cuts(known, [time], bucket_count(df.sparkSession))[time]
     times = known.groupBy(*keys, F.col(time).cast("double").alias(time)).agg(
-        F.sum(F.when(F.col(event) == 1, 1).otherwise(0)).alias("deaths"),
-        F.sum(F.exp(log_risk)).alias("_risk"),
+        F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("deaths"),
+        F.sum(w * F.exp(log_risk)).alias("_risk"),
     )
     later = running_sums(
         times, [time], {"_later": F.col("_risk")}, keys=keys, cuts=cuts, descending=True

@@ -92,14 +92,13 @@ def _matrix() -> dict[str, Experiment]:
             for objective, target in (
                 ("tweedie", "scaled"),
                 ("cross_entropy", "normalized"),
-                ("boosted_tweedie", "scaled"),
                 ("gamma", "scaled"),
             ):
                 cells.append(
                     Experiment(
                         f"{objective}_{base}_{weighting}",
                         f"{base}_{target}",
-                        objective.removeprefix("boosted_"),
+                        objective,
                         weighting,
                         seeds if objective == "tweedie" else (1, 2, 3, 4, 5),
                     )
@@ -269,7 +268,7 @@ def _cross_fit_goal(
 
     def make(i: int, seed: int):
         if spec.objective == "cox":
-            return CoxRegression(names, columns.time, columns.event)
+            return CoxRegression(names, columns.time, columns.event, weightCol=weight)
         tuned = dict(params)
         if spec.objective == "rmse":
             tuned.setdefault("maxDepth", 2 + i % 2)

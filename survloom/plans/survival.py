@@ -252,11 +252,10 @@ def cox_terms(spark: SparkSession, folder: str) -> DataFrame:
             F.col("efs").cast("long").alias("_d"),
         )
         .groupBy("_t", "_x0", "_x1")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_d"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_d"), F.sum("_d").alias("_dw"))
     )
     cuts = quantile_cuts(patterns, ["_t"], bucket_count(spark))["_t"]
-    most = patterns.groupBy("_t").agg(F.sum("_d").alias("d")).agg(F.max("d")).first()[0]
-    ll, score, info = newton_terms(patterns, _COX_BETA, cuts, most)
+    ll, score, info = newton_terms(patterns, _COX_BETA, cuts)
     row = (float(ll), *map(float, score), *map(float, (info[0, 0], info[0, 1], info[1, 1])))
     names = ["ll", "u0", "u1", "i00", "i01", "i11"]
     return spark.createDataFrame([row], names).select(*[rounded(n, 4).alias(n) for n in names])
@@ -271,6 +270,42 @@ def cox_fit(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(pairs, "feature string, coefficient double")
 
 
+_COX_STEPS = 8
+
+
+def _cox_fit_sql() -> str:
+    """Newton steps from zero for one 0/1 covariate and case weights, one CTE a step."""
+    steps = ["b0 AS (SELECT 0::DOUBLE AS beta)"]
+    for k in range(_COX_STEPS):
+        steps.append(f"""p{k} AS (SELECT v, f1 * exp(beta) / (f0 + f1 * exp(beta)) AS p FROM phi, b{k})""")
+        steps.append(
+            f"""b{k + 1} AS (SELECT (SELECT beta FROM b{k})
+                  + ((SELECT sum(dx) FROM times) - sum(v * p)) / sum(v * p * (1 - p)) AS beta FROM p{k})"""
+        )
+    return f"""SELECT 'dear' AS feature, {sql_rounded('beta')} AS coefficient FROM (
+      WITH x AS (SELECT efs_time AS t, efs AS e, CASE WHEN price > 150000 THEN 1 ELSE 0 END AS x,
+                        1 + 0.5 * (ID % 3) AS w FROM frame),
+      times AS (SELECT t, sum(e) AS d, sum(w * e) AS dw, sum(w * e * x) AS dx, sum(w * e * (1 - x)) AS d0,
+                       sum(sum(w * x)) OVER (ORDER BY t DESC) AS r1,
+                       sum(sum(w * (1 - x))) OVER (ORDER BY t DESC) AS r0 FROM x GROUP BY t),
+      phi AS (SELECT dw::DOUBLE / d AS v, (r0 - q / d::DOUBLE * d0)::DOUBLE AS f0, (r1 - q / d::DOUBLE * dx)::DOUBLE AS f1
+              FROM (SELECT *, unnest(range(d::BIGINT)) AS q FROM times WHERE d > 0)),
+      {", ".join(steps)}
+      SELECT beta FROM b{_COX_STEPS})"""
+
+
+@query("cox_fit_weighted", _cox_fit_sql())
+def cox_fit_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """Coefficient of a case-weighted fit on one indicator."""
+    dear = F.when(F.col("price") > 150000, 1.0).otherwise(0.0)
+    rows = survival_frame(spark, folder).select(
+        "efs_time", "efs", dear.alias("dear"), (1 + 0.5 * (F.col("ID") % 3)).alias("w")
+    )
+    model = CoxRegression(["dear"], weightCol="w").fit(keep(rows))
+    pairs = spark.createDataFrame(list(model.coefficients.items()), "feature string, coefficient double")
+    return pairs.select("feature", rounded("coefficient").alias("coefficient"))
+
+
 @query("cox_survival_target")
 def cox_survival_target(spark: SparkSession, folder: str) -> DataFrame:
     """Survival at the own time from a fit on the one-hot stratum."""

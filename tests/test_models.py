@@ -17,22 +17,24 @@ from survloom.settings import fresh_path, keep, staged
 from survloom.sources.files import diagonal_union, write_predictions
 
 
-def efron(t, e, x, beta):
+def efron(t, e, x, beta, cases=None):
     """Log-likelihood, score and information by a loop over times."""
-    w = np.exp(x @ beta)
+    cases = np.ones(len(t)) if cases is None else cases
+    w = cases * np.exp(x @ beta)
     p = x.shape[1]
     ll, score, info = 0.0, np.zeros(p), np.zeros((p, p))
     for now in np.unique(t[e == 1]):
         risk, dead = t >= now, (t == now) & (e == 1)
         d = dead.sum()
-        ll += (x[dead] @ beta).sum()
-        score += x[dead].sum(0)
+        v = cases[dead].sum() / d
+        ll += (cases[dead] * (x[dead] @ beta)).sum()
+        score += cases[dead] @ x[dead]
         for q in range(d):
             wq = w * (risk - q / d * dead)
             s0, s1 = wq.sum(), wq @ x
-            ll -= np.log(s0)
-            score -= s1 / s0
-            info += (x.T * wq) @ x / s0 - np.outer(s1, s1) / s0**2
+            ll -= v * np.log(s0)
+            score -= v * s1 / s0
+            info += v * ((x.T * wq) @ x / s0 - np.outer(s1, s1) / s0**2)
     return ll, score, info
 
 
@@ -46,11 +48,9 @@ def survival(spark):
     return pdf, spark.createDataFrame(pdf).cache()
 
 
-def test_cox_fit(survival, spark, monkeypatch):
+def test_cox_fit(survival, spark):
     pdf, df = survival
     x, t, e = pdf[["a", "b"]].to_numpy(), pdf.efs_time.to_numpy(), pdf.efs.to_numpy()
-    # Deal the steps of tied deaths out in chunks, as for very heavy times.
-    monkeypatch.setattr(cox, "_CHUNK", 2)
     model = CoxRegression(["a", "b"]).fit(df)
     beta = np.array([model.coefficients["a"], model.coefficients["b"]])
     ll, score, _ = efron(t, e, x, beta)
@@ -71,6 +71,34 @@ def test_cox_fit(survival, spark, monkeypatch):
     assert again.coefficients == model.coefficients
 
 
+@pytest.mark.parametrize("one_by_one", [0, 299])
+def test_cox_many_ties_and_weights(spark, one_by_one):
+    """Two times hold nearly all rows, at one of them everybody left dies."""
+    rng = np.random.default_rng(one_by_one)
+    x = rng.normal(size=(600, 2))
+    t = np.where(np.arange(600) < 300 + one_by_one // 2, 1.0, 2.0)
+    e = (rng.random(600) < 0.9) | (t == 2)
+    cases = rng.integers(1, 4, 600) / 2
+    beta = np.array([0.4, -0.3])
+    rows = pd.DataFrame({"_t": t, "_x0": x[:, 0], "_x1": x[:, 1], "_n": cases, "_d": e.astype(int), "_dw": cases * e})
+    got = cox.newton_terms(spark.createDataFrame(rows), beta, [1.5])
+    expected = efron(t, e.astype(int), x, beta, cases)
+    for ours, theirs in zip(got, expected, strict=True):
+        assert ours == pytest.approx(theirs, rel=1e-10, abs=1e-9)
+
+
+def test_cox_weighted_fit(survival, spark):
+    """A whole weight counts like repeated rows in the score; weight 0 and null take no part."""
+    pdf, df = survival
+    x, t, e = pdf[["a", "b"]].to_numpy(), pdf.efs_time.to_numpy(), pdf.efs.to_numpy()
+    cases = 1.0 + pdf.id.to_numpy() % 3
+    weighted = df.withColumn("w", F.lit(1.0) + F.col("id") % 3)
+    strange = df.limit(4).withColumn("w", F.expr("if(id % 2 = 0, 0D, null)"))
+    model = CoxRegression(["a", "b"], weightCol="w").fit(weighted.unionByName(strange))
+    beta = np.array([model.coefficients["a"], model.coefficients["b"]])
+    assert np.abs(efron(t, e, x, beta, cases)[1]).max() < 2e-3
+
+
 def test_cox_rejects_constant_covariate(survival):
     with pytest.raises(ValueError):
         CoxRegression(["a", "one"]).fit(survival[1].withColumn("one", F.lit(1.0)))
@@ -168,5 +196,7 @@ def test_matrix_is_complete():
     names = set(EXPERIMENTS)
     assert {"tweedie_km_graded", "gamma_cox_none", "cross_entropy_km_half", "cox_none"} <= names
     assert all(e.weighting in WEIGHTS for e in EXPERIMENTS.values())
+    cells = {(e.target, e.objective, e.weighting, e.n_splits, e.prob_clip, e.input_features) for e in EXPERIMENTS.values()}
+    assert len(cells) == len(EXPERIMENTS)
     assert EXPERIMENTS["tweedie_cox_graded"].seeds == (2, 3, 4, 5, 6)
     assert EXPERIMENTS["stack_rmse_graded"].n_splits == 10
