@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     AFTSurvivalRegression,
@@ -141,8 +141,23 @@ class RidgeRegressor(Estimator):
         return regression.fit(dataset)
 
 
-def _assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")
+_HOT = "_hot_"
+#: Objectives whose trees split a set of category codes by themselves.
+_TREES = ("rmse", "logloss")
+
+
+def _assemblers(features: Sequence[str], hot: Sequence[str], out: str = "features") -> list[Estimator]:
+    """Stages that make the feature vector; ``hot`` features become sparse indicators.
+
+    A category that the fitted rows lack has no indicator: all are zero for it.
+    """
+    columns = [_HOT + c if c in hot else c for c in features]
+    assembler = VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="error")
+    if not hot:
+        return [assembler]
+    inputs = [c for c in features if c in hot]
+    encoder = OneHotEncoder(inputCols=inputs, outputCols=[_HOT + c for c in inputs], handleInvalid="keep")
+    return [encoder, assembler]
 
 
 def regressor(
@@ -153,6 +168,7 @@ def regressor(
     weight: str | None = None,
     event: str | None = None,
     validation: str | None = None,
+    categories: Sequence[str] = (),
     **params,
 ) -> Pipeline:
     """A pipeline for one objective.
@@ -161,7 +177,9 @@ def regressor(
     linear models), ``cross_entropy`` (labels in [0, 1]), ``logistic``, ``ridge``
     (``scaled_ridge`` on standardised features), ``weibull`` (accelerated
     failure time; ``event`` is its censor flag). ``validation`` names a boolean
-    column of rows that only decide when boosting stops.
+    column of rows that only decide when boosting stops. ``categories`` names the
+    features that are codes 0..n-1: linear objectives see one indicator per code, trees
+    take them as sets if :func:`mark_nominal` has marked them.
     """
     weighted = {"weightCol": weight} if weight else {}
     held_out = {"validationIndicatorCol": validation} if validation else {}
@@ -183,7 +201,8 @@ def regressor(
     makers["scaled_ridge"] = makers["ridge"]
     if objective not in makers:
         raise ValueError(f"objective {objective!r} is not one of {sorted(makers)}")
-    stages = [_assembler(features)]
+    hot = [] if objective in _TREES else [c for c in features if c in set(categories)]
+    stages = _assemblers(features, hot)
     if objective == "scaled_ridge":
         # The scaler is a stage of the model: new rows are scaled by training statistics.
         stages.append(StandardScaler(inputCol="features", outputCol=vector, withMean=True))
@@ -203,15 +222,29 @@ _WORKING = ("features", "scaled", "rawPrediction", "probability", "prediction")
 def predict(model: Model, df: DataFrame, out: str = "pred") -> DataFrame:
     """``df`` with the model's prediction and none of its working columns."""
     scored = one_prediction(model.transform(df), out)
-    return scored.drop(*[c for c in _WORKING if c not in df.columns])
+    made = [c for c in scored.columns if c in _WORKING or c.startswith(_HOT)]
+    return scored.drop(*[c for c in made if c not in df.columns])
 
 
 def feature_importances(model: Model, features: Sequence[str]) -> dict[str, float]:
-    """Importance per feature of the last stage: impurity gain, or the coefficient."""
+    """Importance per feature of the last stage: impurity gain, or the coefficient.
+
+    A feature of several indicators has the sum of their absolute coefficients.
+    """
     last = model.stages[-1] if hasattr(model, "stages") else model
     found = getattr(last, "featureImportances", None)
     if found is None:
         found = last.coefficients
     if isinstance(found, dict):
         return {f: float(found.get(f, 0.0)) for f in features}
-    return {f: float(v) for f, v in zip(features, found.toArray())}
+    widths: dict[str, int] = {}
+    for stage in getattr(model, "stages", []):
+        if isinstance(stage, OneHotEncoderModel):
+            widths = dict(zip(stage.getInputCols(), stage.categorySizes))
+    values, at, out = found.toArray(), 0, {}
+    for f in features:
+        n = widths.get(f)
+        part = values[at : at + (1 if n is None else n)]
+        out[f] = float(part[0] if n is None else abs(part).sum())
+        at += len(part)
+    return out

@@ -26,7 +26,7 @@ from survloom.operators.crossfit import (
 )
 from survloom.operators.curves import survival_targets
 from survloom.operators.encoders import MeanImputer, OneHotEncoder, OrdinalEncoder
-from survloom.operators.models import regressor
+from survloom.operators.models import mark_nominal, regressor
 from survloom.operators.stacking import long_predictions, stack_sources
 from survloom.operators.targets import (
     event_time_weight,
@@ -152,6 +152,20 @@ def _feature_names(df: DataFrame) -> list[str]:
     return columns_with_prefix(df, "f_")
 
 
+def _categories(df: DataFrame, columns: Columns) -> dict[str, int]:
+    """Number of codes of each category feature of ``df``."""
+    names = [f"f_c_{c}" for c in columns.categorical if f"f_c_{c}" in df.columns]
+    if not names:
+        return {}
+    most = df.agg(*[F.max(c).alias(c) for c in names]).first()
+    return {c: int(most[c] or 0) + 1 for c in names}
+
+
+def _bins(categories: Mapping[str, int]) -> int:
+    """Bins of a tree: at least one per code of the largest category."""
+    return max([32, *categories.values()])
+
+
 def target_stage(
     rows: DataFrame,
     columns: Columns,
@@ -159,11 +173,12 @@ def target_stage(
     seeds: Sequence[int] = (0, 1, 2, 3, 4),
     n_splits: int = 10,
     store: FoldStore | None = None,
+    rounds: int = 10,
 ) -> DataFrame:
     """Training targets: survival at the own time, event probability, and both combined.
 
     The probability is the mean of the out-of-fold predictions of boosted trees
-    and of a logistic regression over the seeds.
+    and of a logistic regression over the seeds; ``rounds`` is the number of trees.
     """
     train = rows.filter(columns.is_train)
     survival = staged(
@@ -172,15 +187,20 @@ def target_stage(
     features = build_features(survival, columns)
     folded = staged(with_seed_folds(features, columns.id, n_splits, seeds), "folded")
     names = _feature_names(folded)
+    categories = _categories(folded, columns)
+    folded = mark_nominal(folded, categories)
 
     def trees(i: int, seed: int):
         # Later seeds use deeper trees; the learning rate stays.
         return regressor(
-            "logloss", names, columns.event, maxIter=10, maxDepth=min(3 + i, 7), seed=seed
-        )
+            "logloss", names, columns.event, categories=list(categories), maxBins=_bins(categories),
+            maxIter=rounds, maxDepth=min(3 + i, 7), seed=seed,
+        )
 
     def logistic(i: int, seed: int):
-        return regressor("logistic", names, columns.event, regParam=0.001 * (i + 1))
+        return regressor(
+            "logistic", names, columns.event, categories=list(categories), regParam=0.001 * (i + 1)
+        )
 
     runs = [
         cross_fit_seeds(
@@ -265,6 +285,8 @@ def _cross_fit_goal(
         )
     folded = staged(with_seed_folds(train, columns.id, n_splits, seeds), "folded")
     names = _feature_names(folded)
+    categories = _categories(folded, columns)
+    folded = mark_nominal(folded, categories)
 
     def make(i: int, seed: int):
         if spec.objective == "cox":
@@ -272,8 +294,11 @@ def _cross_fit_goal(
         tuned = dict(params)
         if spec.objective == "rmse":
             tuned.setdefault("maxDepth", 2 + i % 2)
+            tuned.setdefault("maxBins", _bins(categories))
             tuned["seed"] = seed
-        return regressor(spec.objective, names, "goal", weight=weight, **tuned)
+        return regressor(
+            spec.objective, names, "goal", weight=weight, categories=list(categories), **tuned
+        )
 
     # An undefined goal or weight (no known event, probability 0) cannot be learned from.
     known = [] if spec.objective == "cox" else ["goal", *([weight] if weight else [])]

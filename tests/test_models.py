@@ -11,7 +11,7 @@ from survloom.operators import cox
 from survloom.operators import crossfit as cf
 from survloom.operators.blend import simplex_least_squares
 from survloom.operators.cox import CoxRegression
-from survloom.operators.models import GroupMeanRegressor, RidgeRegressor, predict, regressor
+from survloom.operators.models import GroupMeanRegressor, RidgeRegressor, feature_importances, mark_nominal, predict, regressor
 from survloom.plans.experiments import EXPERIMENTS, WEIGHTS
 from survloom.settings import fresh_path, keep, staged
 from survloom.sources.files import diagonal_union, write_predictions
@@ -192,6 +192,41 @@ def test_union_types_and_prediction_folders(spark):
     assert spark.read.parquet(f"{path}/name=m/fold=0").count() == 1
 
 
+@pytest.mark.parametrize("objective", ["ridge", "tweedie", "gamma", "cross_entropy"])
+def test_numbering_of_categories_does_not_matter(spark, objective):
+    rng = np.random.default_rng(3)
+    kind = rng.integers(0, 5, 400)
+    goal = np.array([0.3, 0.9, 0.1, 0.6, 0.5])[kind] + rng.random(400) / 20
+    moved = np.array([3, 0, 4, 1, 2])[kind]
+    pdf = pd.DataFrame({"id": range(400), "n": rng.random(400), "kind": kind, "moved": moved, "goal": goal})
+    df = mark_nominal(spark.createDataFrame(pdf), {"kind": 5, "moved": 5})
+    params = {"ridge": {"alpha": 0.1}}.get(objective, {"regParam": 1e-3})
+    found = []
+    for name in ("kind", "moved"):
+        model = regressor(objective, [name, "n"], "goal", categories=[name], **params).fit(df)
+        # A code that fitting has not seen is scored, too.
+        new = df.limit(1).withColumn(name, F.lit(9)).withColumn("id", F.lit(-1))
+        out = predict(model, df.unionByName(new))
+        assert set(out.columns) == {*df.columns, "pred"}
+        assert set(feature_importances(model, [name, "n"]) if objective != "cross_entropy" else [name, "n"]) == {name, "n"}
+        found.append(out.orderBy("id").toPandas().pred.to_numpy())
+    assert found[0] == pytest.approx(found[1], abs=1e-4)
+    assert np.corrcoef(found[0][-400:], goal)[0, 1] > 0.95
+
+
+def test_trees_split_sets_of_categories(spark):
+    """One split separates the same categories however they are numbered."""
+    kind = np.arange(400) % 5
+    goal = np.array([0.3, 0.9, 0.1, 0.8, 0.2])[kind]
+    moved = np.array([3, 0, 4, 2, 1])[kind]
+    rows = spark.createDataFrame(pd.DataFrame({"id": range(400), "kind": kind, "moved": moved, "goal": goal}))
+    for name in ("kind", "moved"):
+        df = mark_nominal(rows, {name: 5})
+        model = regressor("rmse", [name], "goal", categories=[name], maxIter=1, maxDepth=1, seed=1).fit(df)
+        got = predict(model, df).orderBy("id").toPandas().pred.to_numpy()
+        assert got == pytest.approx(np.array([0.2, 0.85, 0.2, 0.85, 0.2])[kind], abs=1e-9)
+
+
 def test_matrix_is_complete():
     names = set(EXPERIMENTS)
     assert {"tweedie_km_graded", "gamma_cox_none", "cross_entropy_km_half", "cox_none"} <= names
