@@ -23,11 +23,14 @@ from survloom.settings import staged
 
 
 def mark_nominal(df: DataFrame, cardinalities: Mapping[str, int]) -> DataFrame:
-    """Tell trees that these columns hold category codes 0..n-1, not quantities."""
+    """Tell trees that these columns hold category codes 0..n-1, not quantities.
+
+    They become doubles: assembling a vector keeps the mark of no other type.
+    """
     out = df
     for column, n in cardinalities.items():
         attribute = {"ml_attr": {"type": "nominal", "vals": [str(i) for i in range(n)]}}
-        out = out.withMetadata(column, attribute)
+        out = out.withColumn(column, F.col(column).cast("double")).withMetadata(column, attribute)
     return out
 
 
