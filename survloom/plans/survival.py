@@ -301,7 +301,7 @@ def cox_fit_weighted(spark: SparkSession, folder: str) -> DataFrame:
     rows = survival_frame(spark, folder).select(
         "efs_time", "efs", dear.alias("dear"), (1 + 0.5 * (F.col("ID") % 3)).alias("w")
     )
-    model = CoxRegression(["dear"], weightCol="w").fit(keep(rows))
+    model = CoxRegression(["dear"], weightCol="w", tol=1e-14).fit(keep(rows))
     pairs = spark.createDataFrame(list(model.coefficients.items()), "feature string, coefficient double")
     return pairs.select("feature", rounded("coefficient").alias("coefficient"))
 
