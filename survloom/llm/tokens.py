@@ -22,6 +22,10 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 _UNUSUAL_SPACE = re.compile(r" \s|\s ")
 #: Characters whose class (letter, digit, other) is the same in all Unicode versions.
 _PLAIN = re.compile("[\\n -~À-ÖØ-öø-ɏ]*").fullmatch
+#: How the usual patterns end, and the places where that look-ahead cuts a run.
+_LAST_SPACE = r"\s+(?!\S)|\s+"
+_WIDE_SPACE = re.compile(r"(?<=[ \n])(?=[ \n][^ \n])")
+_WIDE = ("  ", " \n", "\n ", "\n\n")
 
 
 def byte_characters() -> list[str]:
@@ -127,10 +131,21 @@ def rank_encoder(tokenizer: Tokenizer, pattern: str) -> Callable[[list[str]], li
     by_bytes = token_bytes(tokenizer)
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     ranks = {by_bytes[n]: n for t, n in vocabulary.items() if t not in special}
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    # Without the look-ahead the pattern is a plain automaton. It only matters where a
+    # run of white space ends before a word: its last character begins the next match.
+    simple = pattern.removesuffix(_LAST_SPACE) + r"\s+" if pattern.endswith(_LAST_SPACE) else pattern
+    # The library wants a special token for this call; none is allowed, so none is read.
+    made = tiktoken.Encoding("ranks", pat_str=simple, mergeable_ranks=ranks, special_tokens={"<|none|>": len(by_bytes)})
+
+    def merged(text: str) -> bytes:
+        return made.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def plain(text: str) -> bytes:
+        wide = simple is not pattern and any(w in text for w in _WIDE)
+        return b"".join(map(merged, _WIDE_SPACE.split(text))) if wide else merged(text)
 
     def encode(texts: list[str]) -> list[bytes]:
-        return [packed(fast(t) if _PLAIN(t) else tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+        return [plain(t) if _PLAIN(t) else packed(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
     return encode
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from survloom.llm.common import table, text_of
-from survloom.settings import fresh_path
+from survloom.settings import fresh_path, staged
 
 LEAST_BYTES = 100
 #: Records of one file at most.
@@ -172,13 +172,15 @@ def assemble(found: DataFrame) -> DataFrame:
 def page_records(captures: DataFrame) -> DataFrame:
     """Columns page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    The length and the page of a revisit come from the response with its digest.
+    The length and the page of a revisit come from the response with its digest. The
+    captures are staged without payloads, so that the archives are read once.
     """
     number = F.regexp_extract("metadata.fields", "page-id: (-?[0-9]+)", 1)
     rows = captures.select(
         F.when(number != "", number.cast("long")).alias("page_id"), F.col("response.type").alias("record_type"),
         F.coalesce("response.payload_sha256", "response.payload_digest").alias("payload_digest"), F.col("response.payload_bytes").alias("own"),
     )
+    rows = staged(rows, "captures")
     full = rows.filter((F.col("record_type") == "response") & (F.col("own") >= LEAST_BYTES))
     full = full.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("own").alias("bytes"))
     revisits = rows.filter(F.col("record_type") == "revisit").join(full, "payload_digest", "left")
