@@ -279,7 +279,7 @@ def stack_features(spark: SparkSession, folder: str) -> DataFrame:
             SELECT efs_time, 'balance', balance FROM frame UNION ALL
             SELECT efs_time, 'pred', pred FROM frame UNION ALL
             SELECT efs_time, 'efs', CAST(efs AS DOUBLE) FROM frame) GROUP BY 1, 2)
-        GROUP BY feature ORDER BY 2 DESC LIMIT 3""",
+        GROUP BY feature ORDER BY avg(importance) DESC, feature LIMIT 3""",
 )
 def most_important(spark: SparkSession, folder: str) -> DataFrame:
     long = (
