@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from survloom.llm import bpe, language, packing, privacy, quality, simhash, substrings, topk, toxicity, warc
+from survloom.llm import bpe, language, merkle, packing, privacy, quality, simhash, spelling, substrings, topk, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
     "op10_substrings": substrings.op10_substrings,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLES = {
     "op7_maxscore": topk.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_quality": quality.OP9_SQL,
+    "op12_spelling": spelling.OP12_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
