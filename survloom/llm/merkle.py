@@ -36,7 +36,8 @@ from survloom.settings import staged
 ARITY, LEVELS = 8, 4
 BLOCK = ARITY**LEVELS
 
-_SIBLINGS = "array<struct<own:int,others:array<string>>>"
+#: Characters of a digest.
+_HEX = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,23 +91,32 @@ def grow(digests: list[str], levels: int) -> list[list[str]]:
     return out
 
 
-def siblings(levels: list[list[str]], place: int) -> list[dict]:
-    """Per level below the top: the neighbours of a node's ancestor, and its place among them."""
+def siblings(levels: list[list[str]], place: int) -> list[tuple[int, list[str]]]:
+    """Per level below the top: a node's place among its neighbours, and the neighbours."""
     out = []
     for below in levels[:-1]:
         run = place // ARITY * ARITY
-        others = below[run : place] + below[place + 1 : run + ARITY]
-        out.append({"own": place - run, "others": others})
+        out.append((place - run, below[run:place] + below[place + 1 : run + ARITY]))
         place //= ARITY
     return out
 
 
-def copied(digest: str, path: list[dict]) -> list[str]:
+def written(path: list[tuple[int, list[str]]]) -> str:
+    """A path as text: place and neighbours' digests of each level."""
+    return ";".join(f"{own}:{''.join(others)}" for own, others in path)
+
+
+def read(path: str) -> list[tuple[int, list[str]]]:
+    """The path that :func:`written` wrote."""
+    steps = (step.split(":") for step in path.split(";") if step)
+    return [(int(own), [others[i : i + _HEX] for i in range(0, len(others), _HEX)]) for own, others in steps]
+
+
+def copied(digest: str, path: list[tuple[int, list[str]]]) -> list[str]:
     """The nodes that a version with this leaf has of its own: the leaf, then its copied ancestors."""
     out = [digest]
-    for step in path:
-        others = step["others"]
-        out.append(node([*others[: step["own"]], out[-1], *others[step["own"] :]]))
+    for own, others in path:
+        out.append(node([*others[:own], out[-1], *others[own:]]))
     return out
 
 
@@ -127,20 +137,30 @@ def _block_roots(nodes: DataFrame, done: int) -> DataFrame:
     return dealt.groupBy("tree", "block").applyInArrow(up, "tree string, place long, digest string, depth int")
 
 
+def _told(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """The rows of ``nodes``, and one leading row per block (place -1) with the path above it."""
+    dealt = nodes.withColumn("block", F.floor(F.col("place") / BLOCK))
+    heads = paths.select("tree", F.col("place").alias("block"), F.lit(-1).cast("long").alias("place"), "path")
+    return dealt.unionByName(heads, allowMissingColumns=True)
+
+
+def _split(rows: pa.Table, done: int) -> tuple[pa.Table, list[list[str]], list[tuple[int, list[str]]]]:
+    """A block's rows in order, its nodes level by level, and the path above it."""
+    rows = rows.sort_by("place")
+    upper, rows = read(rows.column("path")[0].as_py()), rows.slice(1)
+    return rows, grow(rows.column("digest").to_pylist(), _block_levels(rows.column("depth")[0].as_py(), done)), upper
+
+
 def _paths(nodes: DataFrame, above: DataFrame, done: int) -> DataFrame:
     """Rows (tree, place, path) for ``nodes``; ``above`` has the path of each of their blocks."""
 
-    def down(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
-        rows = rows.sort_by("place")
-        digests, upper = rows.column("digest").to_pylist(), told.column("path")[0].as_py()
-        levels = grow(digests, _block_levels(rows.column("depth")[0].as_py(), done))
-        paths = [siblings(levels, i) + upper for i in range(len(digests))]
-        kind = pa.list_(pa.struct([("own", pa.int32()), ("others", pa.list_(pa.string()))]))
-        return pa.table({"tree": rows.column("tree"), "place": rows.column("place"), "path": pa.array(paths, kind)})
+    def down(rows: pa.Table) -> pa.Table:
+        rows, levels, upper = _split(rows, done)
+        paths = [written(siblings(levels, i) + upper) for i in range(len(rows))]
+        return pa.table({"tree": rows.column("tree"), "place": rows.column("place"), "path": pa.array(paths, pa.string())})
 
-    dealt = nodes.select("tree", "place", "digest", "depth", F.floor(F.col("place") / BLOCK).alias("block"))
-    blocks = dealt.groupBy("tree", "block").cogroup(above.withColumnRenamed("place", "block").groupBy("tree", "block"))
-    return blocks.applyInArrow(down, f"tree string, place long, path {_SIBLINGS}")
+    told = _told(nodes.select("tree", "place", "digest", "depth"), above)
+    return told.groupBy("tree", "block").applyInArrow(down, "tree string, place long, path string")
 
 
 def forest(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +173,7 @@ def forest(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     for done in range(0, max(1, deepest), LEVELS):
         stages.append(staged(_block_roots(stages[-1], done), "nodes"))
     roots = stages[-1].select("tree", "digest")
-    paths = stages[-1].select("tree", "place", F.array().cast(_SIBLINGS).alias("path"))
+    paths = stages[-1].select("tree", "place", F.lit("").alias("path"))
     for back in range(len(stages) - 2, 0, -1):
         paths = _paths(stages[back], paths, back * LEVELS)
     return roots, paths
@@ -161,25 +181,22 @@ def forest(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _versions(leaves: DataFrame, paths: DataFrame, carried: Sequence[str]) -> DataFrame:
     """Each leaf with its proof and, where ``changed`` is not null, the nodes of its version."""
-    block = F.floor(F.col("place") / BLOCK).alias("block")
-    rows = leaves.select("tree", block, "place", "depth", "digest", "changed", *carried)
+    rows = leaves.select("tree", "place", "depth", "digest", "changed", *carried)
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
 
-    def run(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
-        part = part.sort_by("place")
-        digests, upper = part.column("digest").to_pylist(), told.column("path")[0].as_py()
-        levels = grow(digests, _block_levels(part.column("depth")[0].as_py(), 0))
-        above = "".join(d for step in upper for d in step["others"])
+    def run(part: pa.Table) -> pa.Table:
+        part, levels, upper = _split(part, 0)
+        above = "".join(d for _, others in upper for d in others)
         proofs, copies = [], []
         for i, new in enumerate(part.column("changed").to_pylist()):
             path = siblings(levels, i)
-            proofs.append(hashlib.sha256(("".join(d for step in path for d in step["others"]) + above).encode()).hexdigest())
+            proofs.append(hashlib.sha256(("".join(d for _, others in path for d in others) + above).encode()).hexdigest())
             copies.append(None if new is None else copied(new, path + upper))
         made = {c: part.column(c) for c in ("tree", "digest", *carried)}
-        return pa.table({**made, "proof": proofs, "copies": pa.array(copies, pa.list_(pa.string()))})
+        return pa.table({**made, "proof": pa.array(proofs, pa.string()), "copies": pa.array(copies, pa.list_(pa.string()))})
 
-    blocks = rows.groupBy("tree", "block").cogroup(paths.withColumnRenamed("place", "block").groupBy("tree", "block"))
-    return blocks.applyInArrow(run, f"tree string, digest string, {fields}, proof string, copies array<string>")
+    told = _told(rows, paths).groupBy("tree", "block")
+    return told.applyInArrow(run, f"tree string, digest string, {fields}, proof string, copies array<string>")
 
 
 def manifest(df: DataFrame, columns: Sequence[str], key: str, group: str, changed: Column | None = None) -> DataFrame:
@@ -206,7 +223,7 @@ def manifest(df: DataFrame, columns: Sequence[str], key: str, group: str, change
     roots, upper = forest(groups)
     ends = staged(_paths(groups, upper, 0).join(groups, ["tree", "place"]).select("name", "digest", F.col("path").alias("top")), "tops")
     top = roots.first()
-    paths = paths.join(ends, paths["tree"] == ends["name"]).select("tree", "place", F.concat("path", "top").alias("path"))
+    paths = paths.join(ends, paths["tree"] == ends["name"]).select("tree", "place", F.concat_ws(";", "path", "top").alias("path"))
     found = _versions(leaves, paths, ["key"])
     named = found.join(ends.select(F.col("name").alias("tree"), F.col("digest").alias("subroot")), "tree")
     whole = named.withColumn("root", F.lit(top["digest"] if top else None).cast("string"))
