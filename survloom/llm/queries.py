@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from survloom.llm import bpe, language, merkle, packing, privacy, quality, simhash, spelling, substrings, topk, toxicity, warc
+from survloom.llm import bpe, jaccard, language, merkle, packing, privacy, quality, simhash, spelling, substrings, topk, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
     "op10_substrings": substrings.op10_substrings,
+    "op11_jaccard": jaccard.op11_jaccard,
     "op12_spelling": spelling.op12_spelling,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -23,6 +24,7 @@ ORACLES = {
     "op7_maxscore": topk.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_quality": quality.OP9_SQL,
+    "op11_jaccard": jaccard.OP11_SQL,
     "op12_spelling": spelling.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
