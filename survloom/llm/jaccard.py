@@ -14,10 +14,11 @@ among the rarest of several sets. A set of size n is in the trees of its rarest
 order, so no link is lost. Rarity is read from counts of all shingles by hash group (a table
 of fixed size), so a passage that many documents share grows no tree.
 
-Equal sets are one node. In each tree the members are first tested against one member, then
-against another that is still apart, then pairs that are still in different components are
-sought in the tree, by blocks of bounded size. Groups of near copies are joined by the first
-tests, and need not be expanded into pairs.
+Equal sets are one node, and trees of the same members are one tree. In each tree one member
+is tested against all others and leaves, then another against those that are still apart;
+then pairs of what is left in different components are sought in the tree, by blocks of
+bounded size. Groups of near copies are joined by the first tests, and need not be expanded
+into pairs.
 
 A set of fewer words than a shingle has is the whole sequence; an empty or null text has an
 empty set and links with nothing, not even another empty one. Repeated rows repeat in the
@@ -45,6 +46,8 @@ SHINGLE, PERCENT = 5, 80
 RARITY_BITS = 16
 #: Members of a tree that are joined in one piece, and points of a leaf.
 BLOCK, LEAF = 1024, 16
+#: Members of each tree that are tested against all others before the tree is joined.
+STARS = 2
 
 _U = np.uint64
 
@@ -124,8 +127,8 @@ def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCE
 
 
 def group_bits(n: int) -> int:
-    """Groups of a set of n shingles, as a power of two: about four shingles to a group."""
-    return max(4, (n // 4).bit_length())
+    """Groups of a set of n shingles, as a power of two: about two shingles to a group."""
+    return max(4, (n // 2).bit_length())
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
@@ -315,8 +318,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: int
     return staged(wide.filter(100 * both >= percent * union).select("a", "b"), "links")
 
 
+def _distinct_trees(shared: DataFrame) -> DataFrame:
+    """Rows (token, key) of one tree of those that have the same members (by two sums of hashes)."""
+    sums = [F.sum(F.xxhash64(*by).cast("decimal(38,0)")).alias(f"s{i}") for i, by in enumerate(((F.col("key"),), (F.lit(1), F.col("key"))))]
+    marked = shared.groupBy("token").agg(*sums)
+    return shared.join(marked.groupBy("s0", "s1").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+
+
 def _apart(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (token, key, c) of the trees that hold several components ``c``."""
+    """Rows (token, key, c) of the trees that still hold several components ``c``."""
     roots = connected(links)
     lab = shared.join(roots.withColumnRenamed("node", "key"), "key", "left")
     lab = lab.select("token", "key", F.coalesce("root", "key").alias("c"))
@@ -324,11 +334,14 @@ def _apart(shared: DataFrame, links: DataFrame) -> DataFrame:
     return staged(lab.join(mixed, "token"), "apart")
 
 
-def _second_star(apart: DataFrame) -> DataFrame:
-    """Per tree: one member of its last component, against the members of all others."""
+def _star(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per tree, one member of its last component: pairs with the members of all others, and the trees without it.
+
+    No link of that member is missed, since the others are of its own component.
+    """
     last = apart.groupBy("token").agg(F.max(F.struct("c", (-F.col("key")).alias("back"))).alias("m"))
     paired = apart.join(last.select("token", F.col("m.c").alias("own"), (-F.col("m.back")).alias("a")), "token")
-    return paired.filter("c <> own").select("a", F.col("key").alias("b"))
+    return paired.filter("c <> own").select("a", F.col("key").alias("b")), paired.filter("key <> a").select("token", "key")
 
 
 def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -346,7 +359,7 @@ def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         trees = [Tree(at, n, c, np.flatnonzero(part == p)) if (part == p).any() else None for p in dict.fromkeys((i, j))]
         found = tree_join(trees[0], trees[-1], n, c, percent) if all(trees) else []
         pair = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": keys[pair[:, 0]], "b": keys[pair[:, 1]]})
+        return pa.table({"a": keys[pair].min(axis=1), "b": keys[pair].max(axis=1)})
 
     return dealt.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -356,18 +369,22 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
     ``links`` holds enough links between different sets to connect every component.
     """
+    spark = df.sparkSession
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df[text]).alias("text"))
     marked = keyed(staged(described(docs, rarity(docs, shingle), shingle, percent), "shingles"))
     lists = marked.filter("n > 0").select(F.explode("rare").alias("token"), "key")
     trees = lists.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
-    shared = staged(lists.join(trees.select("token", "lo"), "token").distinct(), "shared")
+    shared = staged(lists.join(trees.select("token"), "token").distinct(), "shared")
+    shared = staged(_distinct_trees(shared), "trees")
     active = shared.select("key").distinct()
     points = marked.join(active, "key", "left_semi").select("key", "n", "point", "doc_id", "text_hash")
     points = staged(points.dropDuplicates(["key"]), "points")
-    test = lambda pairs: _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, points, shingle, percent)
-    links = test(shared.filter("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")))
-    links = links.union(test(_second_star(_apart(shared, links))))
-    links = links.union(test(_tree_pairs(_apart(shared, links), points, percent)))
+    links = spark.createDataFrame([], "a long, b long")
+    for _ in range(STARS):
+        pairs, shared = _star(_apart(shared, links))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = links.union(_verified(pairs, docs, points, shingle, percent))
+    links = links.union(_verified(_tree_pairs(_apart(shared, links), points, percent), docs, points, shingle, percent))
     roots = connected(links).select(F.col("node").alias("key"), "root")
     rows = marked.select("doc_id", F.col("n").alias("n_shingles"), "key").join(roots, "key", "left")
     return rows.withColumn("root", F.coalesce("root", "key")), links
