@@ -46,6 +46,8 @@ SHINGLE, PERCENT = 5, 80
 RARITY_BITS = 16
 #: Members of a tree that are joined in one piece, and points of a leaf.
 BLOCK, LEAF = 1024, 16
+#: Trees of a set that are remembered, so that a pair is not found again in the next.
+FIRST_TREES = 16
 #: Members of each tree that are tested against all others before the tree is joined.
 STARS = 2
 
@@ -350,7 +352,14 @@ def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     dealt = apart.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j"))))
     dealt = dealt.select("token", "key", "c", "part", other.alias("pair")).select("token", "key", "c", "part", "pair.i", "pair.j")
-    dealt = dealt.join(points.select("key", "n", "point"), "key")
+    trees = apart.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRST_TREES).alias("trees"))
+    dealt = dealt.join(points.select("key", "n", "point").join(trees, "key"), "key")
+
+    def first_meeting(rows: pa.Table, pair: np.ndarray) -> np.ndarray:
+        """Whether no earlier tree is known to hold both: that one finds the pair."""
+        lists, token = rows.column("trees").to_pylist(), rows.column("token")[0].as_py()
+        earlier = [{t for t in own if t < token} for own in lists]
+        return np.array([earlier[i].isdisjoint(earlier[j]) for i, j in pair.tolist()], bool)
 
     def run(rows: pa.Table) -> pa.Table:
         keys, n, c, part = (rows.column(x).to_numpy() for x in ("key", "n", "c", "part"))
@@ -359,6 +368,7 @@ def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         trees = [Tree(at, n, c, np.flatnonzero(part == p)) if (part == p).any() else None for p in dict.fromkeys((i, j))]
         found = tree_join(trees[0], trees[-1], n, c, percent) if all(trees) else []
         pair = np.array(found, np.int64).reshape(-1, 2)
+        pair = pair[first_meeting(rows, pair)]
         return pa.table({"a": keys[pair].min(axis=1), "b": keys[pair].max(axis=1)})
 
     return dealt.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
