@@ -2,8 +2,8 @@
 
 Rows are leaves of one tree per group; the groups' roots are the leaves of a tree above
 them. A node is the hash of up to eight neighbours. Leaves are numbered by a range sort, and
-``BLOCK`` consecutive ones form an aligned block, which is a whole subtree. Blocks are
-hashed where they lie; their roots are leaves of the next, ``BLOCK`` times smaller level,
+``8^4`` consecutive ones form an aligned block, which is a whole subtree. Blocks are
+hashed where they lie; their roots are leaves of the next, ``8^4`` times smaller level,
 until one is left per group. Going back down, every block is told the siblings above it.
 
 The tree is persistent: a changed leaf makes a version that shares every node of the
@@ -32,9 +32,8 @@ from pyspark.sql.window import Window
 from survloom.llm.common import table
 from survloom.settings import staged
 
-#: Neighbours under one node, levels of a block, and so its leaves.
+#: Neighbours under one node, and levels of a block; it has ``ARITY ** LEVELS`` leaves.
 ARITY, LEVELS = 8, 4
-BLOCK = ARITY**LEVELS
 
 #: Characters of a digest.
 _HEX = 64
@@ -120,91 +119,93 @@ def copied(digest: str, path: list[tuple[int, list[str]]]) -> list[str]:
     return out
 
 
-def _block_levels(depth: int, done: int) -> int:
-    return min(LEVELS, depth - done)
+def _block(levels: int) -> Column:
+    """The number of the block that a node is in."""
+    return F.floor(F.col("place") / ARITY**levels).alias("block")
 
 
-def _block_roots(nodes: DataFrame, done: int) -> DataFrame:
+def _block_roots(nodes: DataFrame, done: int, levels: int) -> DataFrame:
     """Rows (tree, place, digest, depth) one block level up, hashed block by block."""
 
     def up(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("place")
         depth = rows.column("depth")[0].as_py()
-        top = grow(rows.column("digest").to_pylist(), _block_levels(depth, done))[-1][0]
+        top = grow(rows.column("digest").to_pylist(), min(levels, depth - done))[-1][0]
         return pa.table({"tree": [key[0].as_py()], "place": [key[1].as_py()], "digest": [top], "depth": pa.array([depth], pa.int32())})
 
-    dealt = nodes.select("tree", "place", "digest", "depth", F.floor(F.col("place") / BLOCK).alias("block"))
+    dealt = nodes.select("tree", "place", "digest", "depth", _block(levels))
     return dealt.groupBy("tree", "block").applyInArrow(up, "tree string, place long, digest string, depth int")
 
 
-def _told(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+def _told(nodes: DataFrame, paths: DataFrame, levels: int) -> DataFrame:
     """The rows of ``nodes``, and one leading row per block (place -1) with the path above it."""
-    dealt = nodes.withColumn("block", F.floor(F.col("place") / BLOCK))
+    dealt = nodes.withColumn("block", _block(levels))
     heads = paths.select("tree", F.col("place").alias("block"), F.lit(-1).cast("long").alias("place"), "path")
     return dealt.unionByName(heads, allowMissingColumns=True)
 
 
-def _split(rows: pa.Table, done: int) -> tuple[pa.Table, list[list[str]], list[tuple[int, list[str]]]]:
+def _split(rows: pa.Table, done: int, levels: int) -> tuple[pa.Table, list[list[str]], list[tuple[int, list[str]]]]:
     """A block's rows in order, its nodes level by level, and the path above it."""
     rows = rows.sort_by("place")
     upper, rows = read(rows.column("path")[0].as_py()), rows.slice(1)
-    return rows, grow(rows.column("digest").to_pylist(), _block_levels(rows.column("depth")[0].as_py(), done)), upper
+    return rows, grow(rows.column("digest").to_pylist(), min(levels, rows.column("depth")[0].as_py() - done)), upper
 
 
-def _paths(nodes: DataFrame, above: DataFrame, done: int) -> DataFrame:
+def _paths(nodes: DataFrame, above: DataFrame, done: int, levels: int) -> DataFrame:
     """Rows (tree, place, path) for ``nodes``; ``above`` has the path of each of their blocks."""
 
     def down(rows: pa.Table) -> pa.Table:
-        rows, levels, upper = _split(rows, done)
-        paths = [written(siblings(levels, i) + upper) for i in range(len(rows))]
+        rows, nodes, upper = _split(rows, done, levels)
+        paths = [written(siblings(nodes, i) + upper) for i in range(len(rows))]
         return pa.table({"tree": rows.column("tree"), "place": rows.column("place"), "path": pa.array(paths, pa.string())})
 
-    told = _told(nodes.select("tree", "place", "digest", "depth"), above)
+    told = _told(nodes.select("tree", "place", "digest", "depth"), above, levels)
     return told.groupBy("tree", "block").applyInArrow(down, "tree string, place long, path string")
 
 
-def forest(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+def forest(leaves: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """From rows (tree, place, digest, depth): (tree, digest) of the roots, and (tree, place, path) of the leaves' blocks.
 
-    ``path`` holds what lies above a block of ``BLOCK`` leaves, up to the tree's root.
+    ``path`` holds what lies above a block of leaves, up to the tree's root.
     """
     deepest = leaves.agg(F.max("depth")).first()[0] or 0
     stages = [leaves]
-    for done in range(0, max(1, deepest), LEVELS):
-        stages.append(staged(_block_roots(stages[-1], done), "nodes"))
+    for done in range(0, max(1, deepest), levels):
+        stages.append(staged(_block_roots(stages[-1], done, levels), "nodes"))
     roots = stages[-1].select("tree", "digest")
     paths = stages[-1].select("tree", "place", F.lit("").alias("path"))
     for back in range(len(stages) - 2, 0, -1):
-        paths = _paths(stages[back], paths, back * LEVELS)
+        paths = _paths(stages[back], paths, back * levels, levels)
     return roots, paths
 
 
-def _versions(leaves: DataFrame, paths: DataFrame, carried: Sequence[str]) -> DataFrame:
+def _versions(leaves: DataFrame, paths: DataFrame, carried: Sequence[str], levels: int) -> DataFrame:
     """Each leaf with its proof and, where ``changed`` is not null, the nodes of its version."""
     rows = leaves.select("tree", "place", "depth", "digest", "changed", *carried)
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(part: pa.Table) -> pa.Table:
-        part, levels, upper = _split(part, 0)
+        part, nodes, upper = _split(part, 0, levels)
         above = "".join(d for _, others in upper for d in others)
         proofs, copies = [], []
         for i, new in enumerate(part.column("changed").to_pylist()):
-            path = siblings(levels, i)
+            path = siblings(nodes, i)
             proofs.append(hashlib.sha256(("".join(d for _, others in path for d in others) + above).encode()).hexdigest())
             copies.append(None if new is None else copied(new, path + upper))
         made = {c: part.column(c) for c in ("tree", "digest", *carried)}
         return pa.table({**made, "proof": pa.array(proofs, pa.string()), "copies": pa.array(copies, pa.list_(pa.string()))})
 
-    told = _told(rows, paths).groupBy("tree", "block")
+    told = _told(rows, paths, levels).groupBy("tree", "block")
     return told.applyInArrow(run, f"tree string, digest string, {fields}, proof string, copies array<string>")
 
 
-def manifest(df: DataFrame, columns: Sequence[str], key: str, group: str, changed: Column | None = None) -> DataFrame:
+def manifest(df: DataFrame, columns: Sequence[str], key: str, group: str, changed: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """Columns key, leaf, subroot, root, proof_sha256, folded_root and copies, one row per row of ``df``.
 
     ``changed`` is the digest of the row as it is now (null: unchanged). ``copies`` are the
     nodes that the row's version has of its own, from the leaf to the root; null for an
     unchanged row, which has no version. ``folded_root`` is the root of the row's version.
+    ``levels`` is the height of a block.
     """
     mark = F.lit("+")
     digest = leaf([df[c] for c in columns])
@@ -216,15 +217,15 @@ def manifest(df: DataFrame, columns: Sequence[str], key: str, group: str, change
     )
     leaves = placed(rows, ["key", "digest"])
     leaves = staged(leaves, "placed")
-    subroots, paths = forest(leaves)
+    subroots, paths = forest(leaves, levels)
     # The tree above: one leaf per group, in the order of the groups' names.
     groups = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
     groups = staged(placed(groups, ["name"]), "groups")
-    roots, upper = forest(groups)
-    ends = staged(_paths(groups, upper, 0).join(groups, ["tree", "place"]).select("name", "digest", F.col("path").alias("top")), "tops")
+    roots, upper = forest(groups, levels)
+    ends = staged(_paths(groups, upper, 0, levels).join(groups, ["tree", "place"]).select("name", "digest", F.col("path").alias("top")), "tops")
     top = roots.first()
     paths = paths.join(ends, paths["tree"] == ends["name"]).select("tree", "place", F.concat_ws(";", "path", "top").alias("path"))
-    found = _versions(leaves, paths, ["key"])
+    found = _versions(leaves, paths, ["key"], levels)
     named = found.join(ends.select(F.col("name").alias("tree"), F.col("digest").alias("subroot")), "tree")
     whole = named.withColumn("root", F.lit(top["digest"] if top else None).cast("string"))
     folded = F.coalesce(F.element_at("copies", -1), F.col("root"))
