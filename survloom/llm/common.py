@@ -20,6 +20,14 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: the given one, after as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Whether a row is kept from learning: crc32 of the id as text, modulo 4, is 2.
 

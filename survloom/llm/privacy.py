@@ -1,33 +1,42 @@
 """Information-theoretic sanitisation of personal data, with built-in functions only.
 
-Personal data (e-mail and network addresses, card and phone numbers) are found by
-pattern; each value is a protected entity. Over the whole corpus it is counted in how
-many texts an entity stands, in how many a term stands, and in how many the term stands
-within ``CONTEXT`` characters of the entity. What a term t discloses of an entity e is
-the share of the entity's information that the term gives away, PMI(e; t) / I(e), with
-I(e) = -log2 p(e): one if e stands wherever t does, zero if they are independent. Terms
-near an entity that disclose at least ``GENERALISE`` of it are generalised, those that
-disclose at least ``REMOVE`` are removed. Pairs seen in fewer than ``SUPPORT`` different
-texts say nothing. Equal texts count once.
+Personal data (e-mail and network addresses, card and phone numbers) are found by pattern.
+Protected entities are, for each match, its value, the part that several values share (mail
+domain, network, issuer, dialling prefix) and its kind. Over all different texts it is
+counted how many hold an entity, how many hold a term, and how many hold both. What a term t
+discloses of an entity e is the share of the entity's information that the term gives away,
+
+    PMI(e; t) / I(e) = 1 + log2 p(e | t) / I(e),   I(e) = -log2 p(e),
+
+one if e stands wherever t does, zero if they are independent. p(e | t) is the lower end of
+the one-sided 95 % Wilson interval, and leaves out the text at hand: every term of a text
+stands with the text's entities there, which is no evidence. Terms of a text that disclose at
+least ``GENERALISE`` of an entity of that text are generalised wherever they stand in it, those
+that disclose at least ``REMOVE`` are removed. Texts without personal data stay as they are.
+
+Terms are runs of at least four letters and digits outside personal data, in small letters.
+Equal texts count once. Counting aggregates before it shuffles; no join comes before it, and
+what is joined then has one row per term, or per term and entity.
 
 The patterns are possessive forms of plain ones, which find the same matches but
 neither recurse nor start again within a run; a match that fails its check is dropped.
-A null text is empty. Repeated rows have equal results. Offsets are code points, end
-exclusive.
+A null text is empty. Texts of any length are read whole. Repeated rows have equal results,
+one each. Rows without an id are rows like others. An empty table gives an empty table. Other
+columns are kept, whatever their names. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from survloom.llm.common import table, text_of
+from survloom.llm.common import free, table, text_of
 from survloom.settings import staged
 
-CONTEXT, SUPPORT = 48, 3
-GENERALISE, REMOVE = 0.85, 0.95
-#: Bits of the filter that keeps words that are no candidate out of the counting.
-FILTER_BITS = 1 << 20
+GENERALISE, REMOVE = 0.6, 0.9
+#: Normal quantile of the interval's confidence.
+QUANTILE = 1.645
 
 #: Kinds in their order. A match begins where the last one ended, or where no
 #: character of its first class stands before it.
@@ -102,85 +111,108 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Whole terms within the context of a span, with offsets in the text."""
-    first = F.greatest(F.lit(0).cast("long"), span["start"] - CONTEXT)
-    moved = lambda by: lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["value"]).alias("term"))
-    sides = []
-    for begin, end in ((first, span["start"]), (span["end"], span["end"] + CONTEXT)):
-        # One more character on each side (or a blank at the text's end) shows where terms are whole.
-        piece = F.substring(F.concat(F.lit(" "), text, F.lit(" ")), (begin + 1).cast("int"), (end - begin + 2).cast("int"))
-        terms = _matches(piece, rf"(?<=[^\p{{L}}\p{{N}}]){_TERM}(?=[^\p{{L}}\p{{N}}])", 0, "term")
-        sides.append(F.transform(terms, moved(begin - 1)))
-    return F.concat(*sides)
+def _entities(span: Column) -> Column:
+    """The value, the part that several values share, and the kind of a match."""
+    kind, value = span["kind"], F.lower(span["value"])
+    digits = _digits(value)
+    part = (
+        F.when(kind == "email", F.substring_index(value, "@", -1))
+        .when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.substring(digits, F.lit(1), F.lit(6)))
+        .otherwise(F.substring(digits, F.lit(1), F.lit(4)))
+    )
+    whole = F.when(kind.isin("card", "phone"), digits).otherwise(value)
+    return F.array(kind, F.concat_ws("/", kind, part), F.concat_ws(":", kind, whole))
+
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
-def _entity(span: Column) -> Column:
-    plain = F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"]))
-    return F.concat_ws(":", span["kind"], plain)
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text without its personal data, a blank in the place of each."""
+    return rewritten(text, F.transform(spans, lambda s: s.withField("kind", F.lit("blank"))))
 
-def detected(docs: DataFrame) -> DataFrame:
-    """Add ``base`` to rows (doc_id, key, text)."""
-    return docs.withColumn("base", base_spans(F.col("text")))
 
+def lower_bound(k: Column, n: Column) -> Column:
+    """Lower end of the one-sided Wilson interval of k successes in n trials; 0 without trials."""
+    z = QUANTILE
+    spread = F.sqrt(F.greatest(F.lit(0.0), k * (n - k) / n) + z * z / 4)
+    return F.when((n > 0) & (k > 0), (k + z * z / 2 - z * spread) / (n + z * z)).otherwise(F.lit(0.0))
 
-def _term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Different texts that hold each of ``terms``, counted over all of ``docs``.
 
-    The words of the corpus pass a bit filter of the terms before they are shuffled. It
-    has at most ``FILTER_BITS`` / 64 rows, so it is broadcast.
+def term_counts(texts: DataFrame) -> DataFrame:
+    """Rows (term, n_term): how many of the texts hold each term."""
+    spoken = texts.select(F.explode(_words(F.col("text"))).alias("term"))
+    return spoken.groupBy("term").agg(F.count("*").alias("n_term"))
+
+
+def disclosing(texts: DataFrame, mentions: DataFrame, holders: DataFrame) -> DataFrame:
+    """Rows (entity, term, share) above the lower threshold.
+
+    ``texts`` are the different texts, ``mentions`` has one row (entity, term) for each text
+    that holds both, ``holders`` counts the texts of each entity (entity, n_entity).
     """
-    bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
-    mask = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
-    marked = lambda df: df.withColumn("_bit", bit).withColumn("_word", F.floor(F.col("_bit") / 64))
-    bits = marked(terms).groupBy("_word").agg(F.bit_or(mask).alias("_mask"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    spoken = marked(docs.select("key", F.explode(words).alias("term")))
-    passed = spoken.join(F.broadcast(bits), "_word").filter(F.col("_mask").bitwiseAND(mask) != 0)
-    held = passed.select("key", "term").join(terms, "term", "left_semi").distinct()
-    return held.groupBy("term").agg(F.count("*").alias("n_term"))
-
-
-def disclosing(docs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Pairs (entity, term) above the lower threshold, with the share disclosed."""
-    pairs = mentions.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = staged(pairs.filter(F.col("n_both") >= SUPPORT), "disclosure")
-    entities = mentions.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    texts = docs.select("key").distinct().count()
-    counts = _term_counts(docs, pairs.select("term").distinct())
-    found = pairs.join(counts, "term").join(entities, "entity")
-    information = -F.log2(F.col("n_entity") / F.lit(max(1, texts)))
-    lost = F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")))
-    share = F.when(information > 0, 1 + lost / information).otherwise(F.lit(0.0))
+    pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter("n_both > 1")
+    found = pairs.join(holders, "entity").join(term_counts(texts), "term")
+    information = -F.log2(F.col("n_entity") / F.lit(max(1, texts.count())))
+    known = lower_bound(F.col("n_both") - 1, F.greatest("n_both", "n_term") - 1)
+    share = F.when((information > 0) & (known > 0), 1 + F.log2(known) / information).otherwise(F.lit(0.0))
     return found.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
 
 
-def analysed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows doc_id, key (hash of the text), base and spans, one for each row of ``df``.
+def _places(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows (key, start, end, share): where the terms of ``told`` (key, term, share) stand in their texts."""
+    held = texts.join(told.select("key").distinct(), "key", "left_semi")
+    words, gaps = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.split("text", _TERM, -1)
+    cut = held.select("key", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("word"))).alias("i", "w"))
+    upto = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    length = _length(F.col("w.gap")) + F.coalesce(_length(F.col("w.word")), F.lit(0))
+    cut = cut.select("key", "w.word", F.sum(length).over(upto).alias("end")).filter("word IS NOT NULL")
+    cut = cut.select("key", F.lower("word").alias("term"), (F.col("end") - _length(F.col("word"))).alias("start"), "end")
+    return cut.join(told, ["key", "term"]).select("key", "start", "end", "share")
+
+
+def detected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows with key (hash of the text) and text: the different texts, and rows (key, base, spans) of those with spans.
 
     ``spans`` holds the base spans and those of terms (kinds ``generalised`` and
     ``removed``), by start and kind.
     """
-    docs = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df[text]).alias("text"))
-    docs = docs.withColumn("key", F.xxhash64("text"))
-    near = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _near(F.col("text"), s).alias("terms")))
-    near = F.when(F.size("base") > 0, near)
-    found = staged(detected(docs).select("doc_id", "key", "base", near.alias("near")), "privacy")
-    mentions = found.select("doc_id", "key", "base", F.explode("near").alias("near"))
-    mentions = mentions.select("doc_id", "key", "base", "near.entity", F.explode("near.terms").alias("t"))
-    apart = ~F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    mentions = mentions.filter(apart).select("doc_id", "key", "entity", "t.term", "t.start", "t.end")
-    told = mentions.join(disclosing(docs, mentions), ["entity", "term"])
-    told = told.groupBy("doc_id", "key", "start", "end").agg(F.max("share").alias("share"))
+    texts = staged(docs.select("key", "text").dropDuplicates(["key"]), "texts")
+    found = texts.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
+    entities = F.array_distinct(F.flatten(F.transform("base", _entities)))
+    found = found.select("key", "base", entities.alias("entities"), _words(_blanked(F.col("text"), F.col("base"))).alias("terms"))
+    found = staged(found, "privacy")
+    # An entity of one text alone has nothing to be learnt from.
+    holders = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    holders = staged(holders.filter("n_entity > 1"), "entities")
+    named = found.select("key", "terms", F.explode("entities").alias("entity")).join(holders.select("entity"), "entity")
+    mentions = named.select("key", "entity", F.explode("terms").alias("term"))
+    told = mentions.join(disclosing(texts, mentions, holders), ["entity", "term"])
+    told = staged(told.groupBy("key", "term").agg(F.max("share").alias("share")), "told")
     kind = F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised")
     rank = F.when(F.col("share") >= REMOVE, len(PATTERNS) + 1).otherwise(len(PATTERNS))
     span = F.struct("start", rank.alias("rank"), "end", kind.alias("kind"), F.lit(None).cast("string").alias("value"))
-    told = told.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(span).alias("_terms"))
-    same = found["doc_id"].eqNullSafe(told["_id"]) & (found["key"] == told["_key"])
-    joined = found.join(told, same, "left")
-    spans = F.array_sort(F.concat("base", F.coalesce(F.col("_terms").cast(_SPAN), F.array().cast(_SPAN))))
-    return joined.select("doc_id", "key", "base", spans.alias("spans"))
+    placed = _places(texts, told).groupBy("key").agg(F.collect_list(span).alias("placed"))
+    joined = found.select("key", "base").join(placed, "key", "left")
+    free_of = F.filter(F.col("placed").cast(_SPAN), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    spans = F.array_sort(F.concat("base", F.coalesce(free_of, F.array().cast(_SPAN))))
+    return texts, staged(joined.select("key", "base", spans.alias("spans")), "spans")
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def analysed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows doc_id, base and spans, one for each row of ``df``; see :func:`detected`."""
+    docs = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df[text]).alias("text"))
+    docs = docs.withColumn("key", _key(F.col("text")))
+    _, found = detected(docs)
+    none = F.array().cast(_SPAN)
+    joined = docs.select("doc_id", "key").join(found, "key", "left")
+    return joined.select("doc_id", *(F.coalesce(c, none).alias(c) for c in ("base", "spans")))
 
 
 def rewritten(text: Column, spans: Column) -> Column:
@@ -188,7 +220,7 @@ def rewritten(text: Column, spans: Column) -> Column:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def add(seen: Column, span: Column) -> Column:
-        shown = F.when(span["kind"] == "removed", F.lit("")).when(span["kind"] == "generalised", F.lit("<TERM>"))
+        shown = F.when(span["kind"] == "removed", F.lit("")).when(span["kind"] == "blank", F.lit(" ")).when(span["kind"] == "generalised", F.lit("<TERM>"))
         shown = shown.otherwise(F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">")))
         before = F.substring(text, (seen["at"] + 1).cast("int"), (span["start"] - seen["at"]).cast("int"))
         parts = F.when(span["start"] >= seen["at"], F.concat(seen["parts"], F.array(before, shown))).otherwise(seen["parts"])
@@ -206,11 +238,12 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     All rows and columns are kept; a null text stays null.
     """
-    spans = analysed(df, doc_id, text).filter(F.size("spans") > 0)
-    spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.first("spans").alias("_spans"))
-    rows = df.withColumns({"_rid": df[doc_id].cast("long"), "_rkey": F.xxhash64(text_of(df[text]))})
-    joined = rows.join(spans, rows["_rid"].eqNullSafe(spans["_id"]) & (rows["_rkey"] == spans["_key"]), "left")
-    new = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(rewritten(F.col(text), F.col("_spans")))
+    key, spans = free(df, "key"), free(df, "spans")
+    rows = df.withColumn(key, _key(text_of(df[text])))
+    _, found = detected(rows.select(F.col(key).alias("key"), text_of(rows[text]).alias("text")))
+    found = found.select(F.col("key").alias(key), F.col("spans").alias(spans))
+    joined = rows.join(found, key, "left")
+    new = F.when(F.col(spans).isNull(), F.col(text)).otherwise(rewritten(F.col(text), F.col(spans)))
     return joined.withColumn(text, new).select(*df.columns)
 
 
