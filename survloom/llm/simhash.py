@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from survloom.llm.common import batch_of, sliced, table, text_of
+from survloom.llm.common import batch_of, free, sliced, table, text_of
 from survloom.llm.components import connected
 from survloom.settings import staged
 
@@ -204,18 +204,26 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component stays: the smallest id, and one row of rows that repeat it.
+    """One row of each component stays: the smallest id, then the smallest hash of the text.
 
-    Rows without an id rank last. All columns of ``df`` are kept.
+    One of several rows that repeat id and text stays. Rows without an id rank last. All
+    columns of ``df`` are kept, whatever their names. Texts are read whole; what is compared
+    and chosen are narrow rows. An empty table gives an empty table.
     """
-    wide = with_fingerprint(df.withColumn("_text", text_of(df[text])), "_text", "_fp", shingle).drop("_text")
-    marked = staged(wide.select(wide[doc_id].cast("long").alias("doc_id"), F.col("_fp").alias("fp")).distinct(), "simhash")
-    chosen = groups(marked, max_bits)
-    first = chosen.groupBy("root").agg(F.min("component_id").alias("_first"))
-    ends = chosen.join(first, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), "_first")
-    # Only one row of each root has its smallest id, or several that repeat the id.
-    mine = wide.join(ends, "_fp").filter(wide[doc_id].eqNullSafe(F.col("_first")))
-    return mine.dropDuplicates(["_root"]).select(*df.columns)
+    id_name, hash_name = free(df, "id"), free(df, "hash")
+    own = {id_name: df[doc_id].cast("long"), hash_name: F.xxhash64(text_of(df[text]))}
+    narrow = df.select(own[id_name].alias("doc_id"), own[hash_name].alias("hash"), text_of(df[text]).alias("text"))
+    marked = with_fingerprint(narrow, "text", "fp", shingle).groupBy("doc_id", "hash", "fp").agg(F.count("*").alias("n"))
+    marked = staged(marked, "simhash")
+    rooted = marked.join(groups(marked, max_bits).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "hash", "n")).alias("first")
+    kept = rooted.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.hash").alias("kept_hash"), F.col("first.n").alias("kept_n"))
+    kept = staged(kept, "kept").select(*(F.col(f"kept_{x}").alias(free(df, f"kept_{x}")) for x in ("id", "hash", "n")))
+    rows, (kept_id, kept_hash, kept_n) = df.withColumns(own), kept.columns
+    mine = rows.join(kept, rows[id_name].eqNullSafe(kept[kept_id]) & (rows[hash_name] == kept[kept_hash]))
+    # Only rows that repeat id and text are shuffled once more.
+    single, repeated = mine.filter(F.col(kept_n) == 1), mine.filter(F.col(kept_n) > 1)
+    return single.union(repeated.dropDuplicates([id_name, hash_name])).select(*df.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ words: short phrases that recur by chance stay. Offsets (code points of the orig
 text, end exclusive) of what was removed are kept.
 
 Rows without an id rank last, by their text's hash. Rows that repeat id and text are
-one document with one result. A null text stays null, an empty one empty. Other columns
-are kept. Grouping aggregates before it shuffles, and the join back is a plain
+one document with one result. A null text stays null, an empty one empty. Texts of any
+length are cut whole; an empty table gives an empty table. Other columns are kept, whatever
+their names. Grouping aggregates before it shuffles, and the join back is a plain
 equi-join that adaptive execution splits, so a unit may hold any share of all rows.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from survloom.llm.common import batch_of, sliced, table, text_of
+from survloom.llm.common import batch_of, free, sliced, table, text_of
 from survloom.settings import staged
 
 #: Words of a unit, and of a removed run of units, at least.
@@ -102,7 +103,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id (long), key (hash of the text) and text.
     """
-    found = _listed(docs)
+    found = staged(_listed(docs), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "key", "n")
     grouped = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(rank).alias("first")).filter("times > 1")
     later = found.join(grouped, ["h1", "h2"]).filter(rank != F.col("first")).select("doc_id", "key", "n", "start", "end", "words")
@@ -131,14 +132,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spans: str = "removed") -> DataFrame:
     """``df`` with the text cut, and an array of the removed spans of the original text."""
-    own = {"_id": df[doc_id].cast("long"), "_key": F.xxhash64(text_of(df[text]))}
-    rows = df.drop(*([spans] if spans in df.columns and spans != text else [])).withColumns(own)
-    docs = rows.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), text_of(rows[text]).alias("text"))
+    own_id, own_key, rid, rkey, cuts = (free(df, x) for x in ("id", "key", "found_id", "found_key", "spans"))
+    rows = df.drop(*([spans] if spans in df.columns and spans != text else []))
+    rows = rows.withColumns({own_id: df[doc_id].cast("long"), own_key: F.xxhash64(text_of(df[text]))})
+    docs = rows.select(F.col(own_id).alias("doc_id"), F.col(own_key).alias("key"), text_of(rows[text]).alias("text"))
     found = staged(repeated_spans(docs), "substrings")
-    found = found.select(F.col("doc_id").alias("_rid"), F.col("key").alias("_rkey"), F.col("spans").alias("_spans"))
-    same = rows["_id"].eqNullSafe(found["_rid"]) & (rows["_key"] == found["_rkey"])
-    joined = rows.join(found, same, "left").drop("_rid", "_rkey", "_id", "_key")
-    kept = [c for c in joined.columns if c not in (text, "_spans")]
+    found = found.select(F.col("doc_id").alias(rid), F.col("key").alias(rkey), F.col("spans").alias(cuts))
+    same = rows[own_id].eqNullSafe(found[rid]) & (rows[own_key] == found[rkey])
+    joined = rows.join(found, same, "left").drop(rid, rkey, own_id, own_key)
+    kept = [c for c in joined.columns if c not in (text, cuts)]
     names = [c if c != text else text for c in df.columns if c != spans] + [spans]
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(text, T.StringType()), T.StructField(spans, span_type)])
@@ -147,7 +149,7 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spans
         for batch in batches:
             for cut, texts in sliced([batch], text):
                 missing = cut.column(text).is_null().to_pylist()
-                removed = [[(s["start"], s["end"]) for s in x or ()] for x in cut.column("_spans").to_pylist()]
+                removed = [[(s["start"], s["end"]) for s in x or ()] for x in cut.column(cuts).to_pylist()]
                 out = [None if gone else cut_out(t, r) if r else t for t, r, gone in zip(texts, removed, missing, strict=True)]
                 lists = pa.array([[{"start": s, "end": e} for s, e in r] for r in removed], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in kept), pa.array(out, pa.string()), lists], schema.names)

@@ -10,6 +10,8 @@ from test_tokens import check_packing
 
 import random
 
+from pyspark.sql import functions as F
+
 
 def test_stages(spark, tmp_path):
     draw = random.Random(8)
@@ -41,3 +43,21 @@ def test_stages(spark, tmp_path):
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect(), {r.doc_id: r.text for r in docs.collect()})
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert substrings.LEAST_WORDS == 8
+
+
+def test_stages_take_clashing_names_nulls_and_no_rows(spark, tmp_path):
+    rows = [(1, "plain words that say nothing in particular", 1), (1, "plain words that say nothing in particular", 1), (2, None, None), (None, "", 2), (3, "ask a@b.co", 3), (4, "ask a@b.co " * 4000, 4)]
+    names = "id hash key spans base kept_id kept_hash kept_n found_id found_key toxicity removed fp root term share n".split()
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({n: F.lit(i) for i, n in enumerate(names) if n != "n_chars"})
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = staged(stage(spark, docs, str(tmp_path)), "test")
+            assert out.columns == docs.columns, name
+            kept = sorted((tuple(r)[3:] for r in out.collect()), key=repr)
+            assert kept == [tuple(range(len(names)))] * len(kept), name
+            if name == "simhash":
+                # The null and the empty text are one group, and the repeated row another.
+                assert sorted((r.doc_id for r in out.collect()), key=repr) == ([1, 2, 3, 4] if docs is df else [])
+            else:
+                assert out.count() == docs.count()
