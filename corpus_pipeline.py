@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from survloom.llm import packing, privacy, simhash, substrings, toxicity
-from survloom.llm.common import table
+from survloom.llm.common import free, table
 from survloom.settings import staged
 
 
@@ -25,8 +25,9 @@ def _measured(before: DataFrame, after: DataFrame) -> DataFrame:
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; the model is fitted on labelled documents among them."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, output="_toxicity")
-    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    output = free(docs, "toxicity")
+    scored = toxicity.score(docs, model, output=output)
+    return scored.filter(F.col(output) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines and passages stay where they stand first; no document is dropped."""
-    return _measured(docs, substrings.deduplicate(docs, spans="_removed"))
+    return _measured(docs, substrings.deduplicate(docs, spans=free(docs, "removed")))
 
 
 def private_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
