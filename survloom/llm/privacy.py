@@ -141,21 +141,28 @@ def lower_bound(k: Column, n: Column) -> Column:
     return F.when((n > 0) & (k > 0), (k + z * z / 2 - z * spread) / (n + z * z)).otherwise(F.lit(0.0))
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """Rows (term, n_term): how many of the texts hold each term."""
-    spoken = texts.select(F.explode(_words(F.col("text"))).alias("term"))
-    return spoken.groupBy("term").agg(F.count("*").alias("n_term"))
+def term_counts(rows: DataFrame) -> DataFrame:
+    """Rows (term, n_term): how many different texts hold each term.
+
+    ``rows`` has text and ``copies``, the number of rows with that text (null: one). Copies
+    count as their parts of one, in 18 decimals, which add up to whole numbers when rounded.
+    """
+    part = F.lit(1).cast("decimal(20,18)") / F.col("copies").cast("decimal(18,0)")
+    spoken = rows.select("copies", F.explode(_words(F.col("text"))).alias("term"))
+    total = F.count(F.when(F.col("copies").isNull(), 1)) + F.round(F.coalesce(F.sum(part), F.lit(0))).cast("long")
+    return spoken.groupBy("term").agg(total.alias("n_term"))
 
 
-def disclosing(texts: DataFrame, mentions: DataFrame, holders: DataFrame) -> DataFrame:
+def disclosing(rows: DataFrame, texts: int, mentions: DataFrame, holders: DataFrame) -> DataFrame:
     """Rows (entity, term, share) above the lower threshold.
 
-    ``texts`` are the different texts, ``mentions`` has one row (entity, term) for each text
-    that holds both, ``holders`` counts the texts of each entity (entity, n_entity).
+    ``rows`` are as for :func:`term_counts` and hold so many different ``texts``;
+    ``mentions`` has one row (entity, term) for each text that holds both, ``holders`` counts
+    the texts of each entity (entity, n_entity).
     """
     pairs = mentions.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter("n_both > 1")
-    found = pairs.join(holders, "entity").join(term_counts(texts), "term")
-    information = -F.log2(F.col("n_entity") / F.lit(max(1, texts.count())))
+    found = pairs.join(holders, "entity").join(term_counts(rows), "term")
+    information = -F.log2(F.col("n_entity") / F.lit(max(1, texts)))
     known = lower_bound(F.col("n_both") - 1, F.greatest("n_both", "n_term") - 1)
     share = F.when((information > 0) & (known > 0), 1 + F.log2(known) / information).otherwise(F.lit(0.0))
     return found.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
@@ -163,7 +170,7 @@ def disclosing(texts: DataFrame, mentions: DataFrame, holders: DataFrame) -> Dat
 
 def _places(texts: DataFrame, told: DataFrame) -> DataFrame:
     """Rows (key, start, end, share): where the terms of ``told`` (key, term, share) stand in their texts."""
-    held = texts.join(told.select("key").distinct(), "key", "left_semi")
+    held = texts.select("key", "text").join(told.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     words, gaps = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.split("text", _TERM, -1)
     cut = held.select("key", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("word"))).alias("i", "w"))
     upto = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -173,32 +180,36 @@ def _places(texts: DataFrame, told: DataFrame) -> DataFrame:
     return cut.join(told, ["key", "term"]).select("key", "start", "end", "share")
 
 
-def detected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows with key (hash of the text) and text: the different texts, and rows (key, base, spans) of those with spans.
+def detected(docs: DataFrame) -> DataFrame:
+    """From rows with key (hash of the text) and text: rows (key, base, spans) of the texts with spans.
 
     ``spans`` holds the base spans and those of terms (kinds ``generalised`` and
-    ``removed``), by start and kind.
+    ``removed``), by start and kind. Tables that texts are joined with are written first,
+    so that their size is known and texts are shuffled only if they are large.
     """
-    texts = staged(docs.select("key", "text").dropDuplicates(["key"]), "texts")
-    found = texts.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
+    docs = docs.select("key", "text")
+    counted = docs.groupBy("key").agg(F.count("*").alias("copies"))
+    copied = staged(counted.filter("copies > 1"), "copies")
+    more = copied.agg(F.sum(F.col("copies") - 1)).first()[0] or 0
+    found = docs.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
     entities = F.array_distinct(F.flatten(F.transform("base", _entities)))
     found = found.select("key", "base", entities.alias("entities"), _words(_blanked(F.col("text"), F.col("base"))).alias("terms"))
-    found = staged(found, "privacy")
+    found = staged(found.dropDuplicates(["key"]), "privacy")
     # An entity of one text alone has nothing to be learnt from.
     holders = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     holders = staged(holders.filter("n_entity > 1"), "entities")
     named = found.select("key", "terms", F.explode("entities").alias("entity")).join(holders.select("entity"), "entity")
     mentions = named.select("key", "entity", F.explode("terms").alias("term"))
-    told = mentions.join(disclosing(texts, mentions, holders), ["entity", "term"])
-    told = staged(told.groupBy("key", "term").agg(F.max("share").alias("share")), "told")
+    shares = staged(disclosing(docs.join(copied, "key", "left"), docs.count() - more, mentions, holders), "shares")
+    told = staged(mentions.join(shares, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share")), "told")
     kind = F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised")
     rank = F.when(F.col("share") >= REMOVE, len(PATTERNS) + 1).otherwise(len(PATTERNS))
     span = F.struct("start", rank.alias("rank"), "end", kind.alias("kind"), F.lit(None).cast("string").alias("value"))
-    placed = _places(texts, told).groupBy("key").agg(F.collect_list(span).alias("placed"))
+    placed = _places(docs, told).groupBy("key").agg(F.collect_list(span).alias("placed"))
     joined = found.select("key", "base").join(placed, "key", "left")
     free_of = F.filter(F.col("placed").cast(_SPAN), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
     spans = F.array_sort(F.concat("base", F.coalesce(free_of, F.array().cast(_SPAN))))
-    return texts, staged(joined.select("key", "base", spans.alias("spans")), "spans")
+    return staged(joined.select("key", "base", spans.alias("spans")), "spans")
 
 
 def _key(text: Column) -> Column:
@@ -209,7 +220,7 @@ def analysed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """Rows doc_id, base and spans, one for each row of ``df``; see :func:`detected`."""
     docs = df.select(df[doc_id].cast("long").alias("doc_id"), text_of(df[text]).alias("text"))
     docs = docs.withColumn("key", _key(F.col("text")))
-    _, found = detected(docs)
+    found = detected(docs)
     none = F.array().cast(_SPAN)
     joined = docs.select("doc_id", "key").join(found, "key", "left")
     return joined.select("doc_id", *(F.coalesce(c, none).alias(c) for c in ("base", "spans")))
@@ -240,7 +251,7 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     key, spans = free(df, "key"), free(df, "spans")
     rows = df.withColumn(key, _key(text_of(df[text])))
-    _, found = detected(rows.select(F.col(key).alias("key"), text_of(rows[text]).alias("text")))
+    found = detected(rows.select(F.col(key).alias("key"), text_of(rows[text]).alias("text")))
     found = found.select(F.col("key").alias(key), F.col("spans").alias(spans))
     joined = rows.join(found, key, "left")
     new = F.when(F.col(spans).isNull(), F.col(text)).otherwise(rewritten(F.col(text), F.col(spans)))
