@@ -15,15 +15,12 @@ exactly one of three places:
 Equal rows are merged first; every distinct row is then shuffled twice, whatever
 the size, and there is no other path for small tables. A value heavier than a range
 gets a range of its own (an event time is split from the censorings at that
-time), where no counting is needed, so no group outgrows ``group_rows`` by more
-than the error of the approximate cuts.
+time), where no counting is needed, so no group outgrows ``group_rows``.
 """
 
 from __future__ import annotations
 
-import math
 import sys
-from bisect import bisect_right
 from collections.abc import Sequence
 from decimal import Decimal
 from functools import reduce
@@ -36,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from survloom.operators.prefix import with_range
+from survloom.operators import prefix
+from survloom.operators.ranges import fit_ranges
 from survloom.settings import GROUP_ROWS, keep
 
 _COUNT = "decimal(38,0)"
@@ -139,43 +137,39 @@ def _count_groups(
     return rows.select(columns).groupBy(*keys, part).applyInArrow(count, schema)
 
 
-def _cuts(rows: DataFrame, column: str, ranges: int) -> tuple[list[float], list[int]]:
-    """Equi-depth cuts, and the indexes of ranges that hold a single heavy value."""
-    probs = [i / ranges for i in range(1, ranges)]
-    found = rows.agg(F.percentile_approx(column, probs, max(10_000, 10 * ranges))).first()[0] or []
-    heavy = [v for v, again in zip(found, found[1:]) if v == again]
-    cuts = sorted({*found, *[math.nextafter(v, math.inf) for v in heavy]})
-    return cuts, sorted({bisect_right(cuts, v) for v in heavy})
+def _earlier_products(cells: DataFrame, keys: Sequence[str], along: str, top: int) -> list[DataFrame]:
+    """Parts that sum, per keys, to n times the events strictly earlier ``along`` the order.
 
-
-def _running_product(cells: DataFrame, keys: Sequence[str], along: str) -> DataFrame:
-    """Per keys: the sum of n times the events strictly earlier ``along`` the order."""
-    earlier = (
-        Window.partitionBy(*keys, F.lit(0)).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = F.coalesce(F.sum("_ev").over(earlier), F.lit(0))
-    pairs = F.col("_n").cast("decimal(19,0)") * F.col("_before").cast("decimal(19,0)")
-    return (
-        cells.withColumn("_before", before).groupBy(*keys).agg(F.sum(pairs).cast(_COUNT).alias("_sum"))
-    )
-
-
-def _sizes(rows: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """Rows in all, and rows of the largest key."""
-    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    size = per_key.agg(F.sum("_rows").alias("n"), F.max("_rows").alias("largest")).first()
-    return size["n"] or 0, size["largest"] or 0
-
-
-def _count_cells(cells: DataFrame, keys: Sequence[str], group_rows: int) -> list[DataFrame]:
+    Two ranges first part in one level of ``FAN_BITS`` bits: there they are counted in a
+    window over the neighbours of one group, and groups are the ranges of the next level.
+    """
+    parts = []
+    level = cells.groupBy(*keys, F.col(along).alias("_at")).agg(F.sum("_ev").alias("_ev"), F.sum("_n").alias("_n"))
+    while True:
+        group = F.shiftright("_at", prefix.FAN_BITS)
+        earlier = Window.partitionBy(*keys, group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_ev").over(earlier), F.lit(0))
+        pairs = F.col("_n").cast("decimal(19,0)") * F.col("_before").cast("decimal(19,0)")
+        counted = level.withColumn("_before", before).groupBy(*keys).agg(F.sum(pairs).cast(_COUNT).alias("_sum"))
+        parts.append(counted)
+        top >>= prefix.FAN_BITS
+        if not top:
+            return parts
+        level = level.groupBy(*keys, group.alias("_at")).agg(F.sum("_ev").alias("_ev"), F.sum("_n").alias("_n"))
+
+
+def _count_cells(
+    cells: DataFrame, keys: Sequence[str], group_rows: int, a_top: int, b_top: int
+) -> list[DataFrame]:
     """Parts that sum to the concordant pairs of cells that differ in both ranges.
 
     Four neighbouring ranges are joined per level: what falls in one joined range
     is counted there, the rest on the joined cells. Each level has a sixteenth
-    of the possible cells, and one cell is left in the end.
+    of the possible cells, and one cell is left in the end. The largest range numbers
+    tell how many levels there are.
     """
     rows = cells.withColumn("_r", F.col("_b").cast("double"))
-    if _sizes(cells, keys)[1] <= group_rows:
+    if (a_top + 1) * (b_top + 1) <= max(4, group_rows):
         return [_count_groups(rows.withColumn("_all", F.lit(0)), keys, "_all", "_a", "_a")]
     joined = rows.withColumns(
         {"_a4": F.shiftright("_a", _JOINED_BITS), "_b4": F.shiftright("_b", _JOINED_BITS)}
@@ -189,50 +183,45 @@ def _count_cells(cells: DataFrame, keys: Sequence[str], group_rows: int) -> list
             F.sum("_ev").alias("_ev"), F.sum("_n").alias("_n")
         )
     )
-    return parts + _count_cells(coarse, keys, group_rows)
+    return parts + _count_cells(coarse, keys, group_rows, a_top >> _JOINED_BITS, b_top >> _JOINED_BITS)
 
 
 def _count(rows: DataFrame, keys: Sequence[str], group_rows: int) -> DataFrame:
     """Parts that add up, per keys, to the pair counts of ``rows``."""
-    n, _ = _sizes(rows, keys)
-    # Cuts over all keys together: a range holds at most so many rows of any key.
-    ranges = max(2, math.ceil(2 * n / group_rows))
-    t_cuts, t_heavy = _cuts(rows, "_t", ranges)
-    r_cuts, r_heavy = _cuts(rows, "_r", ranges)
-    ranged = with_range(with_range(rows, "_t", t_cuts, "_a"), "_r", r_cuts, "_rr")
-    alone = F.col("_a").isin(t_heavy)
+    # Ranges over all keys together: fewer than group_rows rows of any key in one, unless one value has more.
+    times, risks = (fit_ranges(rows, c, max(1, group_rows // 2)) for c in ("_t", "_r"))
+    ranged = risks.add(times.add(rows, "_t", "_a"), "_r", "_b")
+    # Odd ranges hold one heavy value; an event time is then split from the censorings at that time.
+    alone = F.col("_a") % 2 == 1
     ranged = ranged.select(
         *rows.columns,
         alone.alias("_alone"),
         (2 * F.col("_a") + F.when(alone, F.col("_late")).otherwise(0)).alias("_a"),
-        F.col("_rr").alias("_b"),
+        "_b",
     )
+    a_top = 2 * times.top + 1
+    one_risk = F.col("_b") % 2 == 1
     zero = F.lit(0).cast(_COUNT)
     parts = [
         _count_groups(ranged.filter(~F.col("_alone")), keys, "_a", "_t", "_late"),
         _count_groups(
-            ranged.filter(~F.col("_b").isin(r_heavy)), keys, "_b", "_a", "_a"
+            ranged.filter(~one_risk), keys, "_b", "_a", "_a"
         ).withColumn("pairs", zero),
     ]
     cells = keep(
         ranged.groupBy(*keys, "_a", "_b").agg(F.sum("_ev").alias("_ev"), F.sum("_n").alias("_n"))
     )
-    by_time = cells.groupBy(*keys, "_a").agg(F.sum("_ev").alias("_ev"), F.sum("_n").alias("_n"))
-    parts.append(
-        _running_product(by_time, keys, "_a").select(
-            *keys, F.col("_sum").alias("pairs"), zero.alias("concordant"), zero.alias("tied")
-        )
-    )
-    if r_heavy:
-        same_risk = cells.filter(F.col("_b").isin(r_heavy))
-        parts.append(
-            _running_product(same_risk, [*keys, "_b"], "_a").select(
-                *keys, zero.alias("pairs"), zero.alias("concordant"), F.col("_sum").alias("tied")
-            )
-        )
+    parts += [
+        part.select(*keys, F.col("_sum").alias("pairs"), zero.alias("concordant"), zero.alias("tied"))
+        for part in _earlier_products(cells, keys, "_a", a_top)
+    ]
+    parts += [
+        part.select(*keys, zero.alias("pairs"), zero.alias("concordant"), F.col("_sum").alias("tied"))
+        for part in _earlier_products(cells.filter(one_risk), [*keys, "_b"], "_a", a_top)
+    ]
     parts += [
         part.select(*keys, zero.alias("pairs"), "concordant", zero.alias("tied"))
-        for part in _count_cells(cells, keys, group_rows)
+        for part in _count_cells(cells, keys, group_rows, a_top, risks.top)
     ]
     return reduce(DataFrame.unionByName, parts)
 

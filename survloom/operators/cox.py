@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from survloom.operators.curves import at_or_before
 from survloom.operators.persistence import TableModel
-from survloom.operators.prefix import quantile_cuts, running_sums
-from survloom.settings import bucket_count, keep, staged
+from survloom.operators.prefix import running_sums
+from survloom.operators.ranges import Ranges, fit_ranges
+from survloom.settings import keep, staged
 
 #: Last steps of a time's tied deaths that are added one by one; see _TIES.
 _ONE_BY_ONE = 64
@@ -54,7 +55,7 @@ def linear_predictor(coefficients: dict[str, float], centers: dict[str, float])
 
 
 def newton_terms(
-    patterns: DataFrame, beta: Sequence[float], cuts: Sequence[float]
+    patterns: DataFrame, beta: Sequence[float], cuts: Sequence[float] | Ranges
 ) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood, score and information of the partial likelihood, ties by Efron.
 
@@ -200,7 +201,7 @@ class CoxRegression(Estimator):
                 F.sum(F.col("_cw") * F.col("_d")).alias("_dw"),
             )
         )
-        cuts = quantile_cuts(patterns, ["_t"], bucket_count(dataset.sparkSession))["_t"]
+        cuts = fit_ranges(patterns.select("_t").distinct(), "_t")
         if not patterns.agg(F.sum("_d")).first()[0]:
             raise ValueError("no event to fit on")
 
@@ -246,11 +247,12 @@ def breslow_baseline(
     known = df.filter(
         F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(log_risk).isNotNull()
     )
-    cuts = quantile_cuts(known, [time], bucket_count(df.sparkSession))[time]
     times = known.groupBy(*keys, F.col(time).cast("double").alias(time)).agg(
         F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("deaths"),
         F.sum(w * F.exp(log_risk)).alias("_risk"),
     )
+    times = keep(times)
+    cuts = fit_ranges(times, time)
     later = running_sums(
         times, [time], {"_later": F.col("_risk")}, keys=keys, cuts=cuts, descending=True
     )

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from survloom.operators.prefix import carry_last, key_column, quantile_cuts, running_sums
-from survloom.settings import bucket_count, keep
+from survloom.operators.prefix import carry_last, key_column, running_sums
+from survloom.operators.ranges import Ranges, fit_ranges
+from survloom.settings import keep
 
 _LOOP = 64
 
@@ -43,31 +44,29 @@ def tied_hazard(deaths: Column, at_risk: Column) -> Column:
     )
 
 
-def life_table(
-    df: DataFrame,
-    time: str,
-    event: str,
-    *,
-    keys: Sequence[str] = (),
-    cuts: Sequence[float] | None = None,
-) -> DataFrame:
+def life_table(df: DataFrame, time: str, event: str, *, keys: Sequence[str] = ()) -> DataFrame:
     """Per keys and distinct time: ``deaths``, ``leaving`` rows and rows ``at_risk``.
 
     Rows with a null time or event are left out, as they carry no information
     on when anything happened.
     """
+    return _ranged_life_table(df, time, event, keys)[0]
+
+
+def _ranged_life_table(df: DataFrame, time: str, event: str, keys: Sequence[str]) -> tuple[DataFrame, Ranges]:
+    """The life table, and the ranges of its times."""
     known = df.filter(F.col(time).isNotNull() & F.col(event).isNotNull())
-    if cuts is None:
-        cuts = quantile_cuts(known, [time], bucket_count(df.sparkSession))[time]
     times = known.groupBy(*keys, F.col(time).cast("double").alias(time)).agg(
         F.sum(F.when(F.col(event) == 1, 1).otherwise(0)).alias("deaths"),
         F.count(F.lit(1)).alias("leaving"),
     )
+    times = keep(times)
+    cuts = fit_ranges(times, time)
     # Counted from the latest time: those still there after it, plus its own rows.
     later = running_sums(
         times, [time], {"_later": F.col("leaving")}, keys=keys, cuts=cuts, descending=True
     )
-    return later.withColumn("at_risk", F.col("_later") + F.col("leaving")).drop("_later")
+    return later.withColumn("at_risk", F.col("_later") + F.col("leaving")).drop("_later"), cuts
 
 
 def survival_curve(
@@ -78,9 +77,7 @@ def survival_curve(
     ``tied_deaths``: deaths at one time add 1/n + 1/(n-1) + ... to the hazard;
     otherwise d/n.
     """
-    known = df.filter(F.col(time).isNotNull() & F.col(event).isNotNull())
-    cuts = quantile_cuts(known, [time], bucket_count(df.sparkSession))[time]
-    table = life_table(df, time, event, keys=keys, cuts=cuts)
+    table, cuts = _ranged_life_table(df, time, event, keys)
     d, n = F.col("deaths"), F.col("at_risk")
     # ln 0 is null in Spark: the time at which everybody dies is a flag instead.
     factor = F.when(d < n, F.log1p(-d / n)).otherwise(0.0)

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from survloom.functions.expr import crossed_text, joined_text, product_of, sum_of
 from survloom.operators.folds import assign_folds
 from survloom.operators.persistence import TableModel
-from survloom.operators.prefix import quantile_cuts, running_sums, with_range
+from survloom.operators.prefix import running_sums, with_range
 from survloom.operators.ranks import quantiles
-from survloom.settings import bucket_count, staged
+from survloom.settings import staged
 
 UNKNOWN = -1
 MISSING = -2
@@ -153,10 +153,8 @@ def first_appearance(df: DataFrame, columns: Sequence[str], id_col: str) -> Data
         [id_col], list(columns), "col", "val"
     )
     seen = long.groupBy("col", "val").agg(F.min(id_col).alias("_first"))
-    cuts = quantile_cuts(df, [id_col], bucket_count(df.sparkSession))[id_col]
-    numbered = running_sums(
-        seen, ["_first"], {"_before": F.lit(1).cast("long")}, keys=["col"], cuts=cuts
-    )
+    # Ranges of the first ids themselves: most categories may first occur in a few early rows.
+    numbered = running_sums(seen, ["_first"], {"_before": F.lit(1).cast("long")}, keys=["col"])
     return numbered.select("col", "val", (F.col("_before") + 1).cast("int").alias("code"))
 
 

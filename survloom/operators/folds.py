@@ -31,6 +31,7 @@ def _shuffled_place(df: DataFrame, id_col: str, keys: Sequence[str], seed: Colum
         {"_place": F.lit(1).cast("long")},
         keys=keys,
         bucket=bucket,
+        buckets=buckets,
         totals=True,
     ).drop("_hash")
 

@@ -10,21 +10,17 @@ from pyspark.sql import functions as F
 from survloom.operators.prefix import (
     key_column,
     key_fields,
-    quantile_cuts,
     running_sums,
     with_range,
 )
-from survloom.settings import bucket_count, keep
+from survloom.settings import keep
 
 
 def value_ranks(df: DataFrame, value: str, *, keys: Sequence[str] = ()) -> DataFrame:
     """One row per (keys, value): ``ties``, ``below`` (smaller rows), ``below_total``, ``avg_rank``."""
     present = df.filter(F.col(value).isNotNull())
-    cuts = quantile_cuts(present, [value], bucket_count(df.sparkSession))[value]
     counted = present.groupBy(*keys, F.col(value)).agg(F.count(F.lit(1)).alias("ties"))
-    ranked = running_sums(
-        counted, [value], {"below": F.col("ties")}, keys=keys, cuts=cuts, totals=True
-    )
+    ranked = running_sums(counted, [value], {"below": F.col("ties")}, keys=keys, totals=True)
     return ranked.withColumn("avg_rank", F.col("below") + (F.col("ties") + 1) / F.lit(2.0))
 
 
@@ -56,12 +52,11 @@ def roc_auc(df: DataFrame, event: str, pred: str, *, keys: Sequence[str] = ()) -
     Null when one class is missing. Rows without event or prediction are left out.
     """
     present = df.filter(F.col(event).isNotNull() & F.col(pred).isNotNull())
-    cuts = quantile_cuts(present, [pred], bucket_count(df.sparkSession))[pred]
     counted = present.groupBy(*keys, F.col(pred).cast("double").alias("_p")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.when(F.col(event) == 1, 1).otherwise(0)).alias("_pos"),
     )
-    ranked = running_sums(counted, ["_p"], {"_below": F.col("_n")}, keys=keys, cuts=cuts)
+    ranked = running_sums(counted, ["_p"], {"_below": F.col("_n")}, keys=keys)
     stats = ranked.groupBy(key_column(keys).alias("_k")).agg(
         F.sum(F.col("_pos") * (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0))).alias("_r"),
         F.sum("_pos").cast("double").alias("_p"),

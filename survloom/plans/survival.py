@@ -12,10 +12,10 @@ from survloom.operators.crossfit import concordance_metric
 from survloom.operators.curves import at_or_before, survival_curve
 from survloom.operators.encoders import OneHotEncoder
 from survloom.operators.folds import assign_folds
-from survloom.operators.prefix import quantile_cuts
+from survloom.operators.ranges import fit_ranges
 from survloom.operators.ranks import mean_squared_error, roc_auc
 from survloom.plans.registry import query, rounded, sql_folds, sql_rank, sql_rounded
-from survloom.settings import bucket_count, fresh_path, keep
+from survloom.settings import fresh_path, keep
 from survloom.sources.files import write_scores
 from survloom.sources.frames import line_frame, survival_frame, training_rows
 
@@ -254,7 +254,7 @@ def cox_terms(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("_t", "_x0", "_x1")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_d"), F.sum("_d").alias("_dw"))
     )
-    cuts = quantile_cuts(patterns, ["_t"], bucket_count(spark))["_t"]
+    cuts = fit_ranges(patterns, "_t")
     ll, score, info = newton_terms(patterns, _COX_BETA, cuts)
     row = (float(ll), *map(float, score), *map(float, (info[0, 0], info[0, 1], info[1, 1])))
     names = ["ll", "u0", "u1", "i00", "i01", "i11"]
