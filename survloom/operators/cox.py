@@ -2,48 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import sys
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from survloom.operators import prefix
 from survloom.operators.curves import at_or_before
 from survloom.operators.persistence import TableModel
 from survloom.operators.prefix import running_sums
 from survloom.operators.ranges import Ranges, fit_ranges
 from survloom.settings import keep, staged
 
-#: Last steps of a time's tied deaths that are added one by one; see _TIES.
+#: Last steps of a time's tied deaths that are added one by one; see tie_sums.
 _ONE_BY_ONE = 64
+#: Numbers that one task holds as moments at once: rows times moments per row.
+_HELD = 1 << 22
 
-# Efron's sums over the steps q = 0 .. d - 1 of one time, of ln y, 1 / y and 1 / y^2 with
-# y = 1 - r q / d, in constant work and memory for any d: the last (smallest) y are added
-# one by one, all before them by the Euler-Maclaurin formula, whose error is there below
-# the rounding of the sums.
-_TIES = [
-    f"""aggregate(sequence(greatest(0L, _deaths - {_ONE_BY_ONE}), _deaths - 1),
-        named_struct('l', 0D, 'g', 0D, 'h', 0D),
-        (seen, q) -> named_struct(
-            'l', seen.l + ln(1 - _r * q / _deaths),
-            'g', seen.g + 1 / (1 - _r * q / _deaths),
-            'h', seen.h + 1 / pow(1 - _r * q / _deaths, 2))) AS _last""",
-    f"greatest(0L, _deaths - {_ONE_BY_ONE}) AS _many",
-    "greatest(_r / _deaths, 1e-300D) AS _step",
-    f"1 - greatest(_r / _deaths, 1e-300D) * greatest(0L, _deaths - {_ONE_BY_ONE} - 1) AS _y",
-]
-_TIE_SUMS = [
-    """_last.l + if(_many = 0, 0D,
-        -(_y * ln(_y) + _step * (_many - 1)) / _step + ln(_y) / 2
-        - _step * (1 / _y - 1) / 12 + pow(_step, 3) * (pow(_y, -3) - 1) / 360) AS _l""",
-    """_last.g + if(_many = 0, 0D,
-        -log1p(-_step * (_many - 1)) / _step + (1 / _y + 1) / 2
-        + _step * (pow(_y, -2) - 1) / 12 - pow(_step, 3) * (pow(_y, -4) - 1) / 120) AS _g""",
-    """_last.h + if(_many = 0, 0D,
-        (_many - 1) / _y + (pow(_y, -2) + 1) / 2
-        + _step * (pow(_y, -3) - 1) / 6 - pow(_step, 3) * (pow(_y, -5) - 1) / 30) AS _h""",
-]
+# The functions below run in Python workers: ship them with the task, so that the
+# executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def tie_sums(d: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Efron's sums over the steps q = 0 .. d - 1 of each time, of ln y, 1 / y and 1 / y^2.
+
+    With y = 1 - r q / d. The last (smallest) y are added one by one, all before them by
+    the Euler-Maclaurin formula, whose error is there below the rounding of the sums: the
+    work for a time does not grow with its deaths.
+    """
+    many = np.maximum(0.0, d - _ONE_BY_ONE)
+    q = many[:, None] + np.arange(min(_ONE_BY_ONE, int(d.max(initial=1))))
+    there = q < d[:, None]
+    y = np.where(there, 1 - r[:, None] * q / d[:, None], 1.0)
+    sums = [np.log(y).sum(axis=1), (there / y).sum(axis=1), (there / y**2).sum(axis=1)]
+    at = np.flatnonzero(many)
+    if len(at):
+        n, step = many[at], np.maximum(r[at] / d[at], 1e-300)
+        z = step * (n - 1)
+        y = 1 - z
+        # y ln y + z loses its digits where z is small: there it is a power series.
+        small = np.where(z < 0.1, z, 0.0)
+        series = sum(small**k / (k * (k + 1)) for k in range(1, 18)) * (n - 1)
+        integral = np.where(z < 0.1, series, (y * np.log(y) + z) / step)
+        sums[0][at] += -integral + np.log(y) / 2 - step * (1 / y - 1) / 12 + step**3 * (y**-3 - 1) / 360
+        sums[1][at] += -np.log1p(-step * (n - 1)) / step + (1 / y + 1) / 2 + step * (y**-2 - 1) / 12 - step**3 * (y**-4 - 1) / 120
+        sums[2][at] += (n - 1) / y + (y**-2 + 1) / 2 + step * (y**-3 - 1) / 6 - step**3 * (y**-5 - 1) / 30
+    return sums[0], sums[1], sums[2]
+
+
+def moments(x: np.ndarray) -> np.ndarray:
+    """One, the covariates and their products (upper triangle) of each row, packed side by side."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate((np.ones((len(x), 1)), x, x[:, i] * x[:, j]), axis=1)
+
+
+def step_terms(d: np.ndarray, dw: np.ndarray, risk: np.ndarray, dead: np.ndarray) -> np.ndarray:
+    """What the risk sets of some times add to log-likelihood, score and information, packed.
+
+    ``d`` deaths of weight ``dw`` at each time; ``risk`` the weighted moments of those at
+    risk, ``dead`` those of the deaths. The deaths' own covariates are not in it.
+    """
+    p = int((math.isqrt(8 * risk.shape[1] + 1) - 3) // 2)
+    i, j = np.triu_indices(p)
+    share = np.minimum(1.0, dead[:, 0] / risk[:, 0])
+    ln, g, h = tie_sums(d, share)
+    a = risk[:, 1:] / risk[:, :1]
+    b = np.divide(dead[:, 1:], dead[:, :1], out=np.zeros_like(a), where=dead[:, :1] > 0)
+    (a1, a2), (b1, b2) = ((v[:, :p], v[:, p:]) for v in (a, b))
+    per, g, h, n = ((v * 1.0)[:, None] for v in (dw / d, g, h, d))
+    score = -per * (a1 * g - b1 * (g - n))
+    information = per * (
+        a2 * g - b2 * (g - n) - a1[:, i] * a1[:, j] * h
+        + (a1[:, i] * b1[:, j] + b1[:, i] * a1[:, j]) * (h - g) - b1[:, i] * b1[:, j] * (h - 2 * g + n)
+    )
+    level = -(dw / d) * (d * np.log(risk[:, 0]) + ln)
+    return np.concatenate(([level.sum()], score.sum(axis=0), information.sum(axis=0)))
 
 
 def linear_predictor(coefficients: dict[str, float], centers: dict[str, float]) -> Column:
@@ -54,72 +94,125 @@ def linear_predictor(coefficients: dict[str, float], centers: dict[str, float])
     return total
 
 
+def _columns(rows: pa.Table | pa.RecordBatch, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    x = np.stack([rows.column(f"_x{i}").to_numpy() for i in range(p)], axis=1).astype(float)
+    return x, *(rows.column(c).to_numpy().astype(float) for c in ("_n", "_d", "_dw"))
+
+
+def _range_moments(ranged: DataFrame, beta: np.ndarray) -> DataFrame:
+    """(_b, _k, v): packed moments of each range, weighted for the risk and, after them, for the deaths.
+
+    The last number is the count of deaths, before it is their weight. Sums are taken in
+    the task first.
+    """
+    p = len(beta)
+    arrow = pa.schema([("_b", pa.int32()), ("_k", pa.int32()), ("v", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def all_held() -> pa.RecordBatch:
+            width = len(next(iter(held.values()))) if held else 0
+            values = np.concatenate([np.zeros(0), *held.values()])
+            ranges = np.repeat(np.array(list(held), np.int32), width)
+            numbers = np.tile(np.arange(width, dtype=np.int32), len(held))
+            return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(numbers), pa.array(values)], schema=arrow)
+
+        for batch in batches:
+            most = max(1, _HELD // ((p + 1) * (p + 2)))
+            for piece in (batch.slice(at, most) for at in range(0, batch.num_rows, most)):
+                x, n, d, dw = _columns(piece, p)
+                w, each = np.exp(x @ beta), moments(x)
+                own = np.concatenate(((n * w)[:, None] * each, (dw * w)[:, None] * each, dw[:, None], d[:, None]), axis=1)
+                b = piece.column("_b").to_numpy()
+                order = np.argsort(b, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0])
+                for r, v in zip(b[order][starts].tolist(), np.add.reduceat(own[order], starts), strict=True):
+                    held[r] = held[r] + v if r in held else v
+                if len(held) * own.shape[1] > _HELD:
+                    yield all_held()
+                    held.clear()
+        yield all_held()
+
+    partial = ranged.mapInArrow(run, "_b int, _k int, v double")
+    return partial.groupBy("_b", "_k").agg(F.sum("v").alias("v"))
+
+
 def newton_terms(
     patterns: DataFrame, beta: Sequence[float], cuts: Sequence[float] | Ranges
 ) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood, score and information of the partial likelihood, ties by Efron.
 
     ``patterns`` has ``_t``, standardised ``_x0.._xp``, and per pattern the weight of its
-    rows ``_n``, the number of its deaths ``_d`` and their weight ``_dw``. There is one
-    row per time, however many die at it. Only 1 + p + p*p numbers reach the driver.
+    rows ``_n``, the number of its deaths ``_d`` and their weight ``_dw``. The state along
+    the times is one packed array of moments: summed per range of times, passed from the
+    latest range on, and run through the times inside each range. A range that holds a
+    single heavy time needs its sums only. 1 + p + p (p + 1) / 2 numbers reach the driver.
     """
+    beta = np.asarray(beta, float)
     p = len(beta)
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
-    eta = " + ".join(f"{float(b)!r}D * _x{i}" for i, b in enumerate(beta))
-
-    # Moments of the covariates, as SQL texts: there are (p + 1)(p + 2) / 2 of them.
-    moments = {"0": "1D"}
-    moments |= {f"1_{i}": f"_x{i}" for i in range(p)}
-    moments |= {f"2_{i}_{j}": f"_x{i} * _x{j}" for i, j in upper}
-    sums = [
-        "sum(_d) AS _deaths",
-        "sum(_dw) AS _dead",
-        "sum(_dw * _eta) AS _deta",
-        *[f"sum(_dw * _x{i}) AS _dx{i}" for i in range(p)],
-        *[f"sum(_n * _w * {m}) AS _s{k}" for k, m in moments.items()],
-        *[f"sum(_dw * _w * {m}) AS _e{k}" for k, m in moments.items()],
-    ]
-    by_time = (
-        patterns.selectExpr("*", f"{eta} AS _eta")
-        .selectExpr("*", "exp(_eta) AS _w")
-        .groupBy("_t")
-        .agg(*map(F.expr, sums))
-    )
-    at_risk = running_sums(
-        by_time,
-        ["_t"],
-        {f"_later{k}": F.col(f"_s{k}") for k in moments},
-        cuts=cuts,
-        descending=True,
-    ).filter("_deaths > 0")
-
-    # Means at risk (_a) and of the deaths (_b), and the deaths' share _r of the risk.
-    means = at_risk.selectExpr(
-        "_deaths", "_dead", "_deta", *[f"_dx{i}" for i in range(p)],
-        "_later0 + _s0 AS _a0",
-        "least(1D, _e0 / (_later0 + _s0)) AS _r",
-        *[f"(_later{k} + _s{k}) / (_later0 + _s0) AS _a{k}" for k in moments if k != "0"],
-        *[f"coalesce(try_divide(_e{k}, _e0), 0D) AS _b{k}" for k in moments if k != "0"],
-    )
-    steps = means.selectExpr("*", *_TIES).selectExpr("*", *_TIE_SUMS)
-    per_step = "_dead / _deaths"
-    row = steps.agg(
-        F.expr(f"sum(_deta - {per_step} * (_deaths * ln(_a0) + _l)) AS ll"),
-        *[F.expr(f"sum(_dx{i} - {per_step} * (_a1_{i} * _g - _b1_{i} * (_g - _deaths))) AS u{i}") for i in range(p)],
-        *[
-            F.expr(
-                f"sum({per_step} * (_a2_{i}_{j} * _g - _b2_{i}_{j} * (_g - _deaths) - _a1_{i} * _a1_{j} * _h"
-                f" + (_a1_{i} * _b1_{j} + _b1_{i} * _a1_{j}) * (_h - _g)"
-                f" - _b1_{i} * _b1_{j} * (_h - 2 * _g + _deaths))) AS i{i}_{j}"
-            )
-            for i, j in upper
-        ],
-    ).first()
-    score = np.array([row[f"u{i}"] for i in range(p)], dtype=float)
+    width = 1 + p + p * (p + 1) // 2
+    ranged = prefix.with_range(patterns, "_t", cuts, "_b")
+    sums = keep(_range_moments(ranged, beta))
+    top = cuts.top if isinstance(cuts, Ranges) else len(cuts)
+    risk = sums.filter(F.col("_k") < width).withColumnRenamed("v", "later")
+    later = prefix.over_levels(risk, ["later"], top, "DESC", "sum({})", "coalesce({x}, 0) + coalesce({y}, 0)")
+    single = (F.col("_b") % 2 == 1) if isinstance(cuts, Ranges) and cuts.levels else F.lit(False)
+    packed = lambda df, v: df.groupBy("_b").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", v))), lambda s: s[v]).alias(f"_{v}"))
+    heads = packed(later.withColumn("later", F.coalesce("later", F.lit(0.0))), "later")
+    heads = heads.join(packed(sums.filter(single), "v"), "_b", "left")
+    told = ranged.filter(~single).unionByName(heads, allowMissingColumns=True)
+
+    def run(rows: pa.Table) -> pa.Table:
+        is_head = np.array(rows.column("_later").is_valid())
+        head, rows = rows.filter(pa.array(is_head)), rows.filter(pa.array(~is_head))
+        state = np.array(head.column("_later")[0].as_py())
+        total = np.zeros(width)
+        own = head.column("_v")[0].as_py()
+        if own is not None:
+            risk, dead, (dw, d) = np.array(own[:width]) + state, np.array(own[width:-2]), own[-2:]
+            if d > 0:
+                total += step_terms(np.array([d]), np.array([dw]), risk[None], dead[None])
+        if rows.num_rows:
+            x, n, d, dw = _columns(rows, p)
+            t = rows.column("_t").to_numpy()
+            order = np.argsort(-t, kind="stable")
+            x, n, d, dw, t = x[order], n[order], d[order], dw[order], t[order]
+            starts = np.flatnonzero(np.r_[True, np.diff(t) != 0])
+            ends = np.r_[starts[1:], len(t)]
+            w, most, at = np.exp(x @ beta), max(1, _HELD // (2 * width)), 0
+            while at < len(starts):
+                # Whole times, as many as fit; a time of many patterns comes alone.
+                to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right")))
+                part = slice(starts[at], ends[to - 1])
+                each, begins = moments(x[part]), starts[at:to] - starts[at]
+                risk = state + np.cumsum(np.add.reduceat((n[part] * w[part])[:, None] * each, begins), axis=0)
+                dead = np.add.reduceat((dw[part] * w[part])[:, None] * each, begins)
+                deaths, weight = (np.add.reduceat(v[part], begins) for v in (d, dw))
+                state, some = risk[-1], deaths > 0
+                if some.any():
+                    total += step_terms(deaths[some], weight[some], risk[some], dead[some])
+                at = to
+        return pa.table({"_k": np.arange(width, dtype=np.int32), "v": total})
+
+    found = told.groupBy("_b").applyInArrow(run, "_k int, v double").groupBy("_k").agg(F.sum("v").alias("v"))
+    terms = np.zeros(width)
+    for row in found.collect():
+        terms[row["_k"]] = row["v"]
+    # What the deaths themselves add: their linear predictors and covariates.
+    lived = [F.sum(F.col("_dw") * F.col(f"_x{i}")).alias(f"x{i}") for i in range(p)]
+    dx = np.array(patterns.agg(*lived).first(), dtype=float)
     information = np.zeros((p, p))
-    for i, j in upper:
-        information[i, j] = information[j, i] = row[f"i{i}_{j}"]
-    return row["ll"], score, information
+    information[np.triu_indices(p)] = terms[1 + p :]
+    information = information + np.triu(information, 1).T
+    return float(terms[0] + dx @ beta), terms[1 : 1 + p] + dx, information
+
+
+def newton_step(information: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The step of least length: directions without information, as of one indicator per category, are left alone."""
+    values, vectors = np.linalg.eigh(information)
+    known = values > values.max(initial=0.0) * 1e-10
+    return vectors[:, known] @ ((vectors[:, known].T @ score) / values[known])
 
 
 class CoxModel(TableModel):
@@ -208,7 +301,7 @@ class CoxRegression(Estimator):
         beta = np.zeros(len(self.features))
         ll, score, information = newton_terms(patterns, beta, cuts)
         for _ in range(self.max_iter):
-            step = np.linalg.solve(information, score)
+            step = newton_step(information, score)
             if abs(float(score @ step)) / 2 < self.tol:
                 break
             for _ in range(20):

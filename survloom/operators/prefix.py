@@ -56,7 +56,7 @@ def _last_range(cuts: Sequence[float] | Ranges) -> int:
     return cuts.top if isinstance(cuts, Ranges) else len(cuts)
 
 
-def _over_levels(heads: DataFrame, names: Sequence[str], top: int, way: str, combine: str, add: str) -> DataFrame:
+def over_levels(heads: DataFrame, names: Sequence[str], top: int, way: str, combine: str, add: str) -> DataFrame:
     """Per (_k, _b): each of ``names`` combined over the ranges strictly before, level by level.
 
     ``combine`` is the SQL aggregate of one level, ``add`` how what lies before a group of
@@ -74,7 +74,7 @@ def _over_levels(heads: DataFrame, names: Sequence[str], top: int, way: str, com
     else:
         # The last value that is there: the largest range number that has one.
         upper = [F.expr(f"max_by(`{n}`, _b) FILTER (WHERE `{n}` IS NOT NULL) AS `{n}`") for n in names]
-    above = _over_levels(
+    above = over_levels(
         grouped.groupBy("_k", F.col("_g").alias("_b")).agg(*upper), names, top >> FAN_BITS, way, combine, add
     ).select("_k", F.col("_b").alias("_g"), *[F.col(n).alias(f"_up_{n}") for n in names])
     inside = grouped.selectExpr("_k", "_b", "_g", *before("_k, _g"))
@@ -114,7 +114,7 @@ def running_sums(
     measures = [f"_m_{n}" for n in names]
     by_range = rows.groupBy("_k", "_b").agg(*[F.expr(f"sum(`{m}`) AS `{m}`") for m in measures])
     top = buckets - 1 if bucket is not None else _last_range(cuts)
-    heads = _over_levels(by_range, measures, top, way, "sum({})", "coalesce({x}, 0) + coalesce({y}, 0)")
+    heads = over_levels(by_range, measures, top, way, "sum({})", "coalesce({x}, 0) + coalesce({y}, 0)")
     heads = heads.selectExpr("_k", "_b", "0 AS _row", *[f"coalesce(`{m}`, 0) AS `{m}`" for m in measures])
     if totals:
         whole = by_range.groupBy("_k").agg(*[F.expr(f"sum(`_m_{n}`) AS `{n}_total`") for n in names])
@@ -161,7 +161,7 @@ def carry_last(
     rows = with_range(rows, order, cuts)
 
     heads = rows.groupBy("_k", "_b").agg(F.max_by("_v", F.when(F.col("_row") == 1, F.col(order))).alias("_v"))
-    heads = _over_levels(heads, ["_v"], _last_range(cuts), "ASC", "last({}, true)", "coalesce({y}, {x})")
+    heads = over_levels(heads, ["_v"], _last_range(cuts), "ASC", "last({}, true)", "coalesce({y}, {x})")
     heads = heads.select("_k", "_b", F.lit(0).alias("_row"), "_v")
     upto = (
         Window.partitionBy("_k", "_b")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from survloom.operators import cox
+from survloom.operators import cox, prefix
 from survloom.operators import crossfit as cf
 from survloom.operators.blend import simplex_least_squares
 from survloom.operators.cox import CoxRegression
+from survloom.operators.ranges import fit_ranges
 from survloom.operators.models import GroupMeanRegressor, RidgeRegressor, feature_importances, mark_nominal, predict, regressor
 from survloom.plans.experiments import EXPERIMENTS, WEIGHTS
 from survloom.settings import fresh_path, keep, staged
@@ -87,6 +90,66 @@ def test_cox_many_ties_and_weights(spark, one_by_one):
         assert ours == pytest.approx(theirs, rel=1e-10, abs=1e-9)
 
 
+def test_cox_heavy_times_and_small_pieces(spark, monkeypatch):
+    """A time that is a range of its own, windows over two ranges, and times in small pieces."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 3))
+    t = np.where(rng.random(500) < 0.4, 7.0, rng.integers(0, 60, 500)).astype(float)
+    e, cases = rng.integers(0, 2, 500), rng.integers(1, 4, 500) / 2
+    beta = np.array([0.4, -0.3, 0.1])
+    rows = pd.DataFrame({"_t": t, **{f"_x{i}": x[:, i] for i in range(3)}, "_n": cases, "_d": e, "_dw": cases * e})
+    df = spark.createDataFrame(rows).repartition(3).persist()
+    monkeypatch.setattr(prefix, "FAN_BITS", 1)
+    cuts = fit_ranges(df, "_t", 20)
+    assert cuts.add(df, "_t", "r").filter("r % 2 = 1").count() >= 100
+    expected = efron(t, e, x, beta, cases)
+    for ours, theirs in zip(cox.newton_terms(df, beta, cuts), expected, strict=True):
+        assert ours == pytest.approx(theirs, rel=1e-10, abs=1e-9)
+
+
+def test_tie_sums_agree_where_the_formulas_meet():
+    """One time of d deaths, added singly and by the expansion, around the size where that begins."""
+    for d in (1, 2, 63, 64, 65, 66, 200, 5000):
+        for r in (1e-9, 0.3, 0.999, 1.0):
+            y = 1 - r * np.arange(d) / d
+            want = np.log(y).sum(), (1 / y).sum(), (1 / y**2).sum()
+            got = cox.tie_sums(np.array([float(d)]), np.array([r]))
+            assert [float(g[0]) for g in got] == pytest.approx(want, rel=1e-11, abs=1e-11)
+
+
+def test_cox_wide_fit_with_an_indicator_per_category(spark):
+    """Fifty covariates, ten of them indicators that add up to one: predictions as without one of them."""
+    rng = np.random.default_rng(9)
+    n, kinds = 10_000, rng.integers(0, 10, 10_000)
+    x = np.concatenate((rng.normal(size=(n, 40)), np.eye(10)[kinds]), axis=1)
+    t = np.round(rng.exponential(np.exp(-x[:, 0] / 2 - kinds / 10)) * 500)
+    names = [f"c{i}" for i in range(50)]
+    rows = pd.DataFrame(x, columns=names).assign(efs_time=t, efs=rng.integers(0, 2, n))
+    df = spark.createDataFrame(rows).repartition(4).persist()
+    start = time.monotonic()
+    model = CoxRegression(names).fit(df)
+    assert time.monotonic() - start < 60
+    beta = np.array([model.coefficients[c] for c in names])
+    x0 = x - x.mean(axis=0)
+    _, score, _ = efron_score(t, rows.efs.to_numpy(), x0, beta)
+    assert np.abs(score).max() < 1.0
+
+
+def efron_score(t, e, x, beta):
+    """Score of the partial likelihood by one pass from the latest time."""
+    w = np.exp(x @ beta)
+    s0, s1, score = 0.0, np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for u in np.unique(t)[::-1]:
+        at = t == u
+        s0, s1 = s0 + w[at].sum(), s1 + w[at] @ x[at]
+        dead = at & (e == 1)
+        d, e0, e1 = dead.sum(), w[dead].sum(), w[dead] @ x[dead]
+        score += x[dead].sum(axis=0)
+        for q in range(d):
+            score -= (s1 - q / d * e1) / (s0 - q / d * e0)
+    return 0.0, score, None
+
+
 def test_cox_weighted_fit(survival, spark):
     """A whole weight counts like repeated rows in the score; weight 0 and null take no part."""
     pdf, df = survival
