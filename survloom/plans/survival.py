@@ -261,16 +261,46 @@ def cox_terms(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([row], names).select(*[rounded(n, 4).alias(n) for n in names])
 
 
-@query("cox_fit")
+_COX_STEPS = 8
+
+
+def _cox_two_sql() -> str:
+    """Newton steps from zero for two standardised covariates, four CTEs a step."""
+    pairs = ("aa", "ab", "bb")
+    steps = ["b0 AS (SELECT 0::DOUBLE AS ba, 0::DOUBLE AS bb)"]
+    names = ["0", "a", "b", *pairs]
+    factor = {"0": "1", "a": "a", "b": "b", "aa": "a * a", "ab": "a * b", "bb": "b * b"}
+    for k in range(_COX_STEPS):
+        own = ", ".join(f"sum(w * {factor[n]}) AS s{n}, sum(e * w * {factor[n]}) AS e{n}" for n in names)
+        later = ", ".join(f"sum(s{n}) OVER (ORDER BY t DESC) AS r{n}, e{n}" for n in names)
+        means = ", ".join(f"(r{n} - q / d * e{n}) / (r0 - q / d * e0) AS m{n}" for n in names[1:])
+        info = ", ".join(f"sum(m{p} - m{p[0]} * m{p[1]}) AS i{p}" for p in pairs)
+        steps += [
+            f"r{k} AS (SELECT t, sum(e) AS d, {own} FROM (SELECT z.*, exp(a * ba + b * bb) AS w FROM z, b{k}) GROUP BY t)",
+            f"c{k} AS (SELECT t, d::DOUBLE AS d, {later} FROM r{k})",
+            f"f{k} AS (SELECT {means} FROM (SELECT *, unnest(range(d::BIGINT))::DOUBLE AS q FROM c{k} WHERE d > 0))",
+            f"""g{k} AS (SELECT (SELECT sum(e * a) FROM z) - sum(ma) AS ua, (SELECT sum(e * b) FROM z) - sum(mb) AS ub, {info} FROM f{k})""",
+            f"""b{k + 1} AS (SELECT ba + (ibb * ua - iab * ub) / (iaa * ibb - iab * iab) AS ba,
+                  bb + (iaa * ub - iab * ua) / (iaa * ibb - iab * iab) AS bb FROM g{k}, b{k})""",
+        ]
+    return f"""SELECT feature, {sql_rounded('coefficient', 13)} AS coefficient FROM (
+      WITH m AS (SELECT avg(price) AS pm, stddev_pop(price) AS ps, avg(balance) AS qm, stddev_pop(balance) AS qs FROM frame),
+      z AS (SELECT efs_time AS t, efs AS e, (price - pm) / ps AS a, (balance - qm) / qs AS b FROM frame, m),
+      {", ".join(steps)}
+      SELECT 'price' AS feature, ba / ps AS coefficient FROM b{_COX_STEPS}, m UNION ALL
+      SELECT 'balance', bb / qs FROM b{_COX_STEPS}, m)"""
+
+
+@query("cox_fit", _cox_two_sql())
 def cox_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Coefficients of a fit on two numeric columns."""
     rows = keep(survival_frame(spark, folder).select("efs_time", "efs", "price", "balance"))
-    model = CoxRegression(["price", "balance"]).fit(rows)
+    model = CoxRegression(["price", "balance"], tol=1e-14).fit(rows)
     pairs = [(name, float(beta)) for name, beta in model.coefficients.items()]
-    return spark.createDataFrame(pairs, "feature string, coefficient double")
+    fitted = spark.createDataFrame(pairs, "feature string, coefficient double")
+    return fitted.select("feature", rounded("coefficient", 13).alias("coefficient"))
 
 
-_COX_STEPS = 8
 
 
 def _cox_fit_sql() -> str:
