@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import contextvars
+import hashlib
+import json
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +24,43 @@ from survloom.operators.ranks import mean_squared_error, roc_auc
 
 Metric = Callable[[DataFrame, Sequence[str]], DataFrame]
 
+#: Fits that run at the same time; each is a series of small jobs with gaps between them.
+WORKERS = 4
+
+
+def concurrently(spark: SparkSession, jobs: Iterable[Callable[[], object]], workers: int = WORKERS) -> list:
+    """Results of independent driver-side jobs, in order, at most ``workers`` at a time.
+
+    Spark deals tasks of the running jobs to free cores. An error of any job is raised.
+    """
+    jobs = list(jobs)
+    if workers < 2 or len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(min(workers, len(jobs))) as pool:
+        # Each job has the caller's local properties and scope.
+        running = [pool.submit(contextvars.copy_context().run, inheritable_thread_target(spark)(job)) for job in jobs]
+        return [r.result() for r in running]
+
+
+def described(stage: object) -> object:
+    """Class and parameters of an estimator, and of the stages in it, without generated names."""
+    if isinstance(stage, Pipeline):
+        return [described(s) for s in stage.getStages()]
+    params = {p.name: repr(v) for p, v in stage.extractParamMap().items()} if hasattr(stage, "extractParamMap") else {}
+    own = {k: described(v) if isinstance(v, Estimator) else repr(v) for k, v in vars(stage).items() if not k.startswith("_") and k != "uid"}
+    plain = {k: str(v).replace(getattr(stage, "uid", "\0"), "") for k, v in {**own, **params}.items() if " at 0x" not in str(v)}
+    return [type(stage).__name__, dict(sorted(plain.items()))]
+
+
+def fingerprint(df: DataFrame, estimator: Estimator, usable: Column | None = None) -> str:
+    """A digest of the rows, in any order, and of how they are fitted: one pass over ``df``."""
+    rows = df if usable is None else df.withColumn("_usable", usable)
+    plain = [vector_to_array(c) if t.typeName() == "vectorudt" else F.col(f"`{c}`") for c, t in ((f.name, f.dataType) for f in rows.schema)]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *plain).cast("decimal(38,0)")) for seed in (1, 2)]
+    found = rows.agg(F.count(F.lit(1)), *sums).first()
+    text = json.dumps([df.schema.simpleString(), [str(v) for v in found], described(estimator)], default=str)
+    return hashlib.sha256(text.encode()).hexdigest()
+
 
 @dataclass(frozen=True)
 class FoldStore:
@@ -34,13 +77,20 @@ class FoldStore:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         return hadoop.getFileSystem(conf).exists(hadoop)
 
-    def has_model(self, name: str, fold: int) -> bool:
-        """A model counts once its last stage is written."""
-        return self._exists(self._at(name, fold, "done"))
+    def has_model(self, name: str, fold: int, made_from: str | None = None) -> bool:
+        """Whether the fold is finished, from the inputs of this fingerprint if one is given.
+
+        A model counts once its last stage is written: the manifest comes last.
+        """
+        done = self._at(name, fold, "done")
+        if not self._exists(done):
+            return False
+        return made_from is None or self.spark.read.parquet(done).first()["made_from"] == made_from
 
-    def save_model(self, name: str, fold: int, model: PipelineModel) -> None:
+    def save_model(self, name: str, fold: int, model: PipelineModel, made_from: str | None = None) -> None:
         model.write().overwrite().save(self._at(name, fold, "models"))
-        self.spark.range(1).write.mode("overwrite").parquet(self._at(name, fold, "done"))
+        manifest = self.spark.createDataFrame([(made_from,)], "made_from string")
+        manifest.write.mode("overwrite").parquet(self._at(name, fold, "done"))
 
     def load_model(self, name: str, fold: int) -> PipelineModel:
         return PipelineModel.load(self._at(name, fold, "models"))
@@ -91,27 +141,29 @@ def cross_fit(
     store: FoldStore | None = None,
     overwrite: bool = False,
     usable: Column | None = None,
+    workers: int = WORKERS,
 ) -> CrossFit:
     """Per fold: fit on the other folds, predict the fold's own rows.
 
-    Rows that are not ``usable`` are left out of fitting only. ``df`` is read twice per fold: pass a staged or persisted frame. With a
-    ``store``, a finished fold's model is loaded instead of fitted, unless
-    ``overwrite``.
+    Rows that are not ``usable`` are left out of fitting only. ``df`` is read twice per
+    fold: pass a staged or persisted frame. ``workers`` folds are fitted at the same time.
+    With a ``store``, a finished fold's model is loaded instead of fitted if it was fitted
+    on the same rows with the same parameters, unless ``overwrite``.
     """
+    spark = df.sparkSession
     if folds is None:
         folds = sorted(r[0] for r in df.select(fold_col).dropna().distinct().collect())
-    models: dict[tuple[str, int], Model] = {}
-    parts = []
     fitting = df if usable is None else df.filter(usable)
-    for fold in folds:
-        if store and store.has_model(name, fold) and not overwrite:
+    made_from = fingerprint(df, estimator, usable) if store else None
+
+    def one(fold: int) -> tuple[Model, DataFrame]:
+        if store and not overwrite and store.has_model(name, fold, made_from):
             model = store.load_model(name, fold)
         else:
             model = estimator.fit(fitting.filter(F.col(fold_col) != fold))
             if store:
                 saved = model if isinstance(model, PipelineModel) else PipelineModel([model])
-                store.save_model(name, fold, saved)
-        models[name, fold] = model
+                store.save_model(name, fold, saved, made_from)
         own = predict(model, df.filter(F.col(fold_col) == fold)).select(
             *[m for m in meta if m != fold_col],
             "pred",
@@ -120,8 +172,11 @@ def cross_fit(
         )
         if store:
             store.save_predictions(name, fold, own)
-        parts.append(own)
-    return CrossFit(reduce(DataFrame.unionByName, parts), models, list(features))
+        return model, own
+
+    fitted = concurrently(spark, [partial(one, fold) for fold in folds], workers)
+    models = {(name, fold): model for fold, (model, _) in zip(folds, fitted, strict=True)}
+    return CrossFit(reduce(DataFrame.unionByName, [own for _, own in fitted]), models, list(features))
 
 
 def with_seed_folds(
@@ -232,6 +287,60 @@ def best_by_metric(
     return best, models[best], scores
 
 
+def staged_predictions(model: Model, df: DataFrame, out: str = "preds") -> DataFrame:
+    """``df`` with the predictions after 1, 2, ... trees of one fitted boosted ensemble, as an array.
+
+    ``model`` is a boosted classifier (probabilities of class 1) or regressor, or a pipeline that ends in one.
+    """
+    stages = list(getattr(model, "stages", [model]))
+    scored = PipelineModel(stages[:-1]).transform(df) if stages[:-1] else df
+    last = stages[-1]
+    names = [f"_tree_{i}" for i in range(len(last.trees))]
+    for tree, column in zip(last.trees, names, strict=True):
+        scored = tree.copy().setPredictionCol(column).transform(scored)
+    margin, steps = F.lit(0.0), []
+    for column, weight in zip(names, last.treeWeights, strict=True):
+        margin = margin + F.col(column) * F.lit(float(weight))
+        steps.append(1 / (1 + F.exp(-2 * margin)) if hasattr(last, "numClasses") else margin)
+    return scored.withColumn(out, F.array(*steps)).select(*df.columns, out)
+
+
+def prefix_scores(df: DataFrame, preds: str, metric: Metric, *, keys: Sequence[str] = (), pred: str = "pred") -> DataFrame:
+    """(keys, rounds, score): ``metric`` of every prefix of an ensemble, all in one job."""
+    kept = [c for c in df.columns if c not in (pred, preds, "rounds")]
+    long = df.select(*kept, F.posexplode(preds).alias("_at", pred)).withColumn("rounds", F.col("_at") + 1)
+    return metric(long.drop("_at"), [*keys, "rounds"])
+
+
+def stopping_round(scores: DataFrame, patience: int) -> int:
+    """The round with the best score before ``patience`` rounds in a row brought none better."""
+    best, at = None, 0
+    for row in scores.orderBy("rounds").select("rounds", "score").collect():
+        if row["score"] is not None and (best is None or row["score"] > best):
+            best, at = row["score"], row["rounds"]
+        elif row["rounds"] - at >= patience:
+            break
+    return at
+
+
+def stop_early(
+    estimator: Estimator, df: DataFrame, *, validation: str, metric: Metric, patience: int = 10
+) -> tuple[Model, int, DataFrame]:
+    """Fit one boosted ensemble on training rows; score each of its prefixes on validation rows.
+
+    Returns the model, the number of trees to use (see :func:`stopping_round`) and the scores.
+    """
+    model = estimator.fit(df.filter(~F.col(validation)))
+    held = staged_predictions(model, df.filter(F.col(validation)))
+    scores = prefix_scores(held, "preds", metric)
+    return model, stopping_round(scores, patience), scores
+
+
+def predict_rounds(model: Model, df: DataFrame, rounds: int, out: str = "pred") -> DataFrame:
+    """Predictions of the first ``rounds`` trees."""
+    return staged_predictions(model, df, "_preds").withColumn(out, F.element_at("_preds", rounds)).drop("_preds")
+
+
 def importance_top_k(importances: DataFrame, k: int) -> DataFrame:
     """The k features with the largest mean importance."""
     means = importances.groupBy("feature").agg(F.avg("importance").alias("importance"))

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.ml import Model
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 class _TableWriter(MLWriter):
@@ -16,7 +16,7 @@ class _TableWriter(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         model = self._model
-        spark = SparkSession.getActiveSession()
+        spark = self.sparkSession
         DefaultParamsWriter.saveMetadata(
             model, path, spark, extraMetadata={"options": model.options}
         )
@@ -29,7 +29,7 @@ class _TableReader(MLReader):
         self._cls = cls
 
     def load(self, path: str) -> TableModel:
-        spark = SparkSession.getActiveSession()
+        spark = self.sparkSession
         metadata = DefaultParamsReader.loadMetadata(path, spark)
         model = self._cls(metadata["options"], spark.read.parquet(f"{path}/table"))
         model._resetUid(metadata["uid"])

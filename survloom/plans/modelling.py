@@ -219,16 +219,38 @@ def weibull_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("early_stopping")
 def early_stopping(spark: SparkSession, folder: str) -> DataFrame:
-    """Rounds of boosting chosen by the stratified concordance on validation rows."""
+    """Stratified concordance on validation rows after each tree of one boosted ensemble, and where it stops."""
     rows = _train(spark, folder).withColumn("held", F.col("fold") == 0)
-    candidates = {
-        f"rounds_{n:02d}": regressor("logloss", _FEATURES, "efs", maxIter=n, maxDepth=3, seed=1)
-        for n in (2, 5, 10)
-    }
-    _, _, scores = cf.best_by_metric(
-        candidates, rows, validation="held", metric=cf.concordance_metric()
+    trees = regressor("logloss", _FEATURES, "efs", maxIter=20, maxDepth=3, seed=1)
+    _, rounds, scores = cf.stop_early(
+        trees, rows, validation="held", metric=cf.concordance_metric(), patience=5
     )
-    return scores
+    return scores.withColumn("chosen", F.col("rounds") == rounds)
+
+
+_PREFIX_STEPS = ("round(price / 1000, 0)", "-round(balance / 100, 0)", "ID % 50")
+
+
+def _prefix_sql() -> str:
+    sums = [" + ".join(f"({s})" for s in _PREFIX_STEPS[: k + 1]) for k in range(len(_PREFIX_STEPS))]
+    rows = " UNION ALL ".join(f"SELECT {k + 1} AS rounds, stratum, efs_time AS t, efs AS e, {s} AS r FROM frame WHERE ID % 4 = 0" for k, s in enumerate(sums))
+    return f"""SELECT rounds, {sql_rounded('avg(c) - stddev_pop(c)')} AS score FROM (
+      SELECT a.rounds, a.stratum, sum(CASE WHEN a.r > b.r THEN 1.0 WHEN a.r = b.r THEN 0.5 ELSE 0 END) / count(*) AS c
+      FROM ({rows}) a JOIN ({rows}) b ON a.rounds = b.rounds AND a.stratum = b.stratum AND a.e = 1
+        AND (a.t < b.t OR (a.t = b.t AND b.e = 0)) GROUP BY ALL) GROUP BY rounds"""
+
+
+@query("early_stopping_scores", _prefix_sql())
+def early_stopping_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all prefixes of an ensemble on the validation rows, for steps that SQL can follow."""
+    frame = survival_frame(spark, folder).filter("ID % 4 = 0")
+    total, preds = F.lit(0.0), []
+    for step in _PREFIX_STEPS:
+        total = total + F.expr(step)
+        preds.append(total)
+    rows = frame.select("stratum", "efs", "efs_time", F.array(*preds).alias("preds"))
+    scores = cf.prefix_scores(rows, "preds", cf.concordance_metric())
+    return scores.select("rounds", rounded("score").alias("score"))
 
 
 @query("model_importances")

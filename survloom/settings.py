@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +17,39 @@ GROUP_ROWS = 1 << 16
 _kept: list[DataFrame] = []
 
 
+class Scope:
+    """The staged folders and kept frames of one job; see :func:`scope`."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+        self.folders: list[str] = []
+
+
+_scope: contextvars.ContextVar[Scope | None] = contextvars.ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Own what the operators called inside keep and stage, and drop it at the end.
+
+    Write a job's results before the scope ends: frames that read its folders cannot be
+    read after it. Scopes may be nested; each drops its own.
+    """
+    mine = Scope()
+    token = _scope.set(mine)
+    try:
+        yield mine
+    finally:
+        _scope.reset(token)
+        for frame in mine.frames:
+            frame.unpersist()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in mine.folders:
+            path = hadoop.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder visible to every executor, named by ``spark.checkpoint.dir``.
 
@@ -43,6 +79,9 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    owner = _scope.get()
+    if owner is not None:
+        owner.folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,12 +93,13 @@ def keep(df: DataFrame) -> DataFrame:
     that come and go.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _kept.append(df)
+    owner = _scope.get()
+    (_kept if owner is None else owner.frames).append(df)
     return df
 
 
 def release() -> None:
-    """Drop everything :func:`keep` holds. Results stay valid, they recompute."""
+    """Drop everything :func:`keep` holds outside scopes. Results stay valid, they recompute."""
     while _kept:
         _kept.pop().unpersist()
 
