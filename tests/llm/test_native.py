@@ -8,6 +8,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from survloom.llm import privacy, quality, topk, warc
@@ -155,23 +156,37 @@ def test_quality_measures(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
-@pytest.mark.parametrize("first", [2, 1024])
-def test_top_k(spark, monkeypatch, first):
-    monkeypatch.setattr(topk, "FIRST", first)
+def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "LEAST_SHARD", 20)
     monkeypatch.setattr(topk, "QUERY_ROWS", 3)
-    import random
-
     draw = random.Random(4)
     rows = [(i, [draw.uniform(-1, 1) for _ in range(6)]) for i in range(150)] + [(200 + i, [0.5] * 6) for i in range(40)]
+    # Repeated ids, also of queries, are rows of their own.
+    rows += [(7, [0.9] * 6), (7, [0.8] * 6), (40, [0.7, 0.1] * 3), (40, rows[40][1]), (220, [0.5] * 6)]
     rows += [(300, [0.1, 0.2]), (320, [0.3, 0.1]), (340, [1.0, None] * 3), (360, [float("nan")] * 6), (380, None), (400, [])]
-    df = spark.createDataFrame([(*r, 1) for r in rows] + [(None, [0.1] * 6, 1)], "vec_id long, embedding array<float>, v int")
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows] + [(None, [0.1] * 6, 1, 2)], "vec_id long, embedding array<float>, v int, row int")
     names, want = duck(topk.OP7_SQL, "embeddings", "vec_id BIGINT, embedding FLOAT[]", rows)
     found = topk.search(topk.quantised(df, "vec_id", "embedding"), topk.F.col("id") % 20 == 0).select(*names)
-    assert sorted((tuple(r) for r in found.collect()), key=str) == want
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    assert got == want
+    assert sum(r[names.index("query_id")] == 40 for r in got) == 3 * 20
     assert topk.search(topk.quantised(df.limit(0), "vec_id", "embedding"), topk.F.col("id") % 20 == 0).count() == 0
 
 
+def test_maxscore_probes_few_postings_and_loses_nothing():
+    """Where a few terms carry the scores, the others are probed for few vectors only."""
+    rng = np.random.default_rng(2)
+    vectors = np.floor(rng.normal(size=(5000, 32)) * np.r_[np.full(6, 60), np.full(26, 2)]).astype(np.int64)
+    rows, queries = np.arange(5000), vectors[::500]
+    counts: dict = {}
+    found = topk.maxscore(rows, rows * 10, vectors, rows[::500], queries, 20, counts)
+    for i, query in zip(rows[::500], queries, strict=True):
+        scores = vectors @ query
+        want = [r for r in np.lexsort((rows, -scores)) if r != i][:20]
+        assert [(v, s) for q, v, s in found if q == i] == [(r * 10, scores[r]) for r in want]
+    assert counts["traversed"] < 0.1 * counts["all"] and counts["traversed"] + counts["probed"] < 0.4 * counts["all"]
+
+
 PAGE = "<html>" + "x\r\n\r\ny " * 40 + "é</html>"
 
 
