@@ -143,6 +143,46 @@ def at_or_before(
     return out.fillna(default, subset=list(values)) if default is not None else out
 
 
+def curve_arrays(
+    curve: DataFrame, time: str, values: Sequence[str], timeline: Sequence[float], *, keys: Sequence[str] = (), defaults: Sequence[float] = ()
+) -> DataFrame:
+    """(keys, one array per value): the step curve of each key over the times of ``timeline``, in its order.
+
+    Before a curve's first step the value is the default, or null.
+    """
+    at = F.posexplode(F.array(*[F.lit(float(t)) for t in timeline])).alias("_at", time)
+    asked = curve.select(*keys).distinct() if keys else curve.sparkSession.range(1).select()
+    found = at_or_before(asked.select(*keys, at), curve, time, values, keys=keys)
+    ordered = F.sort_array(F.collect_list(F.struct("_at", *values)))
+    filled = dict(zip(values, [F.lit(float(d)) for d in defaults]))
+
+    def of(value: str) -> Column:
+        missing = filled.get(value, F.lit(None).cast("double"))
+        return F.transform("_all", lambda step: F.coalesce(step[value], missing)).alias(value)
+
+    arrays = [of(v) for v in values]
+    return found.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, *arrays)
+
+
+def survival_arrays(
+    df: DataFrame, baseline: DataFrame, time: str, log_risk: str, timeline: Sequence[float],
+    *, keys: Sequence[str] = (), survival: str = "survival", hazard: str = "hazard",
+) -> DataFrame:
+    """Add each row's survival and cumulative hazard over ``timeline``, as two arrays.
+
+    ``baseline`` has (keys, time, hazard) steps. Its values over the timeline are looked up
+    once per key; a row's arrays are then expressions. They are null where the key has no
+    baseline or the row no log risk.
+    """
+    arrays = curve_arrays(baseline, time, ["hazard"], timeline, keys=keys, defaults=[0.0])
+    arrays = arrays.select(key_column(keys).alias("_ak"), F.col("hazard").alias("_h0"))
+    joined = df.withColumn("_k", key_column(keys)).join(arrays, F.col("_k") == F.col("_ak"), "left")
+    grown = F.when(F.col(log_risk).isNotNull(), F.transform("_h0", lambda h: h * F.exp(F.col(log_risk))))
+    joined = joined.withColumn("_grown", grown).withColumns({survival: F.transform("_grown", lambda h: F.exp(-h)), hazard: F.col("_grown")})
+    kept = [c for c in df.columns if c not in (survival, hazard)]
+    return joined.select(*kept, survival, hazard)
+
+
 def survival_targets(
     df: DataFrame, time: str, event: str, *, fit_mask: Column, km: str = "t_kmf", bfh: str = "t_bfhf"
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from survloom.functions.parametric import mean_survival, softmax, survival_at
 from survloom.operators.concordance import concordance_counts, stratified_score
 from survloom.operators.cox import CoxRegression, breslow_baseline, newton_terms
 from survloom.operators.crossfit import concordance_metric
-from survloom.operators.curves import at_or_before, survival_curve
+from survloom.operators.curves import at_or_before, survival_arrays, survival_curve
 from survloom.operators.encoders import OneHotEncoder
 from survloom.operators.folds import assign_folds
 from survloom.operators.ranges import fit_ranges
@@ -261,6 +261,31 @@ def cox_terms(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([row], names).select(*[rounded(n, 4).alias(n) for n in names])
 
 
+_TIMELINE = (0.0, 5.0, 30.5, 100.0, 400.0, 5000.0)
+
+
+@query(
+    "survival_curve_array",
+    f"""SELECT * FROM (
+      WITH r AS (SELECT ID, stratum, efs, efs_time AS t, pred / 500 AS lp FROM frame),
+      times AS (SELECT stratum, t, sum(efs) AS d, sum(exp(lp)) AS w FROM r GROUP BY ALL),
+      risk AS (SELECT *, sum(w) OVER (PARTITION BY stratum ORDER BY t DESC) AS s0 FROM times),
+      base AS (SELECT stratum, t, sum(d / s0) OVER (PARTITION BY stratum ORDER BY t) AS h FROM risk),
+      grid AS (SELECT unnest({list(_TIMELINE)}) AS g),
+      looked AS (SELECT stratum, g, coalesce(max(h) FILTER (WHERE t <= g), 0) AS h FROM base, grid GROUP BY ALL)
+      SELECT ID, CAST(g AS DOUBLE) AS at_time, {sql_rounded('exp(-h * exp(lp))')} AS survival, {sql_rounded('h * exp(lp)')} AS hazard
+      FROM r JOIN looked ON looked.stratum = r.stratum)""",
+)
+def survival_curve_array(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row's survival and hazard over a timeline, from its stratum's baseline."""
+    rows = keep(survival_frame(spark, folder).select("ID", "stratum", "efs", "efs_time", (F.col("pred") / 500).alias("lp")))
+    baseline = breslow_baseline(rows, "efs_time", "efs", "lp", keys=["stratum"])
+    curves = survival_arrays(rows, baseline, "efs_time", "lp", _TIMELINE, keys=["stratum"])
+    times = F.array(*[F.lit(t) for t in _TIMELINE])
+    points = F.explode(F.arrays_zip(times.alias("at_time"), "survival", "hazard")).alias("p")
+    return curves.select("ID", points).select("ID", "p.at_time", rounded("p.survival").alias("survival"), rounded("p.hazard").alias("hazard"))
+
+
 _COX_STEPS = 8
 
 

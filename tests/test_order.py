@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from survloom.operators.curves import at_or_before, survival_curve, tied_hazard
+from survloom.operators.curves import at_or_before, survival_arrays, survival_curve, tied_hazard
 from survloom.operators.prefix import carry_last, running_sums
 from survloom.operators.ranks import normalized_rank, quantiles
 
@@ -123,3 +123,16 @@ def test_plain_hazard_option(spark):
     df = spark.createDataFrame([(1.0, 1), (1.0, 1), (2.0, 0)], "t double, e int")
     rows = survival_curve(df, "t", "e", tied_deaths=False).orderBy("t").collect()
     assert rows[0].na == pytest.approx(2 / 3)
+
+
+def test_arrays_over_a_timeline(spark):
+    """Defaults before the first step, the last step after it, nulls for unknown keys and risks."""
+    baseline = spark.createDataFrame([("a", 1.0, 0.1), ("a", 3.0, 0.5), ("b", 2.0, 1.0)], "k string, t double, hazard double")
+    rows = spark.createDataFrame([(1, "a", 0.0, "x"), (2, "b", 1.0, "y"), (3, "c", 0.0, "z"), (4, "a", None, "w")], "id long, k string, lp double, survival string")
+    out = survival_arrays(rows, baseline, "t", "lp", [0.0, 3.0, 1.5, 3.0], keys=["k"])
+    got = {r.id: (r.survival, r.hazard) for r in out.collect()}
+    assert got[1][1] == pytest.approx([0.0, 0.5, 0.1, 0.5]) and got[1][0] == pytest.approx(np.exp([-0.0, -0.5, -0.1, -0.5]))
+    assert got[2][1] == pytest.approx([0.0, np.e, 0.0, np.e])
+    assert got[3] == (None, None) and got[4] == (None, None)
+    whole = survival_arrays(rows, baseline.filter("k = 'a'").drop("k"), "t", "lp", [2.0])
+    assert {r.id: r.hazard for r in whole.collect()}[2] == pytest.approx([0.1 * np.e])
