@@ -147,7 +147,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
     ``rows`` has text and ``copies``, the number of rows with that text (null: one). Copies
     count as their parts of one, in 18 decimals, which add up to whole numbers when rounded.
     """
-    part = F.lit(1).cast("decimal(20,18)") / F.col("copies").cast("decimal(18,0)")
+    part = (F.lit(1).cast("decimal(20,18)") / F.col("copies").cast("decimal(18,0)")).cast("decimal(28,18)")
     spoken = rows.select("copies", F.explode(_words(F.col("text"))).alias("term"))
     total = F.count(F.when(F.col("copies").isNull(), 1)) + F.round(F.coalesce(F.sum(part), F.lit(0))).cast("long")
     return spoken.groupBy("term").agg(total.alias("n_term"))

@@ -121,6 +121,14 @@ def test_terms_that_disclose_equal_plain_counts(spark):
     assert any("generalised" in t or "removed" in t for _, t in want)
 
 
+def test_copies_count_once(spark):
+    """Thirds and sevenths of a text add up to whole texts, however many there are."""
+    rows = [(f"common word{i}", n) for i in range(3000) for n in (None, 3, 7)[i % 3 : i % 3 + 1]]
+    long = spark.createDataFrame([r for r in rows for _ in range(r[1] or 1)], "text string, copies long")
+    counts = {r.term: r.n_term for r in privacy.term_counts(long).collect()}
+    assert counts["common"] == 3000 and counts["word1"] == counts["word2"] == counts["word3"] == 1
+
+
 def test_terms_are_replaced_wherever_they_stand(spark):
     rows = disclosing_rows()
     df = spark.createDataFrame([(*r, 3, "x") for r in rows], "doc_id long, text string, spans int, key string")
