@@ -35,6 +35,8 @@ from survloom.llm.common import free, table, text_of
 from survloom.settings import staged
 
 GENERALISE, REMOVE = 0.6, 0.9
+#: Rows of a narrow table (some tens of bytes each) that may go to every task.
+FEW_ROWS = 500_000
 #: Normal quantile of the interval's confidence.
 QUANTILE = 1.645
 
@@ -134,6 +136,11 @@ def _blanked(text: Column, spans: Column) -> Column:
     return rewritten(text, F.transform(spans, lambda s: s.withField("kind", F.lit("blank"))))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Staged narrow rows, sent to every task if they are few; otherwise Spark chooses the join."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+
+
 def lower_bound(k: Column, n: Column) -> Column:
     """Lower end of the one-sided Wilson interval of k successes in n trials; 0 without trials."""
     z = QUANTILE
@@ -170,7 +177,8 @@ def disclosing(rows: DataFrame, texts: int, mentions: DataFrame, holders: DataFr
 
 def _places(texts: DataFrame, told: DataFrame) -> DataFrame:
     """Rows (key, start, end, share): where the terms of ``told`` (key, term, share) stand in their texts."""
-    held = texts.select("key", "text").join(told.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    keys = _small(staged(told.select("key").distinct(), "keys"))
+    held = texts.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"])
     words, gaps = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.split("text", _TERM, -1)
     cut = held.select("key", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("word"))).alias("i", "w"))
     upto = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -201,7 +209,7 @@ def detected(docs: DataFrame) -> DataFrame:
     named = found.select("key", "terms", F.explode("entities").alias("entity")).join(holders.select("entity"), "entity")
     mentions = named.select("key", "entity", F.explode("terms").alias("term"))
     shares = staged(disclosing(docs.join(copied, "key", "left"), docs.count() - more, mentions, holders), "shares")
-    told = staged(mentions.join(shares, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share")), "told")
+    told = staged(mentions.join(_small(shares), ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share")), "told")
     kind = F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised")
     rank = F.when(F.col("share") >= REMOVE, len(PATTERNS) + 1).otherwise(len(PATTERNS))
     span = F.struct("start", rank.alias("rank"), "end", kind.alias("kind"), F.lit(None).cast("string").alias("value"))
