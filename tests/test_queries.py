@@ -61,7 +61,6 @@ def test_every_oracle_has_its_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.skipif(not os.environ.get("SURVLOOM_ALL_QUERIES"), reason="whole jobs are slow")
 @pytest.mark.parametrize("name", ["event_probability", "base_experiment", "stack_experiment"])
 def test_whole_jobs_cover_all_rows(spark, name):
     rows = contract.queries()[name](spark, FOLDER)
