@@ -10,12 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import Estimator
+from pyspark.ml.param import TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from survloom.operators import prefix
 from survloom.operators.curves import at_or_before
-from survloom.operators.persistence import TableModel
+from survloom.operators.persistence import Configured, TableModel, setting
 from survloom.operators.prefix import running_sums
 from survloom.operators.ranges import Ranges, fit_ranges
 from survloom.settings import keep, staged
@@ -241,16 +242,24 @@ class CoxModel(TableModel):
         return looked_up.withColumn(out, F.exp(-hazard * F.exp(self._predictor()))).drop("_h0")
 
 
-class CoxRegression(Estimator):
+class CoxRegression(Estimator, Configured):
     """Proportional hazards on numeric columns; ``transform`` adds the log risk.
 
     Ties by Efron, baseline by Breslow, covariates centred on their means. ``weightCol``
     holds case weights; rows whose weight is null or not above 0 take no part.
     """
 
+    features = setting("features", "covariates", TypeConverters.toListString)
+    time = setting("time", "time of the event or of censoring", TypeConverters.toString)
+    event = setting("event", "1 where the event took place", TypeConverters.toString)
+    max_iter = setting("max_iter", "most Newton steps", TypeConverters.toInt)
+    tol = setting("tol", "likelihood gain that ends the steps", TypeConverters.toFloat)
+    predictionCol = setting("predictionCol", "output", TypeConverters.toString)
+    weightCol = setting("weightCol", "case weights", TypeConverters.toString)
+
     def __init__(
         self,
-        features: Sequence[str],
+        features: Sequence[str] = (),
         time: str = "efs_time",
         event: str = "efs",
         *,
@@ -260,24 +269,26 @@ class CoxRegression(Estimator):
         weightCol: str | None = None,
     ):
         super().__init__()
-        self.weight = weightCol
-        self.features, self.time, self.event = list(features), time, event
-        self.max_iter, self.tol, self.prediction_col = max_iter, tol, predictionCol
+        self._configure(
+            features=list(features), time=time, event=event, max_iter=max_iter, tol=tol,
+            predictionCol=predictionCol, weightCol=weightCol,
+        )
 
     def _fit(self, dataset: DataFrame) -> CoxModel:
-        weight = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+        features, time, event, weight_col = (self.value(n) for n in ("features", "time", "event", "weightCol"))
+        weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
         dataset = dataset.filter(weight > 0)
         known = dataset.select(
             weight.alias("_cw"),
-            F.col(self.time).cast("double").alias("_t"),
-            (F.col(self.event) == 1).cast("long").alias("_d"),
-            *[F.col(c).cast("double").alias(c) for c in self.features],
+            F.col(time).cast("double").alias("_t"),
+            (F.col(event) == 1).cast("long").alias("_d"),
+            *[F.col(c).cast("double").alias(c) for c in features],
         ).dropna()
         stats = known.agg(
-            *[F.avg(c).alias(f"m_{c}") for c in self.features],
-            *[F.stddev_pop(c).alias(f"s_{c}") for c in self.features],
+            *[F.avg(c).alias(f"m_{c}") for c in features],
+            *[F.stddev_pop(c).alias(f"s_{c}") for c in features],
         ).first()
-        constant = [c for c in self.features if not stats[f"s_{c}"]]
+        constant = [c for c in features if not stats[f"s_{c}"]]
         if constant:
             raise ValueError(f"constant covariates: {constant}")
         # Equal rows collapse: for one-hot covariates to one row per time and category.
@@ -286,7 +297,7 @@ class CoxRegression(Estimator):
                 "_t",
                 *[
                     ((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"])).alias(f"_x{i}")
-                    for i, c in enumerate(self.features)
+                    for i, c in enumerate(features)
                 ],
             ).agg(
                 F.sum("_cw").alias("_n"),
@@ -298,11 +309,11 @@ class CoxRegression(Estimator):
         if not patterns.agg(F.sum("_d")).first()[0]:
             raise ValueError("no event to fit on")
 
-        beta = np.zeros(len(self.features))
+        beta = np.zeros(len(features))
         ll, score, information = newton_terms(patterns, beta, cuts)
-        for _ in range(self.max_iter):
+        for _ in range(self.value("max_iter")):
             step = newton_step(information, score)
-            if abs(float(score @ step)) / 2 < self.tol:
+            if abs(float(score @ step)) / 2 < self.value("tol"):
                 break
             for _ in range(20):
                 trial = newton_terms(patterns, beta + step, cuts)
@@ -312,21 +323,21 @@ class CoxRegression(Estimator):
             beta = beta + step
             ll, score, information = trial
         else:
-            raise RuntimeError(f"no convergence in {self.max_iter} steps")
+            raise RuntimeError(f"no convergence in {self.value('max_iter')} steps")
         patterns.unpersist()
 
-        coefficients = {c: float(beta[i] / stats[f"s_{c}"]) for i, c in enumerate(self.features)}
-        centers = {c: float(stats[f"m_{c}"]) for c in self.features}
+        coefficients = {c: float(beta[i] / stats[f"s_{c}"]) for i, c in enumerate(features)}
+        centers = {c: float(stats[f"m_{c}"]) for c in features}
         options = {
             "coefficients": coefficients,
             "centers": centers,
-            "time": self.time,
+            "time": time,
             "log_likelihood": float(ll),
-            "predictionCol": self.prediction_col,
+            "predictionCol": self.value("predictionCol"),
         }
         scored = dataset.withColumn("_lp", linear_predictor(coefficients, centers))
-        baseline = staged(breslow_baseline(scored, self.time, self.event, "_lp", weight=self.weight))
-        return CoxModel(options, baseline.select(self.time, "hazard"))
+        baseline = staged(breslow_baseline(scored, time, event, "_lp", weight=weight_col))
+        return CoxModel(options, baseline.select(time, "hazard"))
 
 
 def breslow_baseline(

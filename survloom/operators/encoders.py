@@ -11,12 +11,14 @@ from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
 from pyspark.ml import Estimator, Transformer
+from pyspark.ml.param import TypeConverters
+from pyspark.ml.util import MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from survloom.functions.expr import crossed_text, joined_text, product_of, sum_of
 from survloom.operators.folds import assign_folds
-from survloom.operators.persistence import TableModel
+from survloom.operators.persistence import Configured, TableModel, setting
 from survloom.operators.prefix import running_sums, with_range
 from survloom.operators.ranks import quantiles
 from survloom.settings import staged
@@ -24,20 +26,20 @@ from survloom.settings import staged
 UNKNOWN = -1
 MISSING = -2
 
+_TEXT, _TEXTS = TypeConverters.toString, TypeConverters.toListString
 
-class RowEncoder(Transformer):
+
+class RowEncoder(Transformer, Configured):
     """An encoder that needs no fitting: a list of new columns, added in one select."""
 
-    def __init__(
-        self,
-        build: Callable[[DataFrame], Sequence[Column]],
-        drop: Callable[[DataFrame], Sequence[str]] | None = None,
-    ):
-        super().__init__()
-        self._build, self._drop = build, drop
+    def _build(self, df: DataFrame) -> Sequence[Column]:
+        raise NotImplementedError
+
+    def _dropped(self, df: DataFrame) -> Sequence[str]:
+        return ()
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        dropped = set(self._drop(dataset)) if self._drop else set()
+        dropped = set(self._dropped(dataset))
         kept = [F.col(f"`{c}`") for c in dataset.columns if c not in dropped]
         return dataset.select(*kept, *self._build(dataset))
 
@@ -45,20 +47,34 @@ class RowEncoder(Transformer):
 # --- without a dictionary ----------------------------------------------------
 
 
-def raw(columns: Sequence[str], prefix: str = "f_") -> RowEncoder:
+class RawColumns(RowEncoder):
     """Copies of columns under a prefix."""
-    return RowEncoder(lambda df: [F.col(c).alias(prefix + c) for c in columns])
+
+    columns = setting("columns", "columns to copy", _TEXTS)
+    prefix = setting("prefix", "prefix of the copies", _TEXT)
+
+    def __init__(self, columns: Sequence[str] = (), prefix: str = "f_"):
+        super().__init__()
+        self._configure(columns=list(columns), prefix=prefix)
+
+    def _build(self, df: DataFrame) -> list[Column]:
+        return [F.col(c).alias(self.value("prefix") + c) for c in self.value("columns")]
 
 
-def null_flags(
-    columns: Sequence[str] = (), prefix: str = "f_", suffix: str = "_is_null"
-) -> RowEncoder:
+class NullFlags(RowEncoder):
     """1 where the column is null; no columns named means all of them."""
-    return RowEncoder(
-        lambda df: [
-            F.col(c).isNull().cast("int").alias(prefix + c + suffix) for c in columns or df.columns
-        ]
-    )
+
+    columns = setting("columns", "columns to test, all if empty", _TEXTS)
+    prefix = setting("prefix", "prefix of the flags", _TEXT)
+    suffix = setting("suffix", "suffix of the flags", _TEXT)
+
+    def __init__(self, columns: Sequence[str] = (), prefix: str = "f_", suffix: str = "_is_null"):
+        super().__init__()
+        self._configure(columns=list(columns), prefix=prefix, suffix=suffix)
+
+    def _build(self, df: DataFrame) -> list[Column]:
+        before, after = self.value("prefix"), self.value("suffix")
+        return [F.col(c).isNull().cast("int").alias(before + c + after) for c in self.value("columns") or df.columns]
 
 
 def _combined(
@@ -69,76 +85,140 @@ def _combined(
     return [([*include, *free], list(free)) for free in combinations(columns, r - len(include))]
 
 
-def arithmetic_combinations(
-    columns: Sequence[str] = (),
-    *,
-    operator: str = "+",
-    include: Sequence[str] = (),
-    exclude: Sequence[str] = (),
-    r: int = 2,
-    prefix: str = "",
-    suffix: str = "_combi",
-    drop_origin: bool = False,
-) -> RowEncoder:
+class _Combinations(RowEncoder):
+    """Settings that arithmetic and text combinations share."""
+
+    columns = setting("columns", "columns to combine", _TEXTS)
+    include = setting("include", "columns that take part in every combination", _TEXTS)
+    exclude = setting("exclude", "columns left out if none are named", _TEXTS)
+    r = setting("r", "columns of one combination", TypeConverters.toInt)
+    prefix = setting("prefix", "prefix of the new columns", _TEXT)
+    suffix = setting("suffix", "suffix of the new columns", _TEXT)
+    drop_origin = setting("drop_origin", "whether the combined columns go", TypeConverters.toBoolean)
+
+    def _candidates(self, df: DataFrame) -> list[str]:
+        return df.columns
+
+    def _chosen(self, df: DataFrame) -> list[str]:
+        left_out = {*self.value("exclude"), *self.value("include")}
+        return self.value("columns") or [c for c in self._candidates(df) if c not in left_out]
+
+    def _named(self, together: Sequence[str], free: Sequence[str]) -> tuple[str, Column]:
+        raise NotImplementedError
+
+    def _build(self, df: DataFrame) -> list[Column]:
+        new: dict[str, Column] = {}
+        for together, free in _combined(self._chosen(df), self.value("include"), self.value("r")):
+            middle, column = self._named(together, free)
+            name = self.value("prefix") + middle + self.value("suffix")
+            new.setdefault(name, column.alias(name))
+        return list(new.values())
+
+    def _dropped(self, df: DataFrame) -> list[str]:
+        return [*self.value("include"), *self._chosen(df)] if self.value("drop_origin") else []
+
+
+class ArithmeticCombinations(_Combinations):
     """Sums (null as 0) or products (null poisons) of every combination of ``r`` columns.
 
     ``include`` columns take part in all of them. No columns named means all but
     the ``exclude`` ones; ``drop_origin`` drops the combined columns.
     """
-    how = {"+": sum_of, "*": product_of}
-    if operator not in how:
-        raise ValueError(f"operator {operator!r} is not one of + and *")
 
-    def chosen(df: DataFrame) -> list[str]:
-        return list(columns) or [c for c in df.columns if c not in {*exclude, *include}]
+    operator = setting("operator", "+ or *", _TEXT)
 
-    def build(df: DataFrame) -> list[Column]:
-        new = {}
-        for together, free in _combined(chosen(df), include, r):
-            name = prefix + operator.join([*include, *sorted(free)]) + suffix
-            new.setdefault(name, how[operator](together).alias(name))
-        return list(new.values())
+    _HOW = {"+": sum_of, "*": product_of}
 
-    return RowEncoder(build, (lambda df: [*include, *chosen(df)]) if drop_origin else None)
+    def __init__(
+        self,
+        columns: Sequence[str] = (),
+        *,
+        operator: str = "+",
+        include: Sequence[str] = (),
+        exclude: Sequence[str] = (),
+        r: int = 2,
+        prefix: str = "",
+        suffix: str = "_combi",
+        drop_origin: bool = False,
+    ):
+        super().__init__()
+        self._configure(
+            columns=list(columns), operator=operator, include=list(include), exclude=list(exclude), r=r,
+            prefix=prefix, suffix=suffix, drop_origin=drop_origin,
+        )
+        self._how()
+
+    def _how(self) -> Callable[[Sequence[str]], Column]:
+        operator = self.value("operator")
+        if operator not in self._HOW:
+            raise ValueError(f"operator {operator!r} is not one of + and *")
+        return self._HOW[operator]
 
+    def _named(self, together: Sequence[str], free: Sequence[str]) -> tuple[str, Column]:
+        name = self.value("operator").join([*self.value("include"), *sorted(free)])
+        return name, self._how()(together)
 
-def string_combinations(
-    columns: Sequence[str] = (),
-    *,
-    separator: str = " ",
-    include: Sequence[str] = (),
-    exclude: Sequence[str] = (),
-    r: int = 2,
-    prefix: str = "",
-    suffix: str = "_concat",
-    drop_origin: bool = False,
-) -> RowEncoder:
+
+class StringCombinations(_Combinations):
     """Joined text of every combination of ``r`` columns; one null makes it null.
 
     No columns named means all text columns but the ``exclude`` ones.
     """
 
-    def chosen(df: DataFrame) -> list[str]:
-        texts = [c for c, kind in df.dtypes if kind == "string" and c not in {*exclude, *include}]
-        return list(columns) or texts
+    separator = setting("separator", "text between the columns", _TEXT)
 
-    def build(df: DataFrame) -> list[Column]:
-        new = {}
-        for together, _ in _combined(chosen(df), include, r):
-            name = prefix + separator.join(together) + suffix
-            new.setdefault(name, joined_text(together, separator).alias(name))
-        return list(new.values())
+    def __init__(
+        self,
+        columns: Sequence[str] = (),
+        *,
+        separator: str = " ",
+        include: Sequence[str] = (),
+        exclude: Sequence[str] = (),
+        r: int = 2,
+        prefix: str = "",
+        suffix: str = "_concat",
+        drop_origin: bool = False,
+    ):
+        super().__init__()
+        self._configure(
+            columns=list(columns), separator=separator, include=list(include), exclude=list(exclude), r=r,
+            prefix=prefix, suffix=suffix, drop_origin=drop_origin,
+        )
 
-    return RowEncoder(build, (lambda df: [*include, *chosen(df)]) if drop_origin else None)
+    def _candidates(self, df: DataFrame) -> list[str]:
+        return [c for c, kind in df.dtypes if kind == "string"]
 
+    def _named(self, together: Sequence[str], free: Sequence[str]) -> tuple[str, Column]:
+        separator = self.value("separator")
+        return separator.join(together), joined_text(together, separator)
 
-def category_crosses(columns: Sequence[str], r: int = 2) -> RowEncoder:
+
+class CategoryCrosses(RowEncoder):
     """Column ``a+b`` for every combination of ``r`` columns, null written as ``NULL``."""
-    if not 0 < r <= len(columns):
-        raise ValueError("r must be between 1 and the number of columns")
-    return RowEncoder(
-        lambda df: [crossed_text(c).alias("+".join(c)) for c in combinations(columns, r)]
-    )
+
+    columns = setting("columns", "columns to cross", _TEXTS)
+    r = setting("r", "columns of one cross", TypeConverters.toInt)
+
+    def __init__(self, columns: Sequence[str] = (), r: int = 2):
+        super().__init__()
+        self._configure(columns=list(columns), r=r)
+        if columns:
+            self._sets()
+
+    def _sets(self) -> list[tuple[str, ...]]:
+        if not 0 < self.value("r") <= len(self.value("columns")):
+            raise ValueError("r must be between 1 and the number of columns")
+        return list(combinations(self.value("columns"), self.value("r")))
+
+    def _build(self, df: DataFrame) -> list[Column]:
+        return [crossed_text(c).alias("+".join(c)) for c in self._sets()]
+
+
+raw = RawColumns
+null_flags = NullFlags
+arithmetic_combinations = ArithmeticCombinations
+string_combinations = StringCombinations
+category_crosses = CategoryCrosses
 
 
 # --- dictionaries of categories ----------------------------------------------
@@ -184,20 +264,25 @@ class OrdinalModel(TableModel):
         return out.withColumns(filled)
 
 
-class OrdinalEncoder(Estimator):
+class OrdinalEncoder(Estimator, Configured):
     """Category codes in order of first appearance, by the smallest id.
 
     Unknown values get -1; null gets -2 unless nulls were seen in fitting, then
     null is a category of its own.
     """
 
-    def __init__(self, columns: Sequence[str], id_col: str, prefix: str = "f_c_"):
+    columns = setting("columns", "category columns", _TEXTS)
+    id_col = setting("id_col", "column whose order numbers the categories", _TEXT)
+    prefix = setting("prefix", "prefix of the code columns", _TEXT)
+
+    def __init__(self, columns: Sequence[str] = (), id_col: str = "ID", prefix: str = "f_c_"):
         super().__init__()
-        self.columns, self.id_col, self.prefix = list(columns), id_col, prefix
+        self._configure(columns=list(columns), id_col=id_col, prefix=prefix)
 
     def _fit(self, dataset: DataFrame) -> OrdinalModel:
-        table = staged(first_appearance(dataset, self.columns, self.id_col))
-        return OrdinalModel({"columns": self.columns, "prefix": self.prefix}, table)
+        columns = self.value("columns")
+        table = staged(first_appearance(dataset, columns, self.value("id_col")))
+        return OrdinalModel({"columns": columns, "prefix": self.value("prefix")}, table)
 
 
 class OneHotModel(TableModel):
@@ -211,7 +296,7 @@ class OneHotModel(TableModel):
         return coded.select(*dataset.columns, *new)
 
 
-class OneHotEncoder(Estimator):
+class OneHotEncoder(Estimator, Configured):
     """0/1 columns ``{column}_{k}``, k by first appearance; constant columns are dropped.
 
     ``drop_last`` leaves out the last category, as a baseline for linear models.
@@ -219,23 +304,28 @@ class OneHotEncoder(Estimator):
     ``max_columns`` is an error.
     """
 
+    column = setting("column", "category column", _TEXT)
+    id_col = setting("id_col", "column whose order numbers the categories", _TEXT)
+    drop_last = setting("drop_last", "whether the last category has no column", TypeConverters.toBoolean)
+    max_columns = setting("max_columns", "most categories that are not an error", TypeConverters.toInt)
+
     def __init__(
-        self, column: str, id_col: str, *, drop_last: bool = True, max_columns: int = 1000
+        self, column: str = "", id_col: str = "ID", *, drop_last: bool = True, max_columns: int = 1000
     ):
         super().__init__()
-        self.column, self.id_col = column, id_col
-        self.drop_last, self.max_columns = drop_last, max_columns
+        self._configure(column=column, id_col=id_col, drop_last=drop_last, max_columns=max_columns)
 
     def _fit(self, dataset: DataFrame) -> OneHotModel:
-        table = staged(first_appearance(dataset, [self.column], self.id_col))
+        column, most = self.value("column"), self.value("max_columns")
+        table = staged(first_appearance(dataset, [column], self.value("id_col")))
         n = table.count()
-        if n > self.max_columns:
-            raise ValueError(f"{n} categories in {self.column}, at most {self.max_columns}")
+        if n > most:
+            raise ValueError(f"{n} categories in {column}, at most {most}")
         # With one category its indicator is constant; otherwise every one varies.
         codes = list(range(1, n + 1)) if n > 1 else []
-        if self.drop_last and codes:
+        if self.value("drop_last") and codes:
             codes.pop()
-        return OneHotModel({"column": self.column, "codes": codes}, table)
+        return OneHotModel({"column": column, "codes": codes}, table)
 
 
 class TargetMeanModel(TableModel):
@@ -287,7 +377,7 @@ class TargetMeanModel(TableModel):
         return out.withColumns({n: self._coded(c, n) for c, n in names.items()})
 
 
-class TargetMeanEncoder(Estimator):
+class TargetMeanEncoder(Estimator, Configured):
     """Mean target per category, named ``{prefix}te_by_{target}_{column}``.
 
     ``smoothing`` m mixes in m rows of the overall mean. ``fit_transform`` gives
@@ -295,11 +385,20 @@ class TargetMeanEncoder(Estimator):
     means for other rows. Unknown categories get -1, missing ones -2.
     """
 
+    columns = setting("columns", "category columns", _TEXTS)
+    target = setting("target", "column whose mean is taken", _TEXT)
+    id_col = setting("id_col", "unique key that folds are drawn from", _TEXT)
+    n_splits = setting("n_splits", "folds of fit_transform", TypeConverters.toInt)
+    seed = setting("seed", "seed of the folds", TypeConverters.toInt)
+    smoothing = setting("smoothing", "rows of the overall mean mixed in", TypeConverters.toFloat)
+    prefix = setting("prefix", "prefix of the new columns", _TEXT)
+    fold_col = setting("fold_col", "column with given folds", _TEXT)
+
     def __init__(
         self,
-        columns: Sequence[str],
-        target: str,
-        id_col: str,
+        columns: Sequence[str] = (),
+        target: str = "",
+        id_col: str = "ID",
         *,
         n_splits: int = 5,
         seed: int = 42,
@@ -308,33 +407,36 @@ class TargetMeanEncoder(Estimator):
         fold_col: str | None = None,
     ):
         super().__init__()
-        self.columns, self.target, self.id_col = list(columns), target, id_col
-        self.n_splits, self.seed = n_splits, seed
-        self.smoothing, self.prefix = smoothing, prefix
-        self.fold_col = fold_col
+        self._configure(
+            columns=list(columns), target=target, id_col=id_col, n_splits=n_splits, seed=seed,
+            smoothing=smoothing, prefix=prefix, fold_col=fold_col,
+        )
 
     def _folded(self, dataset: DataFrame) -> DataFrame:
-        if self.fold_col:
-            return dataset.withColumn("_fold", F.col(self.fold_col))
-        return assign_folds(dataset, self.id_col, self.n_splits, self.seed, fold_col="_fold")
+        if self.value("fold_col"):
+            return dataset.withColumn("_fold", F.col(self.value("fold_col")))
+        return assign_folds(
+            dataset, self.value("id_col"), self.value("n_splits"), self.value("seed"), fold_col="_fold"
+        )
 
     def _fit_folded(self, folded: DataFrame) -> TargetMeanModel:
+        columns, target = self.value("columns"), self.value("target")
         long = folded.select(
-            F.col(self.target).cast("double").alias("_y"),
+            F.col(target).cast("double").alias("_y"),
             "_fold",
-            *[F.col(c).cast("string").alias(c) for c in self.columns],
-        ).unpivot(["_y", "_fold"], self.columns, "col", "val")
+            *[F.col(c).cast("string").alias(c) for c in columns],
+        ).unpivot(["_y", "_fold"], columns, "col", "val")
         table = staged(
             long.filter(F.col("val").isNotNull() & F.col("_y").isNotNull())
             .groupBy("col", "val", "_fold")
             .agg(F.sum("_y").alias("_sum"), F.count(F.lit(1)).alias("_n"))
         )
-        prior = folded.agg(F.avg(self.target)).first()[0] if self.smoothing else 0.0
+        prior = folded.agg(F.avg(target)).first()[0] if self.value("smoothing") else 0.0
         options = {
-            "columns": self.columns,
-            "target": self.target,
-            "prefix": self.prefix,
-            "smoothing": self.smoothing,
+            "columns": columns,
+            "target": target,
+            "prefix": self.value("prefix"),
+            "smoothing": self.value("smoothing"),
             "prior": prior,
         }
         return TargetMeanModel(options, table)
@@ -386,10 +488,11 @@ class GroupStatisticsModel(TableModel):
         )
 
 
-class GroupStatisticsEncoder(Estimator):
+class GroupStatisticsEncoder(Estimator, Configured):
     """Aggregates of the fitted rows by group keys, joined to any rows.
 
-    ``aggregates``: aliased aggregate columns. ``quantile_columns``: alias ->
+    ``aggregates``: aliased aggregate columns, or SQL texts such as ``avg(x) AS mean``; only
+    an encoder given texts can be saved. ``quantile_columns``: alias ->
     (column, probability), computed exactly and spread over tasks, which the
     built-in median is not. Outputs are ``{prefix}{alias}_grpby_{k1_x_k2}``.
     ``deviations``: dicts with a ``method`` of DEVIATIONS and the names of its
@@ -397,41 +500,58 @@ class GroupStatisticsEncoder(Estimator):
     Null keys match nothing.
     """
 
+    keys = setting("keys", "group keys", _TEXTS)
+    aggregate_texts = setting("aggregate_texts", "aggregates as SQL", _TEXTS)
+    quantile_columns = setting("quantile_columns", "alias -> (column, probability)")
+    deviations = setting("deviations", "methods and their operands")
+    prefix = setting("prefix", "prefix of the new columns", _TEXT)
+
     def __init__(
         self,
-        keys: str | Sequence[str],
-        aggregates: Sequence[Column] = (),
+        keys: str | Sequence[str] = (),
+        aggregates: Sequence[Column | str] = (),
         *,
         quantile_columns: Mapping[str, tuple[str, float]] | None = None,
         deviations: Sequence[Mapping[str, str]] = (),
         prefix: str = "f_",
     ):
         super().__init__()
-        self.keys = [keys] if isinstance(keys, str) else list(keys)
-        self.aggregates = list(aggregates)
-        self.quantile_columns = dict(quantile_columns or {})
-        self.deviations = [dict(d) for d in deviations]
-        self.prefix = prefix
-        for spec in self.deviations:
+        #: Column objects have no text that Spark reads back, so they are no Param.
+        self.aggregates = [a for a in aggregates if not isinstance(a, str)]
+        self._configure(
+            keys=[keys] if isinstance(keys, str) else list(keys),
+            aggregate_texts=[a for a in aggregates if isinstance(a, str)],
+            quantile_columns={k: list(v) for k, v in (quantile_columns or {}).items()},
+            deviations=[dict(d) for d in deviations],
+            prefix=prefix,
+        )
+        for spec in self.value("deviations"):
             wanted = DEVIATIONS[spec["method"]][0]
             if set(spec) != {"method", *wanted}:
                 raise ValueError(f"{spec['method']} needs exactly {wanted}")
 
+    def write(self) -> MLWriter:
+        if self.aggregates:
+            raise ValueError("give the aggregates as SQL texts to save this encoder")
+        return super().write()
+
     def _fit(self, dataset: DataFrame) -> GroupStatisticsModel:
-        known = dataset.dropna(subset=self.keys)
-        table = known.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"), *self.aggregates)
-        for alias, (column, prob) in self.quantile_columns.items():
-            found = quantiles(known, column, [prob], keys=self.keys).select(
-                *self.keys, F.col("quantile").alias(alias)
+        keys = self.value("keys")
+        known = dataset.dropna(subset=keys)
+        aggregates = [*self.aggregates, *map(F.expr, self.value("aggregate_texts"))]
+        table = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *aggregates)
+        for alias, (column, prob) in self.value("quantile_columns").items():
+            found = quantiles(known, column, [prob], keys=keys).select(
+                *keys, F.col("quantile").alias(alias)
             )
-            table = table.join(found, self.keys, "left")
+            table = table.join(found, keys, "left")
         table = staged(table.drop("_n"))
         options = {
-            "keys": self.keys,
-            "group_name": "_x_".join(self.keys),
-            "names": [c for c in table.columns if c not in self.keys],
-            "deviations": self.deviations,
-            "prefix": self.prefix,
+            "keys": keys,
+            "group_name": "_x_".join(keys),
+            "names": [c for c in table.columns if c not in keys],
+            "deviations": self.value("deviations"),
+            "prefix": self.value("prefix"),
         }
         return GroupStatisticsModel(options, table)
 
@@ -452,23 +572,33 @@ class ShiftScaleModel(TableModel):
         return dataset.withColumns(new)
 
 
-class ScalingEncoder(Estimator):
+class ScalingEncoder(Estimator, Configured):
     """``standard`` (mean, population deviation), ``minmax`` or ``robust`` (median, IQR).
 
     A column without spread is only shifted.
     """
 
-    def __init__(self, columns: Sequence[str], method: str = "standard", prefix: str = ""):
+    columns = setting("columns", "numeric columns", _TEXTS)
+    method = setting("method", "standard, minmax or robust", _TEXT)
+    prefix = setting("prefix", "prefix of the scaled columns", _TEXT)
+
+    def __init__(self, columns: Sequence[str] = (), method: str = "standard", prefix: str = ""):
         super().__init__()
+        self._configure(columns=list(columns), method=method, prefix=prefix)
+        self._method()
+
+    def _method(self) -> str:
+        method = self.value("method")
         if method not in ("standard", "minmax", "robust"):
             raise ValueError(f"unknown scaling method {method!r}")
-        self.columns, self.method, self.prefix = list(columns), method, prefix
+        return method
 
     def _fit(self, dataset: DataFrame) -> ShiftScaleModel:
-        long = dataset.select(*[F.col(c).cast("double").alias(c) for c in self.columns]).unpivot(
-            [], self.columns, "col", "x"
+        columns, method = self.value("columns"), self._method()
+        long = dataset.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+            [], columns, "col", "x"
         )
-        if self.method == "robust":
+        if method == "robust":
             found = (
                 quantiles(long, "x", [0.25, 0.5, 0.75], keys=["col"])
                 .groupBy("col")
@@ -484,11 +614,11 @@ class ScalingEncoder(Estimator):
             center, spread = {
                 "standard": (F.avg("x"), F.stddev_pop("x")),
                 "minmax": (F.min("x"), F.max("x") - F.min("x")),
-            }[self.method]
+            }[method]
             table = long.groupBy("col").agg(center.alias("center"), spread.alias("scale"))
         scale = F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale"))
         table = staged(table.withColumn("scale", scale))
-        return ShiftScaleModel({"columns": self.columns, "prefix": self.prefix}, table)
+        return ShiftScaleModel({"columns": columns, "prefix": self.value("prefix")}, table)
 
 
 class MeanImputerModel(TableModel):
@@ -502,16 +632,20 @@ class MeanImputerModel(TableModel):
         )
 
 
-class MeanImputer(Estimator):
+class MeanImputer(Estimator, Configured):
     """Null becomes the mean of the fitted rows."""
 
-    def __init__(self, columns: Sequence[str], prefix: str = ""):
+    columns = setting("columns", "numeric columns", _TEXTS)
+    prefix = setting("prefix", "prefix of the filled columns", _TEXT)
+
+    def __init__(self, columns: Sequence[str] = (), prefix: str = ""):
         super().__init__()
-        self.columns, self.prefix = list(columns), prefix
+        self._configure(columns=list(columns), prefix=prefix)
 
     def _fit(self, dataset: DataFrame) -> MeanImputerModel:
-        table = staged(dataset.agg(*[F.avg(c).alias(c) for c in self.columns]))
-        return MeanImputerModel({"columns": self.columns, "prefix": self.prefix}, table)
+        columns = self.value("columns")
+        table = staged(dataset.agg(*[F.avg(c).alias(c) for c in columns]))
+        return MeanImputerModel({"columns": columns, "prefix": self.value("prefix")}, table)
 
 
 class QuantileBinsModel(TableModel):
@@ -537,17 +671,21 @@ class QuantileBinsModel(TableModel):
         return out.withColumns(new)
 
 
-class QuantileBinsEncoder(Estimator):
+class QuantileBinsEncoder(Estimator, Configured):
     """Equal-frequency bins with a linear fraction inside, for piecewise-linear features."""
 
-    def __init__(self, columns: Sequence[str], n_bins: int = 52):
+    columns = setting("columns", "numeric columns", _TEXTS)
+    n_bins = setting("n_bins", "bins of each column", TypeConverters.toInt)
+
+    def __init__(self, columns: Sequence[str] = (), n_bins: int = 52):
         super().__init__()
-        self.columns, self.n_bins = list(columns), n_bins
+        self._configure(columns=list(columns), n_bins=n_bins)
 
     def _fit(self, dataset: DataFrame) -> QuantileBinsModel:
-        long = dataset.select(*[F.col(c).cast("double").alias(c) for c in self.columns]).unpivot(
-            [], self.columns, "col", "x"
+        columns, n_bins = self.value("columns"), self.value("n_bins")
+        long = dataset.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+            [], columns, "col", "x"
         )
-        probs = [i / self.n_bins for i in range(self.n_bins + 1)]
+        probs = [i / n_bins for i in range(n_bins + 1)]
         table = staged(quantiles(long, "x", probs, keys=["col"]))
-        return QuantileBinsModel({"columns": self.columns}, table)
+        return QuantileBinsModel({"columns": columns}, table)

@@ -9,16 +9,18 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import TypeConverters
 from pyspark.ml.regression import (
     AFTSurvivalRegression,
     GBTRegressor,
     GeneralizedLinearRegression,
     LinearRegression,
 )
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReader, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from survloom.operators.persistence import TableModel
+from survloom.operators.persistence import Configured, TableModel, setting
 from survloom.settings import staged
 
 
@@ -46,47 +48,85 @@ class GroupMeanModel(TableModel):
         )
 
 
-class GroupMeanRegressor(Estimator):
+class GroupMeanRegressor(Estimator, Configured):
     """Target mean per group; groups not seen in fitting get the overall mean."""
 
+    keys = setting("keys", "group keys", TypeConverters.toListString)
+    labelCol = setting("labelCol", "target", TypeConverters.toString)
+    weightCol = setting("weightCol", "case weights", TypeConverters.toString)
+    predictionCol = setting("predictionCol", "output", TypeConverters.toString)
+
     def __init__(
         self,
-        keys: Sequence[str],
-        labelCol: str,
+        keys: Sequence[str] = (),
+        labelCol: str = "label",
         weightCol: str | None = None,
         predictionCol: str = "prediction",
     ):
         super().__init__()
-        self.keys, self.label = list(keys), labelCol
-        self.weight, self.prediction_col = weightCol, predictionCol
+        self._configure(
+            keys=list(keys), labelCol=labelCol, weightCol=weightCol, predictionCol=predictionCol
+        )
 
     def _fit(self, dataset: DataFrame) -> GroupMeanModel:
-        w = F.col(self.weight) if self.weight else F.lit(1.0)
-        w = F.when(F.col(self.label).isNotNull(), w)
+        keys, label, weight = (self.value(n) for n in ("keys", "labelCol", "weightCol"))
+        w = F.col(weight) if weight else F.lit(1.0)
+        w = F.when(F.col(label).isNotNull(), w)
         table = staged(
-            dataset.groupBy(*self.keys)
-            .agg(F.sum(F.col(self.label) * w).alias("_wy"), F.sum(w).alias("_w"))
+            dataset.groupBy(*keys)
+            .agg(F.sum(F.col(label) * w).alias("_wy"), F.sum(w).alias("_w"))
             .withColumn("_mean", F.try_divide("_wy", "_w"))
         )
         overall = table.agg(F.try_divide(F.sum("_wy"), F.sum("_w"))).first()[0]
-        options = {"keys": self.keys, "overall": overall, "predictionCol": self.prediction_col}
-        return GroupMeanModel(options, table.select(*self.keys, "_mean"))
+        options = {"keys": keys, "overall": overall, "predictionCol": self.value("predictionCol")}
+        return GroupMeanModel(options, table.select(*keys, "_mean"))
+
+
+class _FractionalWriter(MLWriter):
+    def __init__(self, stage: FractionalLabels):
+        super().__init__()
+        self._stage = stage
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self._stage, path, self.sparkSession)
+        self._stage.classifier.save(f"{path}/classifier")
 
 
-class FractionalLabels(Estimator):
+class _FractionalReader(MLReader):
+    def load(self, path: str) -> FractionalLabels:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        classifier = DefaultParamsReader.loadParamsInstance(f"{path}/classifier", self.sparkSession)
+        stage = FractionalLabels(classifier)
+        stage._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(stage, metadata)
+        return stage
+
+
+class FractionalLabels(Estimator, Configured):
     """Fit a classifier to labels in [0, 1]: cross entropy on fractions.
 
     Each row becomes one of label 1 with weight w*y and one of label 0 with
     weight w*(1-y), which has the same loss.
     """
 
-    def __init__(self, classifier: Estimator, labelCol: str, weightCol: str | None = None):
+    labelCol = setting("labelCol", "target in [0, 1]", TypeConverters.toString)
+    weightCol = setting("weightCol", "case weights", TypeConverters.toString)
+
+    def __init__(self, classifier: Estimator, labelCol: str = "label", weightCol: str | None = None):
         super().__init__()
-        self.classifier, self.label, self.weight = classifier, labelCol, weightCol
+        self.classifier = classifier
+        self._configure(labelCol=labelCol, weightCol=weightCol)
+
+    def write(self) -> MLWriter:
+        return _FractionalWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _FractionalReader()
 
     def _fit(self, dataset: DataFrame) -> Model:
-        y = F.col(self.label)
-        w = F.col(self.weight) if self.weight else F.lit(1.0)
+        y = F.col(self.value("labelCol"))
+        w = F.col(self.value("weightCol")) if self.value("weightCol") else F.lit(1.0)
         halves = F.inline(
             F.array(
                 F.struct(F.lit(1.0).alias("_label"), (w * y).alias("_weight")),
@@ -103,13 +143,19 @@ class FractionalLabels(Estimator):
         return fitted.fit(doubled)
 
 
-class RidgeRegressor(Estimator):
+class RidgeRegressor(Estimator, Configured):
     """Least squares with penalty alpha * |coefficients|^2, intercept not penalised.
 
     Spark divides the loss by the sum of weights and the penalty by the label's
     deviation; ``regParam`` is set so that both cancel.
     """
 
+    alpha = setting("alpha", "weight of the squared coefficients", TypeConverters.toFloat)
+    featuresCol = setting("featuresCol", "vector of features", TypeConverters.toString)
+    labelCol = setting("labelCol", "target", TypeConverters.toString)
+    weightCol = setting("weightCol", "case weights", TypeConverters.toString)
+    predictionCol = setting("predictionCol", "output", TypeConverters.toString)
+
     def __init__(
         self,
         alpha: float = 1.0,
@@ -120,12 +166,15 @@ class RidgeRegressor(Estimator):
         predictionCol: str = "prediction",
     ):
         super().__init__()
-        self.alpha, self.features, self.label = float(alpha), featuresCol, labelCol
-        self.weight, self.prediction_col = weightCol, predictionCol
+        self._configure(
+            alpha=float(alpha), featuresCol=featuresCol, labelCol=labelCol, weightCol=weightCol,
+            predictionCol=predictionCol,
+        )
 
     def _fit(self, dataset: DataFrame) -> Model:
-        w = F.col(self.weight) if self.weight else F.lit(1.0)
-        y = F.col(self.label)
+        label, weight = self.value("labelCol"), self.value("weightCol")
+        w = F.col(weight) if weight else F.lit(1.0)
+        y = F.col(label)
         s = dataset.agg(
             F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * y * y).alias("wyy")
         ).first()
@@ -134,13 +183,13 @@ class RidgeRegressor(Estimator):
             solver="normal",
             elasticNetParam=0.0,
             standardization=False,
-            regParam=self.alpha / s["w"] * deviation,
-            featuresCol=self.features,
-            labelCol=self.label,
-            predictionCol=self.prediction_col,
+            regParam=self.value("alpha") / s["w"] * deviation,
+            featuresCol=self.value("featuresCol"),
+            labelCol=label,
+            predictionCol=self.value("predictionCol"),
         )
-        if self.weight:
-            regression = regression.setWeightCol(self.weight)
+        if weight:
+            regression = regression.setWeightCol(weight)
         return regression.fit(dataset)
 
 

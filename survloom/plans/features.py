@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from survloom.functions.expr import clamp_codes
 from survloom.operators import encoders as enc
 from survloom.plans.registry import query, rounded, sql_folds, sql_rounded
-from survloom.settings import keep
+from survloom.settings import fresh_path, keep
 from survloom.sources.frames import survival_frame, training_rows
 
 #: Rows with nulls: in ``priority`` everywhere, in ``status`` among test rows only.
@@ -343,3 +344,48 @@ def quantile_bins(spark: SparkSession, folder: str) -> DataFrame:
         F.col("balance_bin").cast("double").alias("balance_bin"),
         rounded("balance_frac").alias("balance_frac"),
     )
+
+
+@query(
+    "pipeline_reload",
+    f"""SELECT * FROM (WITH {_codes_sql()},
+          train AS (SELECT * FROM fit),
+          means AS (SELECT stratum AS s, avg(price) AS mean FROM train GROUP BY 1)
+        SELECT h.ID, CASE WHEN h.priority IS NULL THEN 1 ELSE 0 END AS f_priority_is_null,
+               {sql_rounded('h.price + coalesce(h.balance, 0)', 4)} AS f_total,
+               f_c_priority, f_c_status,
+               {sql_rounded('coalesce(h.balance, (SELECT avg(balance) FROM train))', 4)} AS f_n_balance,
+               {sql_rounded('h.price - mean', 4)} AS f_difference,
+               {sql_rounded('(h.price - (SELECT avg(price) FROM train)) / (SELECT stddev_pop(price) FROM train)')} AS f_s_price
+        FROM holes h JOIN coded c ON c.ID = h.ID LEFT JOIN means ON s = h.stratum)""",
+)
+def pipeline_reload(spark: SparkSession, folder: str) -> DataFrame:
+    """A pipeline of encoders saved and loaded before fitting, and its model again after."""
+    rows = _holes(spark, folder)
+    stages = [
+        enc.NullFlags(["priority"]),
+        enc.ArithmeticCombinations(["price", "balance"], prefix="f_"),
+        enc.OrdinalEncoder(["priority", "status"], "ID"),
+        enc.MeanImputer(["balance"], prefix="f_n_"),
+        enc.GroupStatisticsEncoder(
+            "stratum",
+            ["avg(price) AS mean"],
+            deviations=[{"method": "mean-diff", "val": "price", "mean": "mean"}],
+        ),
+        enc.ScalingEncoder(["price"], prefix="f_s_"),
+    ]
+    path = fresh_path(spark, "pipeline")
+    Pipeline(stages=stages).write().save(f"{path}/unfitted")
+    fit_rows = rows.filter(training_rows() & (F.col("stratum") != "BUILDING"))
+    Pipeline.load(f"{path}/unfitted").fit(fit_rows).write().save(f"{path}/fitted")
+    coded = PipelineModel.load(f"{path}/fitted").transform(rows)
+    return coded.select(
+        "ID",
+        "f_priority_is_null",
+        rounded(F.col("`f_balance+price_combi`"), 4).alias("f_total"),
+        "f_c_priority",
+        "f_c_status",
+        rounded("f_n_balance", 4).alias("f_n_balance"),
+        rounded("f_mean-diff_price_grpby_stratum", 4).alias("f_difference"),
+        rounded("f_s_price").alias("f_s_price"),
+    )
