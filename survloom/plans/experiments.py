@@ -6,10 +6,11 @@ so the driver only holds fitted models, scores and the plans of single stages.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,24 @@ class Columns:
         return F.col(self.dataset) == "TRAIN"
 
 
+@dataclass(frozen=True)
+class Fitting:
+    """What a learner is told: names of the features, the goal and the weight.
+
+    ``categories`` are the features that are codes, with their numbers of codes.
+    """
+
+    features: Sequence[str]
+    label: str
+    weight: str | None = None
+    categories: Mapping[str, int] = field(default_factory=dict)
+
+
+#: Makes the estimator for the i-th seed: (i, seed, fitting) -> estimator. Its model must
+#: add ``prediction`` (or ``probability``) to the rows, as Spark ML models do.
+Learner = Callable[[int, int, Fitting], Estimator]
+
+
 @dataclass(frozen=True)
 class Experiment:
     """One cell of the matrix."""
@@ -166,6 +185,24 @@ def _bins(categories: Mapping[str, int]) -> int:
     return max([32, *categories.values()])
 
 
+def event_learners(rounds: int = 10) -> dict[str, Learner]:
+    """The classifiers of the event probability; ``rounds`` is the number of trees."""
+
+    def trees(i: int, seed: int, to: Fitting) -> Estimator:
+        # Later seeds use deeper trees; the learning rate stays.
+        return regressor(
+            "logloss", to.features, to.label, categories=list(to.categories),
+            maxBins=_bins(to.categories), maxIter=rounds, maxDepth=min(3 + i, 7), seed=seed,
+        )
+
+    def logistic(i: int, seed: int, to: Fitting) -> Estimator:
+        return regressor(
+            "logistic", to.features, to.label, categories=list(to.categories), regParam=0.001 * (i + 1)
+        )
+
+    return {"trees": trees, "logistic": logistic}
+
+
 def target_stage(
     rows: DataFrame,
     columns: Columns,
@@ -174,11 +211,12 @@ def target_stage(
     n_splits: int = 10,
     store: FoldStore | None = None,
     rounds: int = 10,
+    learners: Mapping[str, Learner] | None = None,
 ) -> DataFrame:
     """Training targets: survival at the own time, event probability, and both combined.
 
-    The probability is the mean of the out-of-fold predictions of boosted trees
-    and of a logistic regression over the seeds; ``rounds`` is the number of trees.
+    The probability is the mean of the out-of-fold predictions of the ``learners`` over
+    the seeds: by default those of :func:`event_learners` with ``rounds`` trees.
     """
     train = rows.filter(columns.is_train)
     survival = staged(
@@ -189,26 +227,20 @@ def target_stage(
     names = _feature_names(folded)
     categories = _categories(folded, columns)
     folded = mark_nominal(folded, categories)
-
-    def trees(i: int, seed: int):
-        # Later seeds use deeper trees; the learning rate stays.
-        return regressor(
-            "logloss", names, columns.event, categories=list(categories), maxBins=_bins(categories),
-            maxIter=rounds, maxDepth=min(3 + i, 7), seed=seed,
-        )
-
-    def logistic(i: int, seed: int):
-        return regressor(
-            "logistic", names, columns.event, categories=list(categories), regParam=0.001 * (i + 1)
-        )
-
+    to = Fitting(names, columns.event, None, categories)
     runs = [
         cross_fit_seeds(
-            make, folded, name=name, seeds=seeds, meta=columns.meta, features=names, store=store
+            lambda i, seed, make=make: make(i, seed, to),
+            folded,
+            name=name,
+            seeds=seeds,
+            meta=columns.meta,
+            features=names,
+            store=store,
         )
-        for name, make in (("trees", trees), ("logistic", logistic))
+        for name, make in (event_learners(rounds) if learners is None else learners).items()
     ]
-    long = runs[0].predictions.unionByName(runs[1].predictions)
+    long = reduce(DataFrame.unionByName, [run.predictions for run in runs])
     mean = average_by_id(long, columns.id).withColumnRenamed("pred", "t_event_pred")
     joined = staged(
         survival.select(*columns.meta, "t_kmf", "t_bfhf", "t_cox").join(mean, columns.id, "left"),
@@ -226,16 +258,24 @@ def hazard_stage(
     *,
     seeds: Sequence[int] = (0, 1, 2, 3, 4),
     n_splits: int = 10,
+    store: FoldStore | None = None,
+    learner: Learner | None = None,
 ) -> DataFrame:
-    """Targets with ``t_hazard_pred``, the mean out-of-fold log hazard of Cox fits."""
+    """Targets with ``t_hazard_pred``, the mean out-of-fold log hazard of Cox fits.
+
+    Another ``learner`` gives its own prediction in that place.
+    """
     features = build_features(rows.filter(columns.is_train), columns)
     folded = staged(with_seed_folds(features, columns.id, n_splits, seeds), "folded")
+    to = Fitting(_feature_names(folded), columns.event, None, _categories(folded, columns))
+    make = learner or (lambda i, seed, to: CoxRegression(to.features, columns.time, columns.event))
     run = cross_fit_seeds(
-        lambda i, seed: CoxRegression(_feature_names(folded), columns.time, columns.event),
+        lambda i, seed: make(i, seed, to),
         folded,
         name="cox",
         seeds=seeds,
         meta=columns.meta,
+        store=store,
     )
     hazard = average_by_id(run.predictions, columns.id).withColumnRenamed("pred", "t_hazard_pred")
     return targets.join(hazard, columns.id, "left")
@@ -275,6 +315,7 @@ def _cross_fit_goal(
     n_splits: int,
     store: FoldStore | None,
     params: Mapping,
+    learner: Learner | None,
 ) -> Result:
     """Weights, folds, fits, averages and scores, given rows with ``goal`` and features."""
     limits = WEIGHTS[spec.weighting]
@@ -288,7 +329,11 @@ def _cross_fit_goal(
     categories = _categories(folded, columns)
     folded = mark_nominal(folded, categories)
 
-    def make(i: int, seed: int):
+    to = Fitting(names, "goal", weight, categories)
+
+    def make(i: int, seed: int) -> Estimator:
+        if learner is not None:
+            return learner(i, seed, to)
         if spec.objective == "cox":
             return CoxRegression(names, columns.time, columns.event, weightCol=weight)
         tuned = dict(params)
@@ -342,8 +387,12 @@ def run_experiment(
     n_splits: int | None = None,
     store: FoldStore | None = None,
     params: Mapping | None = None,
+    learner: Learner | None = None,
 ) -> Result:
-    """Features, target, weights, cross-fit over seeds, scores, and test predictions."""
+    """Features, target, weights, cross-fit over seeds, scores, and test predictions.
+
+    ``learner`` takes the place of the objective's own estimator; ``params`` are for that one.
+    """
     features = staged(build_features(rows, columns), "features")
     train = features.filter(columns.is_train).join(
         _goal(spec, rows, targets, columns), columns.id, "left"
@@ -358,6 +407,7 @@ def run_experiment(
         n_splits or spec.n_splits,
         store,
         params or {},
+        learner,
     )
 
 
@@ -372,6 +422,7 @@ def run_stack(
     n_splits: int | None = None,
     store: FoldStore | None = None,
     params: Mapping | None = None,
+    learner: Learner | None = None,
 ) -> Result:
     """An experiment whose features are the predictions and ranks of earlier ones.
 
@@ -398,4 +449,5 @@ def run_stack(
         n_splits or spec.n_splits,
         store,
         params or {},
+        learner,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +13,17 @@ from survloom.operators.folds import assign_folds
 from survloom.operators.models import GroupMeanRegressor, mark_nominal, predict, regressor
 from survloom.plans.experiments import (
     EXPERIMENTS,
+    WEIGHTS,
     Columns,
+    Fitting,
+    Learner,
     run_experiment,
     run_stack,
     target_stage,
 )
 from survloom.plans.experiments import hazard_stage as cox_stage
 from survloom.plans.registry import query, rounded, sql_folds, sql_rounded
+from survloom.plans.tables import SQL_CURVE
 from survloom.settings import fresh_path, keep, staged
 from survloom.sources.frames import survival_frame, training_rows
 
@@ -339,3 +344,165 @@ def stack_experiment(spark: SparkSession, folder: str) -> DataFrame:
         params={"maxIter": 3},
     )
     return result.oof.unionByName(result.test)
+
+
+# --- whole jobs with learners that SQL can follow ---------------------------------
+
+_STAGE_SEEDS, _BASE_SEEDS = (0, 1, 2, 3, 4), (1, 2, 3, 4, 5)
+
+
+def _means(*keys: str) -> Learner:
+    """Learners that predict the weighted mean goal of a group."""
+    return lambda i, seed, to: GroupMeanRegressor(list(keys), to.label, to.weight)
+
+
+def _own_means_sql(rows: str, n_splits: int, seeds: tuple[int, ...], keys: str, y: str, w: str = "1") -> str:
+    """(ID, pred): mean over seeds of the group mean of the other folds' rows."""
+    parts = [
+        f"""SELECT ID, (sum({y} * {w}) OVER k - sum({y} * {w}) OVER f) / (sum({w}) OVER k - sum({w}) OVER f)::DOUBLE AS m
+            FROM ({sql_folds(rows, n_splits, seed)}) WINDOW k AS (PARTITION BY {keys}), f AS (PARTITION BY {keys}, fold)"""
+        for seed in seeds
+    ]
+    return f"SELECT ID, avg(m) AS pred FROM ({' UNION ALL '.join(parts)}) GROUP BY ID"
+
+
+def _new_means_sql(rows: str, n_splits: int, seeds: tuple[int, ...], keys: str, y: str, w: str) -> str:
+    """({keys}, pred): mean over seeds and folds of the group mean without the fold's rows."""
+    parts = [
+        f"""SELECT {keys}, g.fold, (any_value(a.y) - coalesce(sum(o.y), 0)) / (any_value(a.w) - coalesce(sum(o.w), 0)) AS m
+            FROM (SELECT {keys}, sum({y} * {w}) AS y, sum({w}) AS w FROM {rows} GROUP BY ALL) a
+            CROSS JOIN range({n_splits}) g(fold)
+            LEFT JOIN (SELECT {keys}, fold, sum({y} * {w}) AS y, sum({w}) AS w
+                       FROM ({sql_folds(rows, n_splits, seed)}) GROUP BY ALL) o USING ({keys}, fold)
+            GROUP BY {keys}, g.fold"""
+        for seed in seeds
+    ]
+    return f"SELECT {keys}, avg(m) AS pred FROM ({' UNION ALL '.join(parts)}) GROUP BY {keys}"
+
+
+_TRAINED = f"""{SQL_CURVE},
+  trained AS (SELECT * FROM own WHERE dataset = 'TRAIN'),
+  event_pred AS (SELECT ID, avg(pred) AS p FROM (
+    {_own_means_sql('trained', 10, _STAGE_SEEDS, 'stratum, status', 'efs')} UNION ALL
+    {_own_means_sql('trained', 10, _STAGE_SEEDS, 'priority', 'efs')}) GROUP BY ID),
+  aimed AS (SELECT t.*, p FROM trained t JOIN event_pred USING (ID))"""
+
+
+def _targets_by_means(rows: DataFrame) -> DataFrame:
+    learners = {"cells": _means("stratum", "status"), "priority": _means("priority")}
+    return target_stage(rows, _COLUMNS, seeds=_STAGE_SEEDS, n_splits=10, learners=learners)
+
+
+def _sql_shift(p: str, t: str, over: str = "") -> str:
+    """ln p / f + t with f = min(ln p) / -min(t); t where f is undefined or 0."""
+    low_p, low_t = f"(min(ln({p})) OVER ({over}))", f"(min({t}) OVER ({over}))"
+    return f"(CASE WHEN {low_t} = 0 OR {low_p} = 0 THEN 0 ELSE ln({p}) / ({low_p} / (0 - {low_t})) END + {t})"
+
+
+@query(
+    "event_probability_means",
+    f"""SELECT * FROM (WITH {_TRAINED}
+        SELECT ID, {sql_rounded('p')} AS t_event_pred, {sql_rounded('t_kmf')} AS t_kmf, {sql_rounded('t_bfhf')} AS t_bfhf,
+               {sql_rounded(_sql_shift('p', 't_kmf'))} AS t_kmf_event_scaled,
+               {sql_rounded(_sql_shift('p', 't_bfhf'))} AS t_bfhf_event_scaled FROM aimed)""",
+)
+def event_probability_means(spark: SparkSession, folder: str) -> DataFrame:
+    """The target stage with ten folds and five seeds of two learners of group means."""
+    targets = _targets_by_means(_experiment_rows(spark, folder))
+    shown = ("t_event_pred", "t_kmf", "t_bfhf", "t_kmf_event_scaled", "t_bfhf_event_scaled")
+    return targets.select("ID", *[rounded(c).alias(c) for c in shown])
+
+
+@query(
+    "hazard_stage_means",
+    f"""SELECT ID, {sql_rounded('pred')} AS t_hazard_pred FROM (
+        {_own_means_sql("(SELECT * FROM frame WHERE dataset = 'TRAIN')", 10, _STAGE_SEEDS, 'stratum, status', 'efs')})""",
+)
+def hazard_stage_means(spark: SparkSession, folder: str) -> DataFrame:
+    """The hazard stage with ten folds and five seeds of group means."""
+    rows = _experiment_rows(spark, folder)
+    ids = rows.filter(training_rows()).select("ID")
+    targets = cox_stage(rows, ids, _COLUMNS, seeds=_STAGE_SEEDS, learner=_means("stratum", "status"))
+    return targets.select("ID", rounded("t_hazard_pred").alias("t_hazard_pred"))
+
+
+def _sql_weight(limits: tuple[tuple[float, float], tuple[float, float]]) -> str:
+    """Event-time weight of the rows of ``aimed``."""
+    (low0, high0), (low1, high1) = limits
+    share = "(efs_time - min(efs_time) OVER (PARTITION BY efs)) / (max(efs_time) OVER (PARTITION BY efs) - min(efs_time) OVER (PARTITION BY efs))"
+    return f"CASE WHEN efs = 0 THEN (1 - {share}) * {high0 - low0} + {low0} ELSE {share} * {high1 - low1} + {low1} END"
+
+
+def _goal_sql(name: str, weighting: str) -> str:
+    """Rows with the goal and weight of an experiment on the scaled survival target."""
+    goal = f"exp({_sql_shift('2 * p', 't_kmf', 'PARTITION BY efs')})"
+    return f"{name} AS (SELECT *, {goal} AS goal, {_sql_weight(WEIGHTS[weighting])} AS wt FROM aimed)"
+
+
+_BASES = {
+    "tweedie_km_graded": ("priority", "stratum"),
+    "gamma_km_half": ("status", "stratum"),
+}
+
+
+def _base_sql(name: str) -> str:
+    """(ID, dataset, pred) of a base experiment as the common table ``{name}``."""
+    keys = ", ".join(_BASES[name])
+    return f"""{_goal_sql(f'{name}_goal', EXPERIMENTS[name].weighting)},
+  {name} AS (
+    SELECT ID, 'TRAIN' AS dataset, pred FROM ({_own_means_sql(f'{name}_goal', 7, _BASE_SEEDS, keys, 'goal', 'wt')})
+    UNION ALL SELECT ID, 'TEST', n.pred FROM frame
+    JOIN ({_new_means_sql(f'{name}_goal', 7, _BASE_SEEDS, keys, 'goal', 'wt')}) n USING ({keys}) WHERE dataset = 'TEST')"""
+
+
+@query(
+    "base_experiment_means",
+    f"""SELECT * FROM (WITH {_TRAINED}, {_base_sql('tweedie_km_graded')}
+        SELECT ID, dataset, {sql_rounded('pred')} AS pred FROM tweedie_km_graded)""",
+)
+def base_experiment_means(spark: SparkSession, folder: str) -> DataFrame:
+    """One experiment with its own seven folds and five seeds, from raw rows to predictions."""
+    rows = _experiment_rows(spark, folder)
+    targets = _targets_by_means(rows)
+    name = "tweedie_km_graded"
+    result = run_experiment(EXPERIMENTS[name], rows, targets, _COLUMNS, learner=_means(*_BASES[name]))
+    return result.oof.unionByName(result.test).select("ID", "dataset", rounded("pred").alias("pred"))
+
+
+_STACK, _ALPHA = "stack_rmse_graded", 50.0
+
+
+def _stack_sql() -> str:
+    """A weighted ridge per seed and fold on the first base experiment's predictions."""
+    first = next(iter(_BASES))
+    sums = "sum(wt) AS w, sum(wt * x) AS x, sum(wt * goal) AS y, sum(wt * x * x) AS xx, sum(wt * x * goal) AS xy"
+    folds = {s: sql_folds("stacked_rows", EXPERIMENTS[_STACK].n_splits, s) for s in EXPERIMENTS[_STACK].seeds}
+    folded = " UNION ALL ".join(f"SELECT {s} AS seed, * FROM ({sql})" for s, sql in folds.items())
+    return f"""SELECT * FROM (WITH {_TRAINED}, {_base_sql(first)}, {_goal_sql('last_goal', EXPERIMENTS[_STACK].weighting)},
+      stacked_rows AS (SELECT g.ID, g.goal, g.wt, b.pred AS x FROM last_goal g JOIN {first} b ON b.ID = g.ID),
+      folded AS ({folded}),
+      sums AS (SELECT seed, fold, {sums} FROM folded GROUP BY seed, fold),
+      others AS (SELECT a.seed, a.fold, sum(b.w) AS w, sum(b.x) AS x, sum(b.y) AS y, sum(b.xx) AS xx, sum(b.xy) AS xy
+                 FROM sums a JOIN sums b ON b.seed = a.seed AND b.fold <> a.fold GROUP BY a.seed, a.fold),
+      fits AS (SELECT seed, fold, x / w AS mx, y / w AS my, (xy - x * y / w) / (xx - x * x / w + {_ALPHA}) AS slope FROM others)
+      SELECT ID, 'TRAIN' AS dataset, {sql_rounded('avg(my + slope * (x - mx))')} AS pred
+      FROM folded JOIN fits USING (seed, fold) GROUP BY ID
+      UNION ALL SELECT ID, 'TEST', {sql_rounded('avg(my + slope * (pred - mx))')} FROM {first} CROSS JOIN fits
+      WHERE dataset = 'TEST' GROUP BY ID)"""
+
+
+@query("stack_experiment_means", _stack_sql())
+def stack_experiment_means(spark: SparkSession, folder: str) -> DataFrame:
+    """Two experiments stacked by a ridge, all with their own folds and seeds."""
+    rows = _experiment_rows(spark, folder)
+    targets = _targets_by_means(rows)
+    results = {
+        name: run_experiment(EXPERIMENTS[name], rows, targets, _COLUMNS, learner=_means(*keys))
+        for name, keys in _BASES.items()
+    }
+
+    def ridge(i: int, seed: int, to: Fitting) -> Estimator:
+        return regressor("ridge", [f"f_pred_{next(iter(_BASES))}"], to.label, weight=to.weight, alpha=_ALPHA)
+
+    result = run_stack(EXPERIMENTS[_STACK], rows, targets, results, _COLUMNS, learner=ridge)
+    return result.oof.unionByName(result.test).select("ID", "dataset", rounded("pred").alias("pred"))
