@@ -111,7 +111,33 @@ def concordance_of_orders(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("stratum", *[F.col(c).cast("double").alias(c) for c in _NUMBERS])
 
 
-@query("concordance_counts_lines")
+def _sql_pairs_by_levels(rows: str, levels: int = 40) -> str:
+    """The counts of :func:`_sql_pairs` for one column ``stratum``, without joining pairs.
+
+    Rows are numbered by time, events before censored rows of the same time. The numbers of
+    a comparable pair share their leading bits down to one bit, 0 in the event's number and 1
+    in the other's: every pair is counted at the level of that bit, by running counts.
+    """
+    return f"""
+numbered AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY stratum ORDER BY t, 1 - e) - 1 AS BIGINT) AS k FROM ({rows})),
+leveled AS (
+  SELECT stratum, level, k >> CAST(level + 1 AS INTEGER) AS block, p,
+         ((k >> level) & 1) AS later, (1 - ((k >> level) & 1)) * e AS earlier
+  FROM numbered CROSS JOIN range({levels}) r(level) WHERE (1::BIGINT << level) <= (SELECT max(k) FROM numbered)),
+counted AS (
+  SELECT earlier, stratum, sum(later) OVER (PARTITION BY stratum, level, block) AS reach,
+         sum(later) OVER (PARTITION BY stratum, level, block ORDER BY p) AS up_to,
+         sum(later) OVER (PARTITION BY stratum, level, block, p) AS same
+  FROM leveled)
+SELECT stratum, sum(earlier * reach)::DOUBLE AS pairs, sum(earlier * (up_to - same))::DOUBLE AS concordant,
+       sum(earlier * same)::DOUBLE AS tied FROM counted GROUP BY stratum"""
+
+
+_PAIR_LINES = """SELECT l_linestatus AS stratum, l_extendedprice AS t, CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END AS e,
+                        round(l_extendedprice * (1 - l_discount) / 100, 0) AS p FROM lineitem"""
+
+
+@query("concordance_counts_lines", f"SELECT * FROM (WITH {_sql_pairs_by_levels(_PAIR_LINES)})")
 def concordance_of_lines(spark: SparkSession, folder: str) -> DataFrame:
     """All line items, with the continuous price as time: too many pairs for an SQL pair join."""
     counts = concordance_counts(
