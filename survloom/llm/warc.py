@@ -157,16 +157,22 @@ def assemble(found: DataFrame) -> DataFrame:
     """One nested row per capture: its request, response or revisit, and metadata.
 
     Requests and metadata find their response through their concurrent-to identifier;
-    a capture without one of them has null there.
+    a capture without one of them has null there. Identifiers are unique in an archive; of
+    records that share one, the largest by their fields counts. A request or metadata record
+    whose response is not there makes no capture.
     """
-    of = lambda *kinds: found.filter(F.col("type").isin(*kinds))
-    request = of("request").select(F.col("concurrent_to").alias("capture"), F.struct("record_id", "target_uri").alias("request"))
-    metadata = of("metadata").select(F.col("concurrent_to").alias("capture"), F.struct("record_id", "fields").alias("metadata"))
-    response = of("response", "revisit").select(
-        F.col("record_id").alias("capture"),
-        F.struct("type", "record_id", "target_uri", "payload_digest", "payload_bytes", "payload_sha256", "payload").alias("response"),
-    )
-    return response.join(request, "capture", "left").join(metadata, "capture", "left")
+    main = F.col("type").isin("response", "revisit")
+    whole = F.struct("type", "record_id", "target_uri", "payload_digest", "payload_bytes", "payload_sha256", "payload")
+    parts = {
+        "request": F.when(F.col("type") == "request", F.struct("record_id", "target_uri")),
+        "metadata": F.when(F.col("type") == "metadata", F.struct("record_id", "fields")),
+        "response": F.when(main, whole),
+    }
+    # All three kinds meet in one shuffle, so the archives are read and parsed once.
+    keyed = found.filter(main | F.col("type").isin("request", "metadata"))
+    keyed = keyed.withColumn("capture", F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")))
+    joined = keyed.groupBy("capture").agg(*[F.max(part).alias(name) for name, part in parts.items()])
+    return joined.filter(F.col("response").isNotNull()).select("capture", "response", "request", "metadata")
 
 
 def page_records(captures: DataFrame) -> DataFrame:
