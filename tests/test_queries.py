@@ -18,7 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUICK = """csv_round_trip diagonal_union stack_features assign_folds holdout_split weight_graded
     scale_target_by_event encode_ordinal encode_aggregate encode_target_oof quantile_bins
     km_curve nelson_aalen_curve asof_curve_lookup fold_scores breslow_baseline
-    cox_newton_terms cox_fit_weighted oof_ridge multi_seed objective_tweedie mixture_curve""".split()
+    cox_newton_terms cox_fit_weighted pipeline_reload concordance_counts_lines hazard_stage_means oof_ridge multi_seed objective_tweedie mixture_curve""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
