@@ -221,6 +221,22 @@ def test_archives_of_repeats_and_nothing(spark, tmp_path):
     assert warc.page_records(warc.assemble(warc.read(spark, str(tmp_path / "e")))).count() == 0
 
 
+def test_captures_without_all_records(spark):
+    """A capture may lack its request or metadata; a request alone is no capture."""
+    rows = [
+        ("response", "<a>", None, "u", "d", None, 1, "s", b"x"),
+        ("request", "<a:r>", "<a>", "u", None, None, None, None, None),
+        ("revisit", "<b>", None, "v", "d", None, None, None, None),
+        ("metadata", "<b:m>", "<b>", None, None, "page-id: 4", None, None, None),
+        ("request", "<c:r>", "<c>", "w", None, None, None, None, None),
+        ("warcinfo", "<i>", None, None, None, None, None, None, None),
+    ]
+    found = {r.capture: r for r in warc.assemble(spark.createDataFrame(rows, warc._RECORD)).collect()}
+    assert set(found) == {"<a>", "<b>"}
+    assert found["<a>"].metadata is None and found["<a>"].request.target_uri == "u" and bytes(found["<a>"].response.payload) == b"x"
+    assert found["<b>"].request is None and found["<b>"].metadata.fields == "page-id: 4"
+
+
 def test_records_in_any_pieces():
     data = "".join(f"WARC/1.1\r\nContent-Length: {n}\r\n\r\n{'x' * n}\r\n\r\n" for n in (0, 3, 50)).encode()
     for step in (1, 7, 1000):
