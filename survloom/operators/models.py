@@ -150,7 +150,7 @@ class RidgeRegressor(Estimator, Configured):
     deviation; ``regParam`` is set so that both cancel.
     """
 
-    alpha = setting("alpha", "weight of the squared coefficients", TypeConverters.toFloat)
+    penalty = setting("penalty", "alpha, the weight of the squared coefficients", TypeConverters.toFloat)
     featuresCol = setting("featuresCol", "vector of features", TypeConverters.toString)
     labelCol = setting("labelCol", "target", TypeConverters.toString)
     weightCol = setting("weightCol", "case weights", TypeConverters.toString)
@@ -167,10 +167,14 @@ class RidgeRegressor(Estimator, Configured):
     ):
         super().__init__()
         self._configure(
-            alpha=float(alpha), featuresCol=featuresCol, labelCol=labelCol, weightCol=weightCol,
+            penalty=float(alpha), featuresCol=featuresCol, labelCol=labelCol, weightCol=weightCol,
             predictionCol=predictionCol,
         )
 
+    @property
+    def alpha(self) -> float:
+        return self.value("penalty")
+
     def _fit(self, dataset: DataFrame) -> Model:
         label, weight = self.value("labelCol"), self.value("weightCol")
         w = F.col(weight) if weight else F.lit(1.0)
@@ -183,7 +187,7 @@ class RidgeRegressor(Estimator, Configured):
             solver="normal",
             elasticNetParam=0.0,
             standardization=False,
-            regParam=self.value("alpha") / s["w"] * deviation,
+            regParam=self.alpha / s["w"] * deviation,
             featuresCol=self.value("featuresCol"),
             labelCol=label,
             predictionCol=self.value("predictionCol"),

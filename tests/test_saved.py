@@ -78,7 +78,7 @@ def test_copies_have_their_own_settings(rows):
     assert (encoder.value("prefix"), other.value("prefix")) == ("m_", "z_")
     assert "z_y" in other.fit(rows).transform(rows).columns
     ridge = RidgeRegressor(1.0)
-    assert [g[ridge.alpha] for g in ParamGridBuilder().addGrid(ridge.alpha, [0.5, 2.0]).build()] == [0.5, 2.0]
+    assert [ridge.copy(g).alpha for g in ParamGridBuilder().addGrid(ridge.penalty, [0.5, 2.0]).build()] == [0.5, 2.0]
     wrong = enc.ScalingEncoder(["x"])
     with pytest.raises(ValueError, match="scaling"):
         wrong.copy({wrong.method: "cubic"}).fit(rows)
