@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from survloom.functions.parametric import mean_survival, survival_at
+from survloom.operators import crossfit as cf
+from survloom.operators.models import GroupMeanRegressor, predict
+from survloom.settings import staged
 
 
 def test_mean_survival_is_taken_on_batches(spark):
@@ -31,3 +34,48 @@ def test_mean_survival_is_taken_on_batches(spark):
     assert rows[3][1] == 1.0 and all(v != v for i in (8, 9, 11) for v in rows[i])
     plan = df.select(mean_survival(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
+def _jobs(spark, run):
+    """The result of ``run`` and the number of Spark jobs that it started."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def _grouped(spark):
+    rows = [(i, i % 7 if i % 41 else None, f"g{i % 3}" if i % 5 else None, float(i * i % 97), 1.0 + i % 4) for i in range(300)]
+    rows += [(1000, 0, "alone", 5.0, 1.0), (1001, 2, "unknown", None, 1.0), (1002, 3, "g1", float("nan"), 1.0)]
+    return staged(spark.createDataFrame(rows, "id int, fold int, g string, y double, w double"))
+
+
+def test_group_means_of_all_folds_take_one_pass(spark):
+    df, usable = _grouped(spark), ~F.isnan("y") | F.col("y").isNull()
+    means = GroupMeanRegressor(["g"], "y", "w")
+    make = lambda: cf.cross_fit(means, df, name="m", meta=["id"], usable=usable)
+    run, jobs = _jobs(spark, make)
+    # Each fold once took three jobs or more, and a scan and a join of its own.
+    assert jobs <= 8
+    assert run.predictions._jdf.queryExecution().analyzed().toString().count("Join") == 1
+    got = {r.id: (r.pred, r.fold, r.name) for r in run.predictions.collect()}
+    assert len(got) == df.filter("fold IS NOT NULL").count()
+    for fold in range(7):
+        model = means.fit(df.filter(usable).filter(F.col("fold") != fold))
+        for m in (model, run.models["m", fold]):
+            for r in predict(m, df.filter(F.col("fold") == fold)).collect():
+                assert got[r.id] == (pytest.approx(r.pred, abs=1e-12), fold, "m")
+
+
+def test_new_rows_meet_all_group_means_in_one_join(spark):
+    df = _grouped(spark).filter(~F.isnan("y") | F.col("y").isNull())
+    models = list(cf.cross_fit(GroupMeanRegressor(["g"], "y"), df, name="m", meta=["id"]).models.values())
+    new = spark.createDataFrame([(1, "g0"), (2, "alone"), (3, None), (4, "never")], "id int, g string")
+    scored = cf.score_models(models, new)
+    assert scored.columns == ["id", "g", "pred"]
+    assert scored._jdf.queryExecution().analyzed().toString().count("Join LeftOuter") == 1
+    for r in scored.collect():
+        single = [predict(m, new).filter(F.col("id") == r.id).first().pred for m in models]
+        assert r.pred == pytest.approx(sum(single) / len(single), abs=1e-12)
