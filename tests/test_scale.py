@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from survloom.functions.parametric import mean_survival, survival_at
 from survloom.operators import crossfit as cf
+from survloom.operators.concordance import concordance_counts
 from survloom.operators.models import GroupMeanRegressor, predict
 from survloom.settings import staged
 
@@ -79,3 +80,17 @@ def test_new_rows_meet_all_group_means_in_one_join(spark):
     for r in scored.collect():
         single = [predict(m, new).filter(F.col("id") == r.id).first().pred for m in models]
         assert r.pred == pytest.approx(sum(single) / len(single), abs=1e-12)
+
+
+def test_keys_of_a_range_are_counted_in_one_call(spark):
+    """A call per key and range cost more than the counting."""
+    rows = [(k if k else None, float(i * 37 % 101), i % 3 != 0, float(i * k % 53)) for k in range(12) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, t double, e boolean, r double").withColumn("e", F.col("e").cast("int"))
+    counts = concordance_counts(df, "t", "e", "r", keys=["k"], group_rows=50)
+    got = {r.k: (int(r.pairs), int(r.concordant), int(r.tied)) for r in counts.collect()}
+    for key in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == key]
+        pairs = [(a, b) for a in own for b in own if a[1] and (a[0] < b[0] or (a[0] == b[0] and not b[1]))]
+        assert got[key] == (len(pairs), sum(a[2] > b[2] for a, b in pairs), sum(a[2] == b[2] for a, b in pairs))
+    plan = counts._jdf.queryExecution().analyzed().toString()
+    assert plan.count("FlatMapGroupsInArrow [_a") == 1 and plan.count("FlatMapGroupsInArrow [_b") == 1
