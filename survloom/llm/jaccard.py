@@ -18,7 +18,8 @@ Equal sets are one node, and trees of the same members are one tree. In each tre
 is tested against all others and leaves, then another against those that are still apart;
 then pairs of what is left in different components are sought in the tree, by blocks of
 bounded size. Groups of near copies are joined by the first tests, and need not be expanded
-into pairs.
+into pairs. Where copies stay apart, about as similar as asked for, a tree can hold many more
+pairs than members: such a tree is sent the sets, and its blocks return the links of a forest.
 
 A set of fewer words than a shingle has is the whole sequence; an empty or null text has an
 empty set and links with nothing, not even another empty one. Repeated rows repeat in the
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from survloom.llm.common import batch_of, sliced, table, text_of
@@ -50,6 +51,10 @@ BLOCK, LEAF = 1024, 16
 FIRST_TREES = 16
 #: Members of each tree that are tested against all others before the tree is joined.
 STARS = 2
+#: Pairs for each member that a block may leave to joins; a tree with more is crowded.
+PAIRS = 4
+#: Members and shingles that a piece of a crowded tree holds.
+CROWD, CROWD_SHINGLES = 256, 1 << 21
 
 _U = np.uint64
 
@@ -346,32 +351,89 @@ def _star(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
     return paired.filter("c <> own").select("a", F.col("key").alias("b")), paired.filter("key <> a").select("token", "key")
 
 
-def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a tree, by blocks of bounded size."""
-    sizes = apart.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = apart.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+def _trees_of(apart: DataFrame) -> DataFrame:
+    """Rows (key, trees): the first trees that hold a set."""
+    return apart.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRST_TREES).alias("trees"))
+
+
+def _dealt(members: DataFrame, parts: Column) -> DataFrame:
+    """Members of trees, once for each pair (i, j) of pieces of their tree that has their own ``part``."""
+    sizes = members.groupBy("token").agg(parts.cast("int").alias("parts"))
+    dealt = members.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j"))))
-    dealt = dealt.select("token", "key", "c", "part", other.alias("pair")).select("token", "key", "c", "part", "pair.i", "pair.j")
-    trees = apart.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRST_TREES).alias("trees"))
-    dealt = dealt.join(points.select("key", "n", "point").join(trees, "key"), "key")
+    return dealt.select(*members.columns, "part", other.alias("pair")).select(*members.columns, "part", "pair.i", "pair.j")
+
+
+def _block_pairs(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows of different components, in one pair of pieces, whose points allow a link.
+
+    Pairs that an earlier tree is known to hold are left to that one.
+    """
+    n, c, part = (rows.column(x).to_numpy() for x in ("n", "c", "part"))
+    at = [np.frombuffer(p, "<u2") for p in rows.column("point").to_pylist()]
+    i, j, token = (rows.column(x)[0].as_py() for x in ("i", "j", "token"))
+    trees = [Tree(at, n, c, np.flatnonzero(part == p)) if (part == p).any() else None for p in dict.fromkeys((i, j))]
+    found = tree_join(trees[0], trees[-1], n, c, percent) if all(trees) else []
+    earlier, size = [{t for t in own if t < token} for own in rows.column("trees").to_pylist()], n.tolist()
+    # Leaves are compared over the groups of their smallest set; here each pair has its own.
+    return [(x, y) for x, y in found if earlier[x].isdisjoint(earlier[y]) and overlap_bound(at[x], at[y]) >= least_overlap(size[x], size[y], percent)]
+
+
+def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a tree, by blocks of bounded size.
+
+    A block of more than ``PAIRS`` pairs a member has one row instead: its ``token``, and no pair.
+    """
+    dealt = _dealt(apart, F.ceil(F.count("*") / BLOCK))
+    dealt = dealt.join(points.select("key", "n", "point").join(_trees_of(apart), "key"), "key")
+
+    def run(rows: pa.Table) -> pa.Table:
+        found, none = _block_pairs(rows, percent), pa.array([None], pa.int64())
+        if len(found) > PAIRS * rows.num_rows:
+            return pa.table({"a": none, "b": none, "token": pa.array([rows.column("token")[0].as_py()], pa.int64())})
+        pair = rows.column("key").to_numpy()[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1), "token": pa.nulls(len(pair), pa.int64())})
+
+    return dealt.groupBy("token", "i", "j").applyInArrow(run, "a long, b long, token long")
+
+
+def forest(pairs: list[tuple[int, int]], sets: list[np.ndarray], classes: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Those pairs that link, less what the classes and the links before them connect."""
+    first: dict[int, int] = {}
+    root, out = [first.setdefault(c, x) for x, c in enumerate(classes)], []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x, y in pairs:
+        p, q = find(x), find(y)
+        if p != q:
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                root[q] = p
+                out.append((x, y))
+    return out
+
 
-    def first_meeting(rows: pa.Table, pair: np.ndarray) -> np.ndarray:
-        """Whether no earlier tree is known to hold both: that one finds the pair."""
-        lists, token = rows.column("trees").to_pylist(), rows.column("token")[0].as_py()
-        earlier = [{t for t in own if t < token} for own in lists]
-        return np.array([earlier[i].isdisjoint(earlier[j]) for i, j in pair.tolist()], bool)
+def _crowded_links(crowded: DataFrame, apart: DataFrame, docs: DataFrame, points: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what meets in the trees ``crowded``; their sets are compared where they meet."""
+    members = apart.join(crowded, "token", "left_semi").join(points.select("key", "n"), "key")
+    wanted = points.join(members.select("key").distinct(), "key", "left_semi")
+    sets = staged(_sets(docs, wanted.select("key", "doc_id", "text_hash"), shingle), "sets")
+    dealt = _dealt(members, F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n") / CROWD_SHINGLES)))
+    dealt = dealt.join(wanted.select("key", "point").join(_trees_of(apart), "key").join(sets, "key"), "key")
 
     def run(rows: pa.Table) -> pa.Table:
-        keys, n, c, part = (rows.column(x).to_numpy() for x in ("key", "n", "c", "part"))
-        at = [np.frombuffer(p, "<u2") for p in rows.column("point").to_pylist()]
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        trees = [Tree(at, n, c, np.flatnonzero(part == p)) if (part == p).any() else None for p in dict.fromkeys((i, j))]
-        found = tree_join(trees[0], trees[-1], n, c, percent) if all(trees) else []
-        pair = np.array(found, np.int64).reshape(-1, 2)
-        pair = pair[first_meeting(rows, pair)]
-        return pa.table({"a": keys[pair].min(axis=1), "b": keys[pair].max(axis=1)})
+        lists = rows.column("hashes").combine_chunks()
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        own = [values[s:e] for s, e in zip(at, at[1:], strict=False)]
+        links = forest(_block_pairs(rows, percent), own, rows.column("c").to_pylist(), percent)
+        pair = rows.column("key").to_numpy()[np.array(links, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1)})
 
-    return dealt.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
+    return staged(dealt.groupBy("token", "i", "j").applyInArrow(run, "a long, b long"), "links")
 
 
 def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -394,7 +456,12 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         pairs, shared = _star(_apart(shared, links))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         links = links.union(_verified(pairs, docs, points, shingle, percent))
-    links = links.union(_verified(_tree_pairs(_apart(shared, links), points, percent), docs, points, shingle, percent))
+    apart = _apart(shared, links)
+    met = staged(_tree_pairs(apart, points, percent), "met")
+    links = links.union(_verified(met.filter("token IS NULL").select("a", "b"), docs, points, shingle, percent))
+    crowded = met.filter("token IS NOT NULL").select("token").distinct()
+    if not crowded.isEmpty():
+        links = links.union(_crowded_links(crowded, apart, docs, points, shingle, percent))
     roots = connected(links).select(F.col("node").alias("key"), "root")
     rows = marked.select("doc_id", F.col("n").alias("n_shingles"), "key").join(roots, "key", "left")
     return rows.withColumn("root", F.coalesce("root", "key")), links

@@ -75,6 +75,29 @@ def test_trees_alone_lose_no_link(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def drifting(n: int) -> list[tuple]:
+    """Copies of a text that start later and later, so that no copy links with all others."""
+    words = [f"w{i}" for i in range(300)]
+    return [(i, " ".join([*words[i % 16 * 8 :][:150], f"end{i}"])) for i in range(n)]
+
+
+@pytest.mark.parametrize("shingles", [1 << 21, 2000])
+def test_pairs_of_a_drifting_group_grow_with_its_members(spark, monkeypatch, shingles):
+    """Pairs left to joins were a share of all pairs of such a group."""
+    monkeypatch.setattr(jaccard, "STARS", 0)
+    monkeypatch.setattr(jaccard, "CROWD_SHINGLES", shingles)
+    verified, counts = jaccard._verified, []
+
+    def counted(pairs, *rest):
+        counts.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    rows = drifting(240)
+    assert found(spark, rows) == brute(rows)
+    assert sum(counts) < 8 * len(rows)
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(5)
     for _ in range(200):
