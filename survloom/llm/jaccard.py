@@ -14,7 +14,8 @@ among the rarest of several sets. A set of size n is in the trees of its rarest
 order, so no link is lost. Rarity is read from counts of all shingles by hash group (a table
 of fixed size), so a passage that many documents share grows no tree.
 
-Equal sets are one node, and trees of the same members are one tree. In each tree one member
+Equal sets are one node, and trees of the same members are one tree. A member stays in a tree
+only while a set of another component has about its size there. In each tree one member
 is tested against all others and leaves, then another against those that are still apart;
 then pairs of what is left in different components are sought in the tree, by blocks of
 bounded size. Groups of near copies are joined by the first tests, and need not be expanded
@@ -30,6 +31,7 @@ of equal 64-bit hashes are told apart by a second hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,8 @@ FIRST_TREES = 16
 STARS = 2
 #: Pairs for each member that a block may leave to joins; a tree with more is crowded.
 PAIRS = 4
+#: Bits of the map of wanted texts, as a power of two; texts outside it are not sent to joins.
+MAP_BITS = 24
 #: Members and shingles that a piece of a crowded tree holds.
 CROWD, CROWD_SHINGLES = 256, 1 << 21
 
@@ -149,6 +153,11 @@ def folded(p: np.ndarray, size: int) -> np.ndarray:
     return p if len(p) == size else p.reshape(size, -1).sum(axis=1, dtype=np.uint32)
 
 
+def coarse(p: np.ndarray) -> np.ndarray:
+    """A point over an eighth of its groups, at least 16: it allows no less, and takes as much less room."""
+    return folded(p, max(16, len(p) // 8)).astype("<u2")
+
+
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     """No sets at (or below) these points share more."""
     size = min(len(a), len(b))
@@ -234,13 +243,13 @@ def rarity(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def described(docs: DataFrame, rank: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """From rows (doc_id, text): doc_id, text_hash, n, k1 and k2 (hashes of the set), rare (rarest shingles) and point."""
+    """From rows (doc_id, text): doc_id, text_hash, n, k1 and k2 (hashes of the set), rare (rarest shingles), point and its coarse form."""
     low, high = _U((1 << RARITY_BITS) - 1), _U(64 - RARITY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in sliced(batches, "text"):
             hashes, at = shingle_hashes(texts, shingle)
-            n, k1, k2, rare, points = [], [], [], [np.zeros(0, _U)], []
+            n, k1, k2, rare, points, wide = [], [], [], [np.zeros(0, _U)], [], []
             with np.errstate(over="ignore"):
                 for i in range(len(texts)):
                     own = np.unique(hashes[at[i] : at[i + 1]])
@@ -252,17 +261,19 @@ def described(docs: DataFrame, rank: np.ndarray, shingle: int = SHINGLE, percent
                     # The rank takes the place of the low bits that it stands for: still one number per shingle.
                     order = (rank[(own & low).astype(np.int64)] << high) | (own >> _U(RARITY_BITS))
                     rare.append(np.partition(order, first - 1)[:first] if size else order)
-                    points.append(point(own).tobytes() if size else b"")
+                    at_own = point(own) if size else np.zeros(0, "<u2")
+                    points.append(at_own.tobytes())
+                    wide.append(coarse(at_own).tobytes() if size else b"")
             ends = np.concatenate(([0], np.cumsum([len(r) for r in rare[1:]]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare).view(np.int64)))
             numbers = [pa.array(np.array(k, _U).view(np.int64)) for k in (k1, k2)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("text_hash"), pa.array(n, pa.int64()), *numbers, lists, pa.array(points, pa.binary())],
-                ["doc_id", "text_hash", "n", "k1", "k2", "rare", "point"],
+                [rows.column("doc_id"), rows.column("text_hash"), pa.array(n, pa.int64()), *numbers, lists, pa.array(points, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc_id", "text_hash", "n", "k1", "k2", "rare", "point", "coarse"],
             )
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return hashed.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, rare array<long>, point binary")
+    return hashed.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, rare array<long>, point binary, coarse binary")
 
 
 def keyed(marked: DataFrame) -> DataFrame:
@@ -281,7 +292,6 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose points allow the overlap that a link needs."""
     side = lambda s: points.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"p_{s}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b")
-    wide = wide.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,21 +305,45 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Rows (key, hashes) of the wanted sets, cut anew from one text of each."""
+def _mark() -> Column:
+    return F.xxhash64("doc_id", "text_hash")
+
+
+def _map_of(wanted: DataFrame) -> np.ndarray:
+    """A bit for every value of the low bits of the ``mark`` of a row: whether a wanted text has it."""
+    place = _mark().bitwiseAND((1 << MAP_BITS) - 1).alias("place")
+    bit = F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")
+    # At most 2^(MAP_BITS - 6) numbers, whatever the corpus.
+    found = wanted.select(place).groupBy(F.shiftright("place", 6).cast("int").alias("at")).agg(bit).toArrow()
+    words = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    words[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return words
+
+
+def _mapped(docs: DataFrame, words: np.ndarray, shingle: int) -> DataFrame:
+    """Rows (doc_id, text_hash, hashes) of the sets of all rows in the map, and of the few that share a bit with one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in sliced(batches, "text"):
-            hashes, at = shingle_hashes(texts, shingle)
-            own = [np.unique(hashes[s:e]).view(np.int64) for s, e in zip(at, at[1:], strict=False)]
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(o) for o in own]))).astype(np.int32))
-            values = pa.array(np.concatenate([np.zeros(0, np.int64), *own]))
-            yield pa.RecordBatch.from_arrays([rows.column("key"), pa.ListArray.from_arrays(ends, values)], ["key", "hashes"])
+        for batch in batches:
+            place = batch.column("mark").to_numpy() & ((1 << MAP_BITS) - 1)
+            held = batch.filter(pa.array((words[place >> 6] >> (place & 63)) & 1 == 1))
+            for rows, texts in sliced(iter([held]), "text"):
+                hashes, at = shingle_hashes(texts, shingle)
+                own = [np.unique(hashes[s:e]).view(np.int64) for s, e in zip(at, at[1:], strict=False)]
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(o) for o in own]))).astype(np.int32))
+                values = pa.array(np.concatenate([np.zeros(0, np.int64), *own]))
+                lists = pa.ListArray.from_arrays(ends, values)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), lists], ["doc_id", "text_hash", "hashes"])
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").withColumn("mark", _mark())
+    return texts.mapInArrow(run, "doc_id long, text_hash long, hashes array<long>")
+
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])
-    held = texts.join(wanted, same).select("key", "text")
-    return held.mapInArrow(run, "key long, hashes array<long>").dropDuplicates(["key"])
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Rows (key, hashes) of the wanted sets, cut anew from one text of each."""
+    sets = _mapped(docs, _map_of(wanted), shingle)
+    same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["text_hash"] == wanted["text_hash"])
+    return sets.join(wanted, same).select("key", "hashes").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -332,23 +366,34 @@ def _distinct_trees(shared: DataFrame) -> DataFrame:
     return shared.join(marked.groupBy("s0", "s1").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
 
 
-def _apart(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (token, key, c) of the trees that still hold several components ``c``."""
+def _bands(n: Column, percent: int) -> Column:
+    """Two neighbouring bands of sizes; sets whose sizes allow a link have one in common."""
+    # Slightly wider than linked sizes can differ, so that rounding parts none.
+    width = max(math.log(100 / max(percent, 1)), 0.01) * 1.0001
+    band = F.floor(F.log(n) / width).cast("int")
+    return F.array(band, band + 1)
+
+
+def _apart(shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, key, n, c) of the trees, with the component ``c``: those with another component in a band of their size."""
     roots = connected(links)
     lab = shared.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    lab = lab.select("token", "key", F.coalesce("root", "key").alias("c"))
-    mixed = lab.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
-    return staged(lab.join(mixed, "token"), "apart")
+    lab = lab.select("token", "key", "n", F.coalesce("root", "key").alias("c"))
+    banded = lab.select("token", F.explode(_bands(F.col("n"), percent)).alias("band"), "c")
+    mixed = banded.groupBy("token", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+    mixed = mixed.groupBy("token").agg(F.collect_set("band").alias("mixed"))
+    return staged(lab.join(mixed, "token").filter(F.arrays_overlap("mixed", _bands(F.col("n"), percent))).drop("mixed"), "apart")
 
 
-def _star(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _star(apart: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Per tree, one member of its last component: pairs with the members of all others, and the trees without it.
 
-    No link of that member is missed, since the others are of its own component.
+    No link of that member is missed, since the others are of its own component or too small or large.
     """
-    last = apart.groupBy("token").agg(F.max(F.struct("c", (-F.col("key")).alias("back"))).alias("m"))
-    paired = apart.join(last.select("token", F.col("m.c").alias("own"), (-F.col("m.back")).alias("a")), "token")
-    return paired.filter("c <> own").select("a", F.col("key").alias("b")), paired.filter("key <> a").select("token", "key")
+    last = apart.groupBy("token").agg(F.max(F.struct("c", (-F.col("key")).alias("back"), "n")).alias("m"))
+    paired = apart.join(last.select("token", F.col("m.c").alias("own"), (-F.col("m.back")).alias("a"), F.col("m.n").alias("n_a")), "token")
+    close = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+    return paired.filter("c <> own").filter(close).select("a", F.col("key").alias("b")), paired.filter("key <> a").select("token", "key", "n")
 
 
 def _trees_of(apart: DataFrame) -> DataFrame:
@@ -380,12 +425,12 @@ def _block_pairs(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
 
 
 def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a tree, by blocks of bounded size.
+    """Pairs (a, b) of different components that meet in a tree, by blocks of bounded size and by coarse points.
 
     A block of more than ``PAIRS`` pairs a member has one row instead: its ``token``, and no pair.
     """
     dealt = _dealt(apart, F.ceil(F.count("*") / BLOCK))
-    dealt = dealt.join(points.select("key", "n", "point").join(_trees_of(apart), "key"), "key")
+    dealt = dealt.join(points.select("key", F.col("coarse").alias("point")).join(_trees_of(apart), "key"), "key")
 
     def run(rows: pa.Table) -> pa.Table:
         found, none = _block_pairs(rows, percent), pa.array([None], pa.int64())
@@ -419,7 +464,7 @@ def forest(pairs: list[tuple[int, int]], sets: list[np.ndarray], classes: list[i
 
 def _crowded_links(crowded: DataFrame, apart: DataFrame, docs: DataFrame, points: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what meets in the trees ``crowded``; their sets are compared where they meet."""
-    members = apart.join(crowded, "token", "left_semi").join(points.select("key", "n"), "key")
+    members = apart.join(crowded, "token", "left_semi")
     wanted = points.join(members.select("key").distinct(), "key", "left_semi")
     sets = staged(_sets(docs, wanted.select("key", "doc_id", "text_hash"), shingle), "sets")
     dealt = _dealt(members, F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n") / CROWD_SHINGLES)))
@@ -447,16 +492,18 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     lists = marked.filter("n > 0").select(F.explode("rare").alias("token"), "key")
     trees = lists.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
     shared = staged(lists.join(trees.select("token"), "token").distinct(), "shared")
-    shared = staged(_distinct_trees(shared), "trees")
-    active = shared.select("key").distinct()
-    points = marked.join(active, "key", "left_semi").select("key", "n", "point", "doc_id", "text_hash")
-    points = staged(points.dropDuplicates(["key"]), "points")
+    sizes = marked.filter("n > 0").select("key", "n").distinct()
+    shared = staged(_distinct_trees(shared).join(sizes, "key"), "trees")
     links = spark.createDataFrame([], "a long, b long")
+    apart = _apart(shared, links, percent)
+    active = apart.select("key").distinct()
+    points = marked.join(active, "key", "left_semi").select("key", "n", "point", "coarse", "doc_id", "text_hash")
+    points = staged(points.dropDuplicates(["key"]), "points")
     for _ in range(STARS):
-        pairs, shared = _star(_apart(shared, links))
+        pairs, shared = _star(apart, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         links = links.union(_verified(pairs, docs, points, shingle, percent))
-    apart = _apart(shared, links)
+        apart = _apart(shared, links, percent)
     met = staged(_tree_pairs(apart, points, percent), "met")
     links = links.union(_verified(met.filter("token IS NULL").select("a", "b"), docs, points, shingle, percent))
     crowded = met.filter("token IS NOT NULL").select("token").distinct()

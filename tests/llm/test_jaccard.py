@@ -98,6 +98,52 @@ def test_pairs_of_a_drifting_group_grow_with_its_members(spark, monkeypatch, shi
     assert sum(counts) < 8 * len(rows)
 
 
+def test_sets_of_other_sizes_are_not_paired(spark, monkeypatch):
+    """Sets that share a passage were handed to joins, points and all, whatever their sizes."""
+    verified, counts = jaccard._verified, []
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, " ".join([shared, *[f"w{i}_{j}" for j in range(40 * 2**i)]])) for i in range(8)]
+    assert found(spark, rows) == brute(rows)
+    assert sum(counts) == 0
+
+
+def test_only_wanted_texts_are_sent_to_joins(spark, monkeypatch):
+    """All texts were sent to the join with the wanted ones."""
+    mapped, counts = jaccard._mapped, []
+
+    def counted(*args):
+        sent = mapped(*args)
+        counts.append(sent.count())
+        return sent
+
+    monkeypatch.setattr(jaccard, "_mapped", counted)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(50))) for i in range(200)]
+    rows += [(None, rows[0][1] + " end"), (500, rows[1][1] + " end"), (501, rows[0][1])]
+    assert found(spark, rows) == brute(rows)
+    assert 2 < max(counts) < 10
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_linked_sizes_share_a_band(spark, percent):
+    n = spark.range(1, 3000).selectExpr("id AS n", f"CAST(id * 100 / {percent} AS LONG) AS most")
+    parted = n.filter(~jaccard.F.arrays_overlap(jaccard._bands(jaccard.F.col("n"), percent), jaccard._bands(jaccard.F.col("most"), percent)))
+    assert parted.count() == 0
+
+
+def test_coarse_points_allow_no_less():
+    rng = np.random.default_rng(7)
+    for _ in range(100):
+        a, b = (jaccard.point(np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900)).astype(np.uint64) << np.uint64(1))) for _ in range(2))
+        assert jaccard.overlap_bound(jaccard.coarse(a), jaccard.coarse(b)) >= jaccard.overlap_bound(a, b)
+        assert jaccard.overlap_bound(jaccard.coarse(a), b) >= jaccard.overlap_bound(a, b)
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(5)
     for _ in range(200):
