@@ -43,15 +43,16 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, max_chars: int = 2_000_
     A longer text comes alone; texts themselves are never cut.
     """
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        start = size = 0
-        for i, value in enumerate(texts):
-            if i > start and size + len(value) > max_chars:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
+        texts, start, size = [], 0, 0
+        for i, value in enumerate(batch.column(text)):
+            value = value.as_py() or ""
+            if texts and size + len(value) > max_chars:
+                yield batch.slice(start, i - start), texts
+                texts, start, size = [], i, 0
+            texts.append(value)
             size += len(value)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        if texts:
+            yield batch.slice(start), texts
 
 
 def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -32,7 +32,8 @@ of equal 64-bit hashes are told apart by a second hash.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ from survloom.settings import staged
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
+#: Characters of texts that a task hashes at a time (a longer text comes alone): hashing takes about 40 bytes for each.
+SLICE = 250_000
 #: Hash groups whose shingle counts order shingles by rarity, as a power of two.
 RARITY_BITS = 16
 #: Members of a tree that are joined in one piece, and points of a leaf.
@@ -187,9 +190,9 @@ class Tree:
             self.parts = [Tree(points, sizes, classes, order[:half]), Tree(points, sizes, classes, order[half:])]
 
 
-def tree_join(a: Tree, b: Tree, sizes: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of rows of different classes whose bound reaches the least overlap; ``a`` may be ``b``."""
-    out, todo = [], [(a, b)]
+def tree_join(a: Tree, b: Tree, sizes: np.ndarray, classes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different classes whose bound reaches the least overlap, one leaf after another; ``a`` may be ``b``."""
+    todo = [(a, b)]
     while todo:
         x, y = todo.pop()
         if x.single is not None and x.single == y.single:
@@ -215,8 +218,7 @@ def tree_join(a: Tree, b: Tree, sizes: np.ndarray, classes: np.ndarray, percent:
         if x is y:
             near &= np.triu(np.ones(near.shape, bool), 1)
         i, j = np.nonzero(near)
-        out.extend(zip(x.rows[i].tolist(), y.rows[j].tolist(), strict=True))
-    return out
+        yield from zip(x.rows[i].tolist(), y.rows[j].tolist(), strict=True)
 
 
 def rarity(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
@@ -226,7 +228,7 @@ def rarity(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(groups, np.int64)
-        for _, texts in sliced(batches, "text"):
+        for _, texts in sliced(batches, "text", SLICE):
             hashes, _ = shingle_hashes(texts, shingle)
             total += np.bincount((hashes & _U(groups - 1)).astype(np.int64), minlength=groups)
         held = np.flatnonzero(total)
@@ -247,7 +249,7 @@ def described(docs: DataFrame, rank: np.ndarray, shingle: int = SHINGLE, percent
     low, high = _U((1 << RARITY_BITS) - 1), _U(64 - RARITY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in sliced(batches, "text"):
+        for rows, texts in sliced(batches, "text", SLICE):
             hashes, at = shingle_hashes(texts, shingle)
             n, k1, k2, rare, points, wide = [], [], [], [np.zeros(0, _U)], [], []
             with np.errstate(over="ignore"):
@@ -327,7 +329,7 @@ def _mapped(docs: DataFrame, words: np.ndarray, shingle: int) -> DataFrame:
         for batch in batches:
             place = batch.column("mark").to_numpy() & ((1 << MAP_BITS) - 1)
             held = batch.filter(pa.array((words[place >> 6] >> (place & 63)) & 1 == 1))
-            for rows, texts in sliced(iter([held]), "text"):
+            for rows, texts in sliced(iter([held]), "text", SLICE):
                 hashes, at = shingle_hashes(texts, shingle)
                 own = [np.unique(hashes[s:e]).view(np.int64) for s, e in zip(at, at[1:], strict=False)]
                 ends = pa.array(np.concatenate(([0], np.cumsum([len(o) for o in own]))).astype(np.int32))
@@ -409,19 +411,20 @@ def _dealt(members: DataFrame, parts: Column) -> DataFrame:
     return dealt.select(*members.columns, "part", other.alias("pair")).select(*members.columns, "part", "pair.i", "pair.j")
 
 
-def _block_pairs(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+def _block_pairs(rows: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of rows of different components, in one pair of pieces, whose points allow a link.
 
-    Pairs that an earlier tree is known to hold are left to that one.
+    Pairs that an earlier tree is known to hold are left to that one. Pairs come as they are
+    found: a block can hold a pair for every two members.
     """
     n, c, part = (rows.column(x).to_numpy() for x in ("n", "c", "part"))
     at = [np.frombuffer(p, "<u2") for p in rows.column("point").to_pylist()]
     i, j, token = (rows.column(x)[0].as_py() for x in ("i", "j", "token"))
     trees = [Tree(at, n, c, np.flatnonzero(part == p)) if (part == p).any() else None for p in dict.fromkeys((i, j))]
-    found = tree_join(trees[0], trees[-1], n, c, percent) if all(trees) else []
+    found = tree_join(trees[0], trees[-1], n, c, percent) if all(trees) else ()
     earlier, size = [{t for t in own if t < token} for own in rows.column("trees").to_pylist()], n.tolist()
     # Leaves are compared over the groups of their smallest set; here each pair has its own.
-    return [(x, y) for x, y in found if earlier[x].isdisjoint(earlier[y]) and overlap_bound(at[x], at[y]) >= least_overlap(size[x], size[y], percent)]
+    return ((x, y) for x, y in found if earlier[x].isdisjoint(earlier[y]) and overlap_bound(at[x], at[y]) >= least_overlap(size[x], size[y], percent))
 
 
 def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -433,8 +436,10 @@ def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.join(points.select("key", F.col("coarse").alias("point")).join(_trees_of(apart), "key"), "key")
 
     def run(rows: pa.Table) -> pa.Table:
-        found, none = _block_pairs(rows, percent), pa.array([None], pa.int64())
-        if len(found) > PAIRS * rows.num_rows:
+        # One pair too many tells a crowded tree; the others are not looked for here.
+        most, none = PAIRS * rows.num_rows, pa.array([None], pa.int64())
+        found = list(islice(_block_pairs(rows, percent), most + 1))
+        if len(found) > most:
             return pa.table({"a": none, "b": none, "token": pa.array([rows.column("token")[0].as_py()], pa.int64())})
         pair = rows.column("key").to_numpy()[np.array(found, np.int64).reshape(-1, 2)]
         return pa.table({"a": pair.min(axis=1), "b": pair.max(axis=1), "token": pa.nulls(len(pair), pa.int64())})
@@ -442,7 +447,7 @@ def _tree_pairs(apart: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("token", "i", "j").applyInArrow(run, "a long, b long, token long")
 
 
-def forest(pairs: list[tuple[int, int]], sets: list[np.ndarray], classes: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
+def forest(pairs: Iterable[tuple[int, int]], sets: list[np.ndarray], classes: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Those pairs that link, less what the classes and the links before them connect."""
     first: dict[int, int] = {}
     root, out = [first.setdefault(c, x) for x, c in enumerate(classes)], []
@@ -494,7 +499,8 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     shared = staged(lists.join(trees.select("token"), "token").distinct(), "shared")
     sizes = marked.filter("n > 0").select("key", "n").distinct()
     shared = staged(_distinct_trees(shared).join(sizes, "key"), "trees")
-    links = spark.createDataFrame([], "a long, b long")
+    # No rows, and no Python workers of their own for that.
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     apart = _apart(shared, links, percent)
     active = apart.select("key").distinct()
     points = marked.join(active, "key", "left_semi").select("key", "n", "point", "coarse", "doc_id", "text_hash")

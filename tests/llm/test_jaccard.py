@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from survloom.llm import jaccard
+from survloom.llm.common import sliced
 
 
 def plain_set(text: str | None) -> set[str]:
@@ -172,6 +176,39 @@ def test_tree_join_equals_all_pairs():
     assert got == want
 
 
+def test_pairs_of_a_crowded_block_are_not_all_listed(monkeypatch):
+    """A block of equal points was listed whole, a pair for every two members."""
+    bound, calls = jaccard.overlap_bound, []
+
+    def counted(*ends):
+        calls.append(1)
+        return bound(*ends)
+
+    monkeypatch.setattr(jaccard, "overlap_bound", counted)
+    n = 128
+    numbers = {"key": range(n), "n": [32] * n, "c": range(n), **{x: [0] * n for x in ("token", "part", "i", "j")}}
+    same = jaccard.point(np.arange(32, dtype=np.uint64) << np.uint64(59)).tobytes()
+    rows = pa.table({**{k: pa.array(v, pa.int64()) for k, v in numbers.items()}, "point": [same] * n, "trees": [[0]] * n})
+    assert len(list(islice(jaccard._block_pairs(rows, 80), 4 * n + 1))) == 4 * n + 1
+    assert len(calls) < 8 * n
+    assert len(list(jaccard._block_pairs(rows, 80))) == n * (n - 1) // 2
+
+
+def test_texts_of_a_batch_become_strings_slice_by_slice():
+    """All texts of a batch were strings at once, whatever the slice."""
+    texts = [None, "", *(f"{i:05d}" * 200 for i in range(1000)), "é" * 20_000, "z"]
+    batch = pa.RecordBatch.from_pydict({"id": range(len(texts)), "text": texts})
+    tracemalloc.start()
+    sizes = [(rows.num_rows, sum(map(len, own))) for rows, own in sliced(iter([batch]), "text", 10_000)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000
+    assert sum(n for n, _ in sizes) == len(texts) and sum(c for _, c in sizes) == 1_020_001
+    assert all(c <= 10_000 or n == 1 for n, c in sizes)
+    again = [t for rows, own in sliced(iter([batch]), "text", 10_000) for t in zip(rows.column("id").to_pylist(), own, strict=True)]
+    assert again == [(i, t or "") for i, t in enumerate(texts)]
+
+
 def test_long_text_and_one_long_word(spark):
     long = " ".join(f"x{i}" for i in range(60_000))
     rows = [(1, long), (2, long + " more"), (3, "y" * 500_000), (4, "y" * 500_000 + " z"), (5, "Y" * 500_000)]
