@@ -151,7 +151,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     cells = _cells(nodes)
     busy = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("homes")).filter("n > 1 AND homes")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = cells.join(busy.select("cell", parts.alias("parts")), "cell")
+    # Spark takes the exploded cells to be as small as the nodes, so neither side is to be broadcast.
+    dealt = cells.join(busy.select("cell", parts.alias("parts")).hint("merge"), "cell")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     others = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j"))

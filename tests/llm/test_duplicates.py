@@ -8,8 +8,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from survloom.llm import components, simhash, substrings
+from survloom.settings import staged
 
 
 def plain_fingerprint(text):
@@ -66,6 +68,12 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, block):
     assert found == want
 
 
+def test_grid_cells_are_not_broadcast(spark):
+    nodes = staged(spark.range(40).select(F.shiftleft("id", 20).alias("fp")))
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_documents_and_the_one_that_stays(spark):
     rows = [(i, t, "c", 7) for i, t in enumerate(TEXTS)] + [(3, "One", "c", 7), (None, "solo solo solo solo", "c", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string, root int")
