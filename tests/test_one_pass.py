@@ -6,7 +6,9 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from survloom.operators import folds
 from survloom.operators import crossfit as cf
+from survloom.operators.concordance import concordance_counts
 from survloom.operators.models import GroupMeanRegressor, predict, regressor
 from survloom.settings import staged
 
@@ -63,3 +65,36 @@ def test_unsound_rows_are_refused(rows):
         odd = rows.withColumn(column, F.when(F.col("ID") == 5, F.lit(value).cast("double")).otherwise(F.col(column)))
         with pytest.raises(Exception, match="null or NaN|must be finite"):
             cf.cross_fit(ridge, odd, name="r", meta=["ID"], fold_col="fold_1")
+
+
+def test_a_key_counts_as_a_whole_too(rows):
+    parts = rows.select(F.col("a").alias("t"), (F.col("ID") % 2).alias("e"), F.round("y", 0).alias("r"), "g", F.col("fold_1").alias("fold"))
+    parts = parts.unionByName(parts.limit(3).withColumns({"fold": F.lit(None).cast("int"), "g": F.lit(9).cast("long")}))
+    both = parts.unionByName(parts.filter("fold IS NOT NULL").withColumn("fold", F.lit(None).cast("int")))
+    found = concordance_counts(parts, "t", "e", "r", keys=["fold", "g"], whole="fold")
+    want = concordance_counts(both, "t", "e", "r", keys=["fold", "g"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert found.filter("fold IS NULL").count() == 4
+
+
+def test_scores_of_folds_and_of_all_folds(rows):
+    run = cf.cross_fit_seeds(lambda i, seed: GroupMeanRegressor(["g"], "y"), rows, name="r", seeds=[1, 2], meta=["ID", "y", "a", "w"])
+    metric = cf.concordance_metric("a", "e", "g", "pred")
+    named = lambda df: df.withColumns({"e": (F.col("ID") % 2).cast("int"), "g": F.lit("one")})
+    run.predictions = named(run.predictions)
+    last = run.predictions.filter("name = 'r_1'").withColumns({"name": F.lit("final"), "fold": F.lit(None).cast("int")})
+    found = {(r.name, r.fold): r.score for r in run.scores(metric, last).collect()}
+    assert set(found) == {("final", None), *((f"r_{s}", f) for s in (1, 2) for f in (None, *range(4)))}
+    assert found["final", None] == found["r_1", None]
+    for (name, fold), score in found.items():
+        own = last if name == "final" else run.predictions.filter((F.col("name") == name) & (F.lit(fold is None) | (F.col("fold") == (fold or 0))))
+        assert concordance_counts(own, "a", "e", "pred").first().c_index == pytest.approx(score, abs=1e-12)
+
+
+@pytest.mark.parametrize("compared", [0, 64])
+def test_both_ways_to_find_folds(spark, monkeypatch, compared):
+    monkeypatch.setattr(folds, "_COMPARED", compared)
+    monkeypatch.setattr(folds, "GROUP_ROWS", 40)
+    ids = spark.range(500).withColumnRenamed("id", "ID")
+    got = {(r["ID"], s, r[f"fold_{s}"]) for r in cf.with_seed_folds(ids, "ID", 10, [3, 4]).collect() for s in (3, 4)}
+    assert got == {(r["ID"], r["seed"], r["fold"]) for r in folds.fold_table(ids, "ID", 10, [3, 4]).collect()}
